@@ -17,6 +17,25 @@ def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "repeats.n_words", "repeats.n_removed", F.sha2("repeats.kept", 256).alias("kept_sha256"))
 
 
+def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.packing import packed
+
+    return packed(_documents(spark, sf_dir))
+
+
+def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.mixing import mixed
+
+    return mixed(_documents(spark, sf_dir)).drop("copies")
+
+
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.toxicity import scored
+
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return scored(_documents(spark, sf_dir), labels).select("doc_id", "toxicity.*")
+
+
 def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrivane.llm.simhash import near_duplicates
 
@@ -50,6 +69,35 @@ FROM z LEFT JOIN k ON z.r = k.r
 """
 
 
+ORACLE["op8_systematic_mix"] = r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('mix-1:' || coalesce(doc_id::VARCHAR, '')) AS o
+  FROM documents
+), s AS (
+  SELECT key, sum(size)::BIGINT AS source_size FROM d GROUP BY key
+), w AS (
+  SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY key) - 1) % 3 + 1]::BIGINT AS w FROM s
+), f AS (
+  SELECT *, (sum(source_size) OVER ())::BIGINT AS total,
+    coalesce(sum(source_size) OVER (ORDER BY source_size / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS filled,
+    (sum(w) OVER () - coalesce(sum(w) OVER (ORDER BY source_size / w, key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS rest
+  FROM w
+), l AS (
+  SELECT min_by((total - 3 * filled) / rest, {'a': source_size / w, 'b': key}) AS level FROM f WHERE w * ((total - 3 * filled) / rest) <= 3 * source_size
+), t AS (
+  SELECT key, source_size, least((3 * source_size)::DOUBLE, w * level) AS target FROM f, l
+), r AS (
+  SELECT d.*, row_number() OVER (PARTITION BY key ORDER BY size, o, doc_id) - 1 AS k FROM d
+), c AS (
+  SELECT doc_id, size, source_size, target, k, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each,
+    ('0x' || substr(md5('mix-1/' || key), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM r JOIN t USING (key)
+)
+SELECT doc_id, size, source_size, target, ((floor(u + (k + 1) * each) - floor(u + k * each)) * size)::BIGINT AS taken FROM c
+"""
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 
