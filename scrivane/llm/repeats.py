@@ -234,7 +234,8 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         F.struct("h", "owner", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int").alias("shard"), F.coalesce("parts", F.lit(1)).alias("parts")).alias("mark"),
     )
     marks = marked.groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
-    rows = source.join(marks, "doc_id").select("doc_id", "text", "marks").mapInArrow(
+    # Merge joins at every size: the plan must not hang on how little a small table repeats.
+    rows = source.join(marks.hint("merge"), "doc_id").select("doc_id", "text", "marks").mapInArrow(
         _segments(window, phrase, shards), "shard int, salt int, kind int, dealt boolean, doc_id bigint, start int, words binary"
     )
     dealt = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
@@ -271,5 +272,5 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_words", "n_removed", "kept"])
 
     spans = repeated_spans(docs, id, text, window, phrase).select(F.col("doc_id").alias("_repeats_id"), F.col("spans").alias("_repeats_spans"))
-    joined = docs.join(spans, F.col(id).cast("bigint") == F.col("_repeats_id"), "left")
+    joined = docs.join(spans.hint("merge"), F.col(id).cast("bigint") == F.col("_repeats_id"), "left")
     return joined.withColumn("repeats", cut(F.col(text), F.col("_repeats_spans"))).drop("_repeats_id", "_repeats_spans")
