@@ -10,6 +10,26 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_ogg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.ogg import stored
+
+    done = stored(_documents(spark, sf_dir).select("doc_id", "text"), keep_media=False)
+    return done.select("doc_id", *(f"ogg.{c}" for c in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")))
+
+
+def op2_stratified_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.sharding import interleaved
+
+    done = interleaved(_documents(spark, sf_dir))
+    return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.divergence import judged
+
+    return judged(_documents(spark, sf_dir)).drop("char_distance", "word_distance")
+
+
 def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrivane.llm.repeats import remove_repeats
 
@@ -23,6 +43,14 @@ def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir))
 
 
+def op7_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.chat import digests
+
+    said = "</s>[INST] ok [/INST]"
+    more = spark.sql(f"SELECT CAST(-7 AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, '{said}' AS text FROM VALUES (0, 'user'), (1, 'assistant') AS v(turn, role)")
+    return digests(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
 def op8_systematic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrivane.llm.mixing import mixed
 
@@ -44,6 +72,56 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE: dict[str, str] = {}
 
+def _op3_sql() -> str:
+    from scrivane.llm.divergence import CHAR_LIMIT, CHAR_SLACK, CLASSES, COMMON, WORD_LIMIT, WORD_SLACK
+
+    every = sorted({w for ws in COMMON.values() for w in ws})
+    lists = [(lang, i, w) for lang, ws in [*COMMON.items(), ("*", every)] for i, w in enumerate(ws)]
+    values = ", ".join(f"('{lang}', {i}, '{x}')" for lang, i, w in lists for x in (w, w.capitalize()))
+    known = ", ".join(f"'{x}'" for x in COMMON)
+    quoted = {c: p.replace("'", "''") for c, p in CLASSES.items()}
+    counts = ", ".join(f"len(regexp_extract_all(t, '{p}')) AS {c}" for c, p in quoted.items())
+    rest = " - ".join(CLASSES)
+    return rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, {counts} FROM d
+), b AS (
+  SELECT *, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+    len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+    least(strlen(t) - length(t), length(t)) AS wide
+  FROM w
+), h AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, k) AS c FROM (SELECT r, i, md5(array_to_string(w[i:i + 7], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS i FROM w))
+), rep AS (
+  SELECT r, count(DISTINCT j) AS n FROM (SELECT r, unnest(range(i, i + 8)) AS j FROM h WHERE c > 1) GROUP BY r
+), lists(l, pos, word) AS (VALUES {values}), found AS (
+  SELECT r, pos, count(*) AS n FROM (SELECT r, CASE WHEN lang IN ({known}) THEN lang ELSE '*' END AS l, unnest(w) AS word FROM b) JOIN lists USING (l, word) GROUP BY r, pos
+), com AS (
+  SELECT r, lang, pos, coalesce(n, 0) AS n FROM (SELECT r, lang, pos FROM b JOIN (SELECT DISTINCT l, pos FROM lists) x ON x.l = CASE WHEN lang IN ({known}) THEN lang ELSE '*' END) LEFT JOIN found USING (r, pos)
+  UNION ALL SELECT r, lang, -1, n_words - coalesce((SELECT sum(n) FROM found WHERE found.r = b.r), 0) FROM b
+), cls AS (
+  SELECT r, lang, unnest(range(7)) AS pos, unnest([{", ".join(CLASSES)}, length(t) - word_chars, wide, greatest(word_chars - wide - {rest}, 0)]) AS n FROM b
+), both_ AS (
+  SELECT 'c' AS kind, * FROM cls UNION ALL SELECT 'w', * FROM com
+), ref AS (
+  SELECT kind, lang, pos, sum(n) AS m FROM both_ GROUP BY ALL
+), pq AS (
+  SELECT kind, r, n / nullif(sum(n) OVER (PARTITION BY kind, r), 0) AS p, m / nullif(sum(m) OVER (PARTITION BY kind, r), 0) AS q FROM both_ JOIN ref USING (kind, lang, pos)
+), dist AS (
+  SELECT r, coalesce(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) FILTER (WHERE kind = 'c' AND p IS NOT NULL AND q IS NOT NULL) / 2, 0)), 0) AS dc,
+    coalesce(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) FILTER (WHERE kind = 'w' AND p IS NOT NULL AND q IS NOT NULL) / 2, 0)), 0) AS dw
+  FROM pq GROUP BY r
+), j AS (
+  SELECT b.*, coalesce(rep.n, 0) AS n_repeat_words, dc, dw, n_words < 20 OR 100 * coalesce(rep.n, 0) > 30 * n_words AS base_failed FROM b LEFT JOIN rep USING (r) JOIN dist USING (r)
+)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
+  base_failed, NOT base_failed AND dc <= {CHAR_LIMIT} + {CHAR_SLACK} / sqrt(greatest(n_words, 1)) AND dw <= {WORD_LIMIT} + {WORD_SLACK} / sqrt(greatest(n_words, 1)) AS kept
+FROM j
+"""
+
+
 ORACLE["op4_repeated_phrases"] = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
@@ -69,6 +147,21 @@ FROM z LEFT JOIN k ON z.r = k.r
 """
 
 
+ORACLE["op7_relational_chat"] = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), b AS (
+  SELECT *, replace(replace(role, '<', '<~'), '[', '[~') AS r, replace(replace(text, '<', '<~'), '[', '[~') AS x,
+    lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role, text) IS NOT DISTINCT FROM role AS same FROM t
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(length(x) + CASE WHEN same THEN 6 ELSE 9 + 7 + 4 + length(r) END)::BIGINT AS formatted_chars
+FROM b GROUP BY conv_id
+"""
+
 ORACLE["op8_systematic_mix"] = r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS key,
@@ -103,4 +196,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLE)
+    return ORACLE | {"op3_divergence": _op3_sql()}
