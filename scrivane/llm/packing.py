@@ -122,21 +122,31 @@ def _cut(length: int, wide: bool, with_ids: bool):
     return run
 
 
-def packed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, path: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on request the ids (little-endian, 16 bits, or 32 for vocabularies over 65,536)."""
+def token_table(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, bool]:
+    """Pass one: (part, id, part_start, doc_tokens, ids), written, and whether an id takes 32 bits (16 up to a vocabulary of 65,536)."""
     from tokenizers import Tokenizer
 
     path = path or tokenizer_path()
     wide = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) > 1 << 16
     source = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    tokens = write_table(source.mapInArrow(_tokenise(path, end_id, wide), "part int, id bigint, part_start bigint, doc_tokens bigint, ids binary"), "tokens")
+    rows = source.mapInArrow(_tokenise(path, end_id, wide), "part int, id bigint, part_start bigint, doc_tokens bigint, ids binary")
+    return write_table(rows, "tokens", **{"parquet.compression.codec.zstd.level": "6"}), wide
+
+
+def with_offsets(tokens: DataFrame) -> DataFrame:
+    """(id, g, doc_tokens, ids): g is the document's first place in the whole concatenation."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     # One row of 12 bytes per input partition, of which Spark itself can only schedule a few millions.
-    rows = tokens.join(F.broadcast(bases), "part").select("id", (F.col("base") + F.col("part_start")).alias("g"), "doc_tokens", "ids")
+    return tokens.join(F.broadcast(bases), "part").select("id", (F.col("base") + F.col("part_start")).alias("g"), "doc_tokens", "ids")
+
+
+def packed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, path: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+    """One row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and on request the ids (little-endian)."""
+    tokens, wide = token_table(docs, id, text, path, end_id)
     schema = "id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint" + (", ids binary" if with_ids else "")
-    return rows.mapInArrow(_cut(length, wide, with_ids), schema).withColumnRenamed("id", id)
+    return with_offsets(tokens).mapInArrow(_cut(length, wide, with_ids), schema).withColumnRenamed("id", id)
 
 
 def boundaries(pieces: DataFrame, id: str = "doc_id") -> DataFrame:

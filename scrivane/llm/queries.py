@@ -43,6 +43,12 @@ def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir))
 
 
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.training_order import digests, materialise
+
+    return digests(spark, materialise(_documents(spark, sf_dir)))
+
+
 def op7_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from scrivane.llm.chat import digests
 
