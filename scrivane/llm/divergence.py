@@ -33,6 +33,7 @@ CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": r"[.,;:!?'\"()-]", "symbo
 SYMBOLS = "[#*$%&|<>]"
 MIN_WORDS = 20
 REPEAT_WINDOW = 8
+SALTS = 64
 #: A limit is its base plus its slack / sqrt(words).
 CHAR_LIMIT, CHAR_SLACK, WORD_LIMIT, WORD_SLACK = 0.16, 1.1, 0.2, 1.2
 
@@ -117,7 +118,10 @@ def references(counts: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, char_limit: float = CHAR_LIMIT, char_slack: float = CHAR_SLACK, word_limit: float = WORD_LIMIT, word_slack: float = WORD_SLACK) -> DataFrame:
     """(id, base counts, base_failed, char_distance, word_distance, kept) for every row."""
     counts = write_table(counted(docs, id, text, lang), "counts")
-    far = counts.join(references(counts), "lang").select(
+    # A language may hold most rows: its one reference row is copied to SALTS keys.
+    refs = references(counts).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = counts.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    far = salted.join(refs, ["lang", "_salt"]).select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
         ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
         distance(F.col("classes"), F.col("ref_classes")).alias("char_distance"), distance(F.col("common"), F.col("ref_common")).alias("word_distance"),
