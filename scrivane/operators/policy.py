@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scrivane.functions.arrow import arrow_function
+
 # Fixed values.
 EXIT_CODES = {"usage": 2, "source": 3, "policy": 4, "capture": 5, "render": 6, "validation": 7, "output": 8}
 OTHER_CODE = 9
@@ -75,12 +77,12 @@ def literal_readings(host: str) -> list[str]:
     return [str(ipaddress.IPv4Address(value))]
 
 
-@F.arrow_udf("boolean")
+@arrow_function("boolean")
 def is_internal(addresses: pa.Array) -> pa.Array:
     return pa.array([None if a is None else internal_address(a) for a in addresses.to_pylist()], pa.bool_())
 
 
-@F.arrow_udf("array<string>")
+@arrow_function("array<string>")
 def readings(hosts: pa.Array) -> pa.Array:
     return pa.array([None if h is None else literal_readings(h) for h in hosts.to_pylist()], pa.list_(pa.string()))
 
