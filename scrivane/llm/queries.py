@@ -44,9 +44,9 @@ def op5_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from scrivane.llm.training_order import digests, materialise
+    from scrivane.llm.training_order import materialise, read_shards
 
-    return digests(spark, materialise(_documents(spark, sf_dir)))
+    return read_shards(spark, materialise(_documents(spark, sf_dir)), digest=True)
 
 
 def op7_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

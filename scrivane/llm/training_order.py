@@ -29,7 +29,8 @@ from scrivane.llm.packing import LENGTH, token_table, with_offsets
 from scrivane.llm.words import mix
 
 KEY, ROUNDS = 20240229, 6
-PER_SHARD = 4096
+#: Sequences of a shard. A shard is read back as a whole, so this bounds a reader's memory; larger corpora on larger readers take more.
+PER_SHARD = 1024
 END = b"\n"
 
 
@@ -162,9 +163,9 @@ def materialise(docs: DataFrame, id: str = "doc_id", text: str = "text", length:
     return out
 
 
-def read_shards(spark: SparkSession, made: Materialised, first_slot: int = 0) -> DataFrame:
-    """(slot, shard, row, sequence_id, n_tokens, ids) from first_slot on, read back from the shard files."""
+def _reader(made: Materialised, first_slot: int, digest: bool):
     stride, length, per_shard, order, total = made.stride, made.length, made.per_shard, made.order, made.tokens
+    kind = np.dtype("<u4" if made.id_bytes == 4 else "<u2")
 
     def run(batches):
         for batch in batches:
@@ -172,33 +173,29 @@ def read_shards(spark: SparkSession, made: Materialised, first_slot: int = 0) ->
                 data = content.as_buffer()
                 if len(data) % stride:
                     raise ValueError(f"shard {shard} is not whole")
-                n = len(data) // stride
-                view = np.frombuffer(data, np.uint8).reshape(n, stride)
+                view = np.frombuffer(data, np.uint8).reshape(-1, stride)
                 if (view[:, -1] != END[0]).any():
                     raise ValueError(f"shard {shard} is off its stride")
-                rows = np.arange(n, dtype=np.int64)
+                rows = np.arange(max(0, first_slot - shard * per_shard), len(view), dtype=np.int64)
                 slots = shard * per_shard + rows
-                keep = slots >= first_slot
                 sequences = order.apply(slots, back=True)
-                ids = [view[i, :-1].tobytes() for i in np.flatnonzero(keep)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots[keep]), pa.array(np.full(keep.sum(), shard, np.int64)), pa.array(rows[keep]), pa.array(sequences[keep]), pa.array(np.minimum(total - sequences[keep] * length, length)), pa.array(ids, pa.binary())],
-                    ["slot", "shard", "row", "sequence_id", "n_tokens", "ids"],
-                )
-
-    schema = "slot bigint, shard bigint, row bigint, sequence_id bigint, n_tokens bigint, ids binary"
-    if not made.sequences:
-        return spark.createDataFrame([], schema)
-    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary, shard bigint").load(made.path)
-    return files.where(F.col("shard") >= first_slot // per_shard).select("shard", "content").mapInArrow(run, schema)
+                counts = np.minimum(total - sequences * length, length)
+                ids = (view[i, :-1].view(kind)[:n] for i, n in zip(rows.tolist(), counts.tolist()))
+                last = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()) if digest else pa.array([x.tobytes() for x in ids], pa.binary())
+                names = ["slot", "shard", "row", "sequence_id", "n_tokens", "ids_crc32" if digest else "ids"]
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(np.full(len(rows), shard, np.int64)), pa.array(rows), pa.array(sequences), pa.array(counts), last], names)
 
+    return run
 
-def digests(spark: SparkSession, made: Materialised) -> DataFrame:
-    """(slot, shard, row, sequence_id, n_tokens, ids_crc32): the checksum of the sequence's own ids as unsigned 32-bit little-endian."""
-    kind = np.dtype("<u4" if made.id_bytes == 4 else "<u2")
 
-    @F.arrow_udf("bigint")
-    def crc(ids: pa.Array, counts: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(np.frombuffer(b, kind)[:n].astype("<u4").tobytes()) for b, n in zip(ids.to_pylist(), counts.to_pylist())], pa.int64())
+def read_shards(spark: SparkSession, made: Materialised, first_slot: int = 0, digest: bool = False) -> DataFrame:
+    """(slot, shard, row, sequence_id, n_tokens, ids) from first_slot on, read back from the shard files.
 
-    return read_shards(spark, made).select("slot", "shard", "row", "sequence_id", "n_tokens", crc("ids", "n_tokens").alias("ids_crc32"))
+    ids are the sequence's own, little-endian; with `digest` their checksum as
+    unsigned 32-bit ids stands instead (ids_crc32).
+    """
+    schema = "slot bigint, shard bigint, row bigint, sequence_id bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids binary")
+    if not made.sequences:
+        return spark.createDataFrame([], schema)
+    files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary, shard bigint").load(made.path)
+    return files.where(F.col("shard") >= first_slot // made.per_shard).select("shard", "content").mapInArrow(_reader(made, first_slot, digest), schema)
