@@ -162,3 +162,8 @@ def mask_volatile(text: Column, workdir: str) -> Column:
     out = F.regexp_replace(out, r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?Z?", "<time>")
     out = F.regexp_replace(out, r"\bv?\d+\.\d+\.\d+\b", "<version>")
     return F.regexp_replace(out, r"\b\d+ bytes\b", "<size>")
+
+
+def single_bytes(text: Column) -> Column:
+    """Windows-1252 bytes of a text whose characters are all in Latin-1."""
+    return F.encode(text, "ISO-8859-1")

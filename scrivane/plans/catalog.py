@@ -1,4 +1,4 @@
 """All registered queries of the library."""
 
-from scrivane.plans import chunk_queries, page_queries, scalars  # noqa: F401
+from scrivane.plans import chunk_queries, corpus_queries, page_queries, scalars  # noqa: F401
 from scrivane.plans.registry import ORACLES, QUERIES  # noqa: F401
