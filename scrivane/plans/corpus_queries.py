@@ -167,7 +167,7 @@ def pointer_failures(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT item_id, count(DISTINCT run) AS runs, count(DISTINCT run) FILTER (WHERE contains(held, run)) AS found FROM (SELECT item_id, substr(w, i, 20) AS run, left(w, length(w) // 2) AS held FROM (
-  SELECT item_id, w, unnest(range(1, length(w) - 18)) AS i FROM (SELECT item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') AS w FROM benchmark))) GROUP BY item_id""".replace("\\\\", "\\"))
+  SELECT item_id, w, unnest(range(1, length(w) - 18)) AS i FROM (SELECT item_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]', '', 'g') AS w FROM benchmark))) GROUP BY item_id""".replace("\\\\", "\\"))
 def printed_share(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select("item_id", Q.squeezed(F.col("text")).alias("text"))
     held = b.select("item_id", F.expr("left(text, cast(length(text) div 2 as int))").alias("text"))
