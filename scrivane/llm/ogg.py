@@ -160,6 +160,8 @@ def timed(packets: list[tuple[bytes, int]], gap: int) -> list[tuple[int, bytes]]
 def decode(data: bytes) -> tuple[bytes, dict]:
     """(payload, features) of a stored stream."""
     streams = demux(data)
+    if not streams:
+        raise OggError("no pages")
     parts: list[tuple[int, bytes]] = []
     whole = rate = 0
     for packets in streams.values():
