@@ -52,14 +52,17 @@ def make_encoder(path: str):
     if not path.endswith(".json") or not os.path.exists(ranks_path):
         return lambda texts: [e.ids for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
     import public_tokenizers
-    import regex
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-    odd = regex.compile(r"\S{%d}|\s{%d}" % (LONG_RUN, LONG_RUN))
-    return lambda texts: [slow.encode(t, add_special_tokens=False).ids if len(t) > LONG_RUN and odd.search(t) else fast.encode_ordinary(t) for t in texts]
+
+    def odd(t: str) -> bool:
+        words = t.split()
+        return len(words) < 2 or max(map(len, words)) > LONG_RUN or len(t) - sum(map(len, words)) > LONG_RUN + len(words)
+
+    return lambda texts: [slow.encode(t, add_special_tokens=False).ids if len(t) > LONG_RUN and odd(t) else fast.encode_ordinary(t) for t in texts]
 
 
 def _tokenise(path: str, end_id: int, wide: bool):
