@@ -87,5 +87,6 @@ def emitted(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str
     counts = write_table(taken.groupBy("_row_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
     if (counts.agg(F.max("_rows")).first()[0] or 1) > 1:
         keyed = keyed.dropDuplicates(["_row_key"])
-    joined = keyed.join(counts.where("_copies > 0").select("_row_key", "_copies"), "_row_key")
+    # A merge join at every size, as counts grow with the rows.
+    joined = keyed.join(counts.where("_copies > 0").select("_row_key", "_copies").hint("merge"), "_row_key")
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)

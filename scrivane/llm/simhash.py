@@ -213,7 +213,8 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: in
     """
     found = near_duplicates(docs, id, text, radius, shingle)
     kept = write_table(found.where(F.col(id) == F.col("component_id")).groupBy(id).agg(F.count(F.lit(1)).alias("n")), "kept")
-    out = docs.join(kept.select(id), id, "left_semi").select(docs.columns)
+    # A merge join at every size: texts are dealt the same way whether few or many rows are kept.
+    out = docs.join(kept.select(id).hint("merge"), id, "left_semi").select(docs.columns)
     if kept.agg(F.max("n")).first()[0] not in (None, 1):
         out = out.dropDuplicates([id])
     return out.unionByName(docs.where(F.col(id).isNull()))
