@@ -51,10 +51,12 @@ def visual_text(*parts: Column) -> Column:
 def transcript_records(cues: DataFrame, id: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
     """Groups of whole cues: (id, part, parts, first, last, text)."""
     whole = cues.groupBy(id).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.coalesce(F.col(text), F.lit("")).alias("text")))).alias("cues"))
-    grouped = whole.withColumn("groups", K.cue_groups(F.transform("cues", lambda c: F.length(c.text))))
-    numbers = F.sequence(F.lit(0), F.array_max("groups"))
-    parts = grouped.select(id, (F.array_max("groups") + 1).alias("parts"), F.posexplode(F.transform(numbers, lambda g: F.filter(F.col("cues"), lambda c, i: F.get("groups", i) == g))).alias("part", "c"))
-    return parts.select(id, (F.col("part") + 1).alias("part"), "parts", F.array_min(F.transform("c", lambda x: x["at"])).alias("first"), F.array_max(F.transform("c", lambda x: x["at"])).alias("last"), F.array_join(F.transform("c", lambda x: x.text), "\n").alias("text"))
+    groups = K.cue_groups(F.transform("cues", lambda c: F.length(c.text)))
+    rows = whole.select(id, F.posexplode(F.arrays_zip("cues", groups.alias("part"))).alias("n", "x")).select(id, "n", "x.cues", "x.part")
+    parts = rows.groupBy(id, "part").agg(
+        F.min("cues.at").alias("first"), F.max("cues.at").alias("last"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "cues"))), lambda s: s.cues.text), "\n").alias("text"),
+    )
+    return parts.select(id, (F.col("part") + 1).alias("part"), (F.max("part").over(Window.partitionBy(id)) + 1).alias("parts"), "first", "last", "text")
 
 
 def gap_records(media: DataFrame, transcripts: DataFrame, id: str) -> DataFrame:

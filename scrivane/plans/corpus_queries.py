@@ -71,7 +71,7 @@ def _outline(spark, d):
 
 _NODES = """WITH r AS (SELECT r_regionkey AS k, 'course-' || lpad(row_number() OVER (ORDER BY r_regionkey)::VARCHAR, 2, '0') AS id, r_name AS title FROM region),
 n AS (SELECT n_nationkey AS k, r.id || '/part-' || lpad(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey)::VARCHAR, 2, '0') AS id, r.id AS parent, n_name AS title FROM nation JOIN r ON r.k = n_regionkey),
-c AS (SELECT c_custkey AS k, n.id || '/chapter-' || CASE WHEN o < 100 THEN lpad(o::VARCHAR, 2, '0') ELSE left(o::VARCHAR, 2) END AS id, n.id AS parent, c_name AS title FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS o FROM customer) JOIN n ON n.k = c_nationkey)"""
+c AS (SELECT c_custkey AS k, n.id || '/chapter-' || printf('%02d', o) AS id, n.id AS parent, c_name AS title FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS o FROM customer) JOIN n ON n.k = c_nationkey)"""
 
 
 @query(_NODES + " SELECT id AS node_id, NULL AS parent_id, title FROM r UNION ALL SELECT id, parent, title FROM n UNION ALL SELECT id, parent, title FROM c")
@@ -99,13 +99,15 @@ def outline_trails(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("key").cast("int").alias("n_nationkey"), F.get("trail", 0).alias("first"), F.element_at("trail", -1).alias("last"))
 
 
-@query("""WITH t AS (SELECT s_suppkey AS node, trim(s_name) AS title FROM supplier), x AS (SELECT c_custkey AS source, 'see ' || (SELECT any_value(title) FROM t WHERE node = c_custkey % 100) || ' and more' AS text FROM customer)
-SELECT source, title, node AS target, 'resolved' AS state FROM x JOIN t ON contains(text, title) WHERE source <> node""")
+@query("""WITH t AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 = 0 THEN 'more' ELSE trim(s_name) END AS title FROM supplier), x AS (SELECT c_custkey AS source, 'see ' || trim(s_name) || ' and more' AS text FROM customer JOIN supplier ON s_suppkey = c_custkey % 100)
+SELECT source, title, CASE n WHEN 1 THEN least_node END AS target, CASE n WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM x JOIN (SELECT title, count(*) AS n, min(node) AS least_node, list(node) AS nodes FROM t GROUP BY title) ON contains(text, title)
+WHERE n > 1 OR source <> least_node""")
 def cross_refs(spark: SparkSession, d: str) -> DataFrame:
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     names = s.select(F.col("s_suppkey").alias("k"), F.trim("s_name").alias("name"))
     texts = c.withColumn("k", F.col("c_custkey") % 100).join(names, "k").select(F.col("c_custkey").alias("node_id"), F.concat(F.lit("see "), "name", F.lit(" and more")).alias("text"))
-    return H.cross_references(texts, s.select(F.col("s_suppkey").alias("node_id"), F.col("s_name").alias("title")))
+    titles = s.select(F.col("s_suppkey").alias("node_id"), F.when(F.col("s_suppkey") % 7 == 0, "more").otherwise(F.col("s_name")).alias("title"))
+    return H.cross_references(texts, titles)
 
 
 @query("""SELECT sha256(text) AS sha256, max(strlen(text))::BIGINT AS bytes, count(*) AS refs, count(DISTINCT source) AS nodes, min(source || '/' || doc_id) AS first, count(DISTINCT source) > 1 AS shared FROM documents GROUP BY 1""")
