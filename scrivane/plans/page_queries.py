@@ -21,7 +21,7 @@ def page_titles(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", P.title(F.col("html")).alias("title"), F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) AS title, '' AS author, '' AS date, '' AS site,
+@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '&middot;', '·'), '&copy;', '©'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS title, '' AS author, '' AS date, '' AS site,
  regexp_extract(html, '<html lang="([^"]*)"', 1) AS language FROM pages""")
 def page_metadata(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", P.metadata(F.col("html")).alias("m")).select("page_id", "m.title", "m.author", "m.date", "m.site", "m.language")
@@ -56,7 +56,7 @@ def clean_text(spark: SparkSession, d: str) -> DataFrame:
     return t.select("page_id", F.sha2("t", 256).alias("text_sha"), F.length("t").alias("characters"))
 
 
-@query(r"""SELECT page_id, regexp_matches(html, '<nav>')::INT AS chrome_blocks, trim(regexp_replace(replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) AS heading FROM pages""")
+@query(r"""SELECT page_id, regexp_matches(html, '<nav>')::INT AS chrome_blocks, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1), '&middot;', '·'), '&copy;', '©'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g')) AS heading FROM pages""")
 def chrome_layers(spark: SparkSession, d: str) -> DataFrame:
     b = P.block_rows(table(spark, d, "pages"))
     return b.groupBy("page_id").agg(F.count_if(F.col("chrome") & (F.col("type") == "list")).cast("int").alias("chrome_blocks"), F.min_by("text", F.when(F.col("type") == "heading", F.col("pos"))).alias("heading"))
