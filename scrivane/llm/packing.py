@@ -133,7 +133,7 @@ def token_table(docs: DataFrame, id: str = "doc_id", text: str = "text", path: s
     wide = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1) > 1 << 16
     source = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
     rows = source.mapInArrow(_tokenise(path, end_id, wide), "part int, id bigint, part_start bigint, doc_tokens bigint, ids binary")
-    return write_table(rows, "tokens", **{"parquet.compression.codec.zstd.level": "6"}), wide
+    return write_table(rows, "tokens", **{"parquet.compression.codec.zstd.level": "6", "parquet.page.size": str(8 << 20)}), wide
 
 
 def with_offsets(tokens: DataFrame) -> DataFrame:
