@@ -66,8 +66,10 @@ def gap_records(media: DataFrame, transcripts: DataFrame, id: str) -> DataFrame:
 
 def appended(records: DataFrame, more: DataFrame, start: int, order: str) -> DataFrame:
     """More records with ids that go on from start."""
-    numbered = more.withColumn("chunk_id", F.format_string("ch_%06d", F.row_number().over(Window.orderBy(order)) + start))
-    return records.unionByName(numbered, allowMissingColumns=True)
+    from scrivane.operators.numbering import numbered
+
+    rows = numbered(more, [order], "_number").withColumn("chunk_id", F.format_string("ch_%06d", F.col("_number") + start + 1)).drop("_number")
+    return records.unionByName(rows, allowMissingColumns=True)
 
 
 def stamped(chunks: DataFrame, outline: DataFrame, on: str = "node_id") -> DataFrame:

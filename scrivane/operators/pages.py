@@ -71,6 +71,16 @@ def table_grid(rows: pa.Array) -> pa.Array:
     return _each(rows, M.grid, pa.list_(pa.list_(pa.string())))
 
 
+@arrow_function("string")
+def math(markup: pa.Array) -> pa.Array:
+    """Text of the first formula: its TeX annotation, its alttext, or its characters."""
+    def of(h):
+        node = next((n for n in M.parse(h).walk() if n.tag == "math"), None)
+        return None if node is None else M.math_text(node)
+
+    return _each(markup, of, pa.string())
+
+
 @arrow_function("array<string>")
 def byline_names(text: pa.Array) -> pa.Array:
     return _each(text, D.byline_names, pa.list_(pa.string()))

@@ -129,3 +129,72 @@ def schemas(spark: SparkSession) -> DataFrame:
     }
     rows = [(n, len(s.fields), json.dumps(s.jsonValue())) for n, t in ddl.items() for s in [StructType.fromDDL(t)]]
     return spark.createDataFrame(rows, "name string, fields int, schema string")
+
+
+def figure_seed(caption: Column, alt: Column, title: Column, reading: Column) -> Column:
+    """Text of a figure's chunk: the distinct things said about it."""
+    from scrivane.operators.chunks import visual_text
+
+    return visual_text(caption, alt, title, reading)
+
+
+def step_records(steps: DataFrame, key: str, start: int = 0) -> DataFrame:
+    """One chunk per step of rows (key, n, start, duration, title, said) with where it comes from."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy("n"))
+    where = F.struct(F.col("n").cast("int").alias("step"), F.col("start").alias("start"), (F.col("start") + F.col("duration")).alias("end"), citation_time(F.col("start")).alias("at"))
+    return steps.select(key, F.format_string("ch_%06d", n + start).alias("chunk_id"), F.concat_ws("\n", "title", "said").alias("text"), where.alias("video"))
+
+
+def legacy_bundle(pages: DataFrame, blocks: DataFrame, links: DataFrame, id: str = "page_id") -> DataFrame:
+    """(id, bundle): one JSON record of a page's source, blocks and links, in order."""
+    b = blocks.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("id", "type", "text").alias("b")))), lambda x: x.b).alias("blocks"))
+    k = links.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.struct("url").alias("k")))), lambda x: x.k).alias("links"))
+    joined = pages.join(b, id, "left").join(k, id, "left")
+    return joined.select(id, F.to_json(F.struct(F.lit("1.0").alias("version"), F.col("url").alias("source"), "blocks", "links"), {"ignoreNullFields": "true"}).alias("bundle"))
+
+
+def doctags(blocks: DataFrame, id: str = "page_id") -> DataFrame:
+    """(id, doctags): blocks as tagged text in order."""
+    from scrivane.functions.text import escape_html
+
+    tag = F.when(F.col("type") == "heading", F.concat(F.lit("section_header_level_"), F.col("level").cast("string"))).when(F.col("type") == "paragraph", "text").otherwise(F.col("type"))
+    line = F.concat(F.lit("<"), tag, F.lit(">"), escape_html(F.col("text")), F.lit("</"), tag, F.lit(">"))
+    return blocks.groupBy(id).agg(F.concat(F.lit("<doctag>\n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("l")))), lambda x: x.l), "\n"), F.lit("\n</doctag>")).alias("doctags"))
+
+
+def track_vtt(cues: DataFrame, tracks: DataFrame, key: str) -> DataFrame:
+    """(key, vtt): notes on a track (title, source, truncated), then its cues (start, end, text)."""
+    from scrivane.operators.media import vtt
+
+    note = F.concat(F.lit("NOTE "), F.col("title"), F.lit("\n"), F.col("source"), F.when(F.col("truncated"), "\nPARTIAL: the track was cut").otherwise(""))
+    return vtt(cues, key).join(tracks, key).select(key, F.concat(F.lit("WEBVTT\n\n"), note, F.lit("\n\n"), F.substring("vtt", F.lit(9), F.length("vtt"))).alias("vtt"))
+
+
+def undocumented_media(found: DataFrame, documented: DataFrame, id: str = "page_id") -> DataFrame:
+    """Media whose address no walkthrough documents."""
+    return found.join(documented.select(id, "src"), [id, "src"], "left_anti")
+
+
+def line_breaks(text: Column, lines: bool) -> Column:
+    """A break is a newline where the surface has lines, else a space; lone breaks at the ends say nothing."""
+    bare = F.regexp_replace(text, r"(?i)^(\s*<br\s*/?>)+|(<br\s*/?>\s*)+$", "")
+    return F.regexp_replace(bare, r"(?i)[ \t]*<br\s*/?>[ \t]*", "\n" if lines else " ")
+
+
+def appendix_html(steps: DataFrame, key: str) -> DataFrame:
+    """(key, html): a heading and a paragraph for each step, escaped, in order."""
+    from scrivane.functions.text import escape_html
+
+    part = F.concat(F.lit("<h2>"), escape_html(F.col("title")), F.lit("</h2><p>"), escape_html(F.col("said")), F.lit("</p>"))
+    return steps.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", part.alias("p")))), lambda x: x.p), "").alias("html"))
+
+
+def readme_text(title: Column, source: Column, files: Column) -> Column:
+    """What a print carries, for those who open it: files array<struct<path, description>>."""
+    listed = F.array_join(F.transform(files, lambda f: F.concat(F.lit("- "), f["path"], F.lit(": "), f["description"])), "\n")
+    return F.concat(title, F.lit("\n"), source, F.lit("\n\nAttached files:\n"), listed)
+
+
+def without_secrets(settings: Column, secret: tuple[str, ...] = ("password", "token", "profile", "storage_state")) -> Column:
+    """Settings of a run less what must not be written down."""
+    return F.map_filter(settings, lambda k, _: ~F.exists(F.split(k, r"\."), lambda part: part.isin(*secret)))
