@@ -23,5 +23,14 @@ def query(sql: str | None = None, name: str | None = None):
     return add
 
 
+#: Tables whose rows cost much work each.
+HEAVY = ("pages", "documents")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table's scan. One of few files would keep most cores idle while texts are
+    parsed, so a heavy table with fewer scan tasks than cores is dealt over them; a
+    table of a cluster's size has more tasks than cores and is read as it lies."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if name in HEAVY and df.rdd.getNumPartitions() < cores else df
