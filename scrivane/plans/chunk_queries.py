@@ -188,7 +188,7 @@ def media_text(spark: SparkSession, d: str) -> DataFrame:
     return s.select("s_suppkey", "t.title", "t.reason", said.alias("instruction"), V.untranscribed_note(tracks).alias("note"))
 
 
-@query("""SELECT l_orderkey AS page, l_linenumber AS line, string_agg(l_shipmode_, ' ' ORDER BY l_shipmode_) AS text, avg(conf) AS confidence FROM (SELECT l_orderkey, l_linenumber, 'w' || l_partkey AS l_shipmode_, CASE WHEN l_quantity < 5 THEN NULL ELSE l_quantity END AS conf FROM lineitem) GROUP BY ALL""".replace("avg(conf)", "round(avg(conf), 2)"))
+@query("""SELECT l_orderkey AS page, l_linenumber AS line, string_agg(l_shipmode_, ' ' ORDER BY l_shipmode_) AS text, round(avg(conf), 2) AS confidence FROM (SELECT l_orderkey, l_linenumber, 'w' || l_partkey AS l_shipmode_, CASE WHEN l_quantity < 5 THEN NULL ELSE l_quantity END AS conf FROM lineitem) GROUP BY ALL""")
 def ocr_lines(spark: SparkSession, d: str) -> DataFrame:
     conf = F.when(F.col("l_quantity") < 5, -1.0).otherwise(F.col("l_quantity"))
     tsv = F.concat_ws("\t", F.col("l_orderkey").cast("string"), F.lit("1"), F.lit("1"), F.col("l_linenumber").cast("string"), C("w", F.col("l_partkey")), conf.cast("string"))
@@ -206,7 +206,7 @@ def second_readings(spark: SparkSession, d: str) -> DataFrame:
     return r.select("c_custkey", O.keeps_second(F.col("a"), F.col("b"), F.col("conf")).alias("kept"), F.array_join(F.array_intersect(F.split(asked, r"\+"), F.array(F.lit("eng"))), "+").alias("asked"), F.array_join(O.missing_languages(asked, F.array(F.lit("eng"), F.lit("deu"))), "+").alias("missing"))
 
 
-@query("""SELECT sum(CASE WHEN trim(x) = '' THEN 0 ELSE len(regexp_split_to_array(trim(x), '\\s+')) END)::BIGINT AS words FROM (SELECT replace(text, chr(10), ' ') AS x FROM benchmark)""".replace("\\\\", "\\"))
+@query(r"""SELECT sum(CASE WHEN trim(x) = '' THEN 0 ELSE len(regexp_split_to_array(trim(x), '\s+')) END)::BIGINT AS words FROM (SELECT replace(text, chr(10), ' ') AS x FROM benchmark)""")
 def ocr_words(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").agg(F.sum(O.word_count(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))).alias("words"))
 

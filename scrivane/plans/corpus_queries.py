@@ -36,19 +36,19 @@ def chunk_search_page2(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""SELECT doc_id, length(w)::INT AS characters, sha256(w) AS text_sha, CASE WHEN strlen(w) + 0 < strlen(text) THEN strlen(w)::BIGINT END AS next_offset FROM (
-  SELECT doc_id, text, CASE WHEN strlen(text) <= 101 THEN text ELSE list_max(list_filter([left(text, n::BIGINT) for n in range(51, 102)], lambda x: strlen(x) <= 101)) END AS w FROM documents)""".replace("list_max(list_filter([left(text, n::BIGINT) for n in range(51, 102)], lambda x: strlen(x) <= 101))", "left(text, list_max(list_filter(range(50, 102), lambda n: strlen(left(text, n)) <= 101)))"))
+  SELECT doc_id, text, CASE WHEN strlen(text) <= 101 THEN text ELSE left(text, list_max(list_filter(range(50, 102), lambda n: strlen(left(text, n)) <= 101))) END AS w FROM documents)""")
 def byte_window(spark: SparkSession, d: str) -> DataFrame:
     w = table(spark, d, "documents").select("doc_id", R.byte_window(F.col("text").cast("binary"), 0, 101).alias("w"))
     return w.select("doc_id", F.length(F.col("w.data").cast("string")).alias("characters"), F.sha2(F.col("w.data"), 256).alias("text_sha"), "w.next_offset")
 
 
-@query("""SELECT doc_id, base64(substr(encode(text), 11, 30)) AS data FROM documents""".replace("substr(encode(text), 11, 30)", "array_slice(encode(text), 11, 40)"))
+@query("""SELECT doc_id, base64(array_slice(encode(text), 11, 40)) AS data FROM documents""")
 def asset_pages(spark: SparkSession, d: str) -> DataFrame:
     w = R.byte_window(F.col("text").cast("binary"), 10, 30, text=False)
     return table(spark, d, "documents").select("doc_id", F.base64(F.coalesce(w["data"], F.lit("").cast("binary"))).alias("data"))
 
 
-@query("""SELECT doc_id, 'c' || doc_id AS chunk_id, CASE doc_id % 3 WHEN 2 THEN NULL ELSE 'h' || doc_id END AS heading, doc_id % 3 = 2 AS unreadable FROM documents""".replace("'c' || doc_id AS", "CASE doc_id % 3 WHEN 2 THEN NULL ELSE 'c' || doc_id END AS"))
+@query("""SELECT doc_id, CASE doc_id % 3 WHEN 2 THEN NULL ELSE 'c' || doc_id END AS chunk_id, CASE doc_id % 3 WHEN 2 THEN NULL ELSE 'h' || doc_id END AS heading, doc_id % 3 = 2 AS unreadable FROM documents""")
 def chunk_projection(spark: SparkSession, d: str) -> DataFrame:
     i, m = F.col("doc_id"), F.col("doc_id") % 3
     v = F.when(m == 0, C('{"id":"c', i, '","text":"t","meta":{"headings":["h', i, '"],"kind":"text","sha256":"x"}}')).when(m == 1, C('{"id":"c', i, '","text":"t","heading_path":["h', i, '"],"sha256":"x"}')).otherwise("{broken")
@@ -92,7 +92,7 @@ def outline_diff(spark: SparkSession, d: str) -> DataFrame:
     return H.outline_diff(first, second)
 
 
-@query("""SELECT n_nationkey, 'region ' || r_name AS first, n_name AS last FROM nation JOIN region ON n_regionkey = r_regionkey""".replace("'region ' || r_name", "r_name"))
+@query("""SELECT n_nationkey, r_name AS first, n_name AS last FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def outline_trails(spark: SparkSession, d: str) -> DataFrame:
     o = _outline(spark, d)
     t = H.ancestors(o).join(o.where("level = 'part'").select("node_id", "key"), "node_id")
@@ -116,7 +116,7 @@ def media_store(spark: SparkSession, d: str) -> DataFrame:
     return H.media_store(f)
 
 
-@query("""SELECT o_custkey AS node_id, CASE WHEN count(*) = count(d) THEN sum(d) END AS total FROM (SELECT o_custkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 100 END AS d FROM orders) GROUP BY 1""".replace("THEN sum(d) END", "THEN sum(d)::BIGINT END"))
+@query("""SELECT o_custkey AS node_id, CASE WHEN count(*) = count(d) THEN sum(d)::BIGINT END AS total FROM (SELECT o_custkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 100 END AS d FROM orders) GROUP BY 1""")
 def measured_total(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "orders").select(F.col("o_custkey").alias("node_id"), F.when(F.col("o_orderkey") % 13 != 0, F.col("o_orderkey") % 100).alias("duration"))
     return H.measured_total(v, "node_id")
@@ -168,15 +168,15 @@ def pointer_failures(spark: SparkSession, d: str) -> DataFrame:
     return Q.bad_pointers(chunks, items, "page").select("chunk_id", "ref")
 
 
-@query("""SELECT item_id, count(DISTINCT run) AS runs, count(DISTINCT run) FILTER (WHERE contains(held, run)) AS found FROM (SELECT item_id, substr(w, i, 20) AS run, left(w, length(w) // 2) AS held FROM (
-  SELECT item_id, w, unnest(range(1, length(w) - 18)) AS i FROM (SELECT item_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]', '', 'g') AS w FROM benchmark))) GROUP BY item_id""".replace("\\\\", "\\"))
+@query(r"""SELECT item_id, count(DISTINCT run) AS runs, count(DISTINCT run) FILTER (WHERE contains(held, run)) AS found FROM (SELECT item_id, substr(w, i, 20) AS run, left(w, length(w) // 2) AS held FROM (
+  SELECT item_id, w, unnest(range(1, length(w) - 18)) AS i FROM (SELECT item_id, regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\p{L}\p{N}]', '', 'g') AS w FROM benchmark))) GROUP BY item_id""")
 def printed_share(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select("item_id", Q.squeezed(F.col("text")).alias("text"))
     held = b.select("item_id", F.expr("left(text, cast(length(text) div 2 as int))").alias("text"))
     return Q.printed_share(b, held, "item_id").select("item_id", "runs", "found")
 
 
-@query("""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'utf-16-le' WHEN doc_id % 4 = 3 AND regexp_matches(text, '[^\\x00-\\x7f]') THEN 'windows-1252' ELSE 'utf-8' END AS encoding, sha256(text) AS text_sha FROM documents""".replace("\\\\", "\\"))
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'utf-16-le' WHEN doc_id % 4 = 3 AND regexp_matches(text, '[^\x00-\x7f]') THEN 'windows-1252' ELSE 'utf-8' END AS encoding, sha256(text) AS text_sha FROM documents""")
 def encoding_decisions(spark: SparkSession, d: str) -> DataFrame:
     from scrivane.sources.encoding import decode_text
 
@@ -243,7 +243,7 @@ def checksum_manifest(spark: SparkSession, d: str) -> DataFrame:
     return Q.file_manifest(f).withColumn("doc_id", F.regexp_extract("path", "([0-9]+)", 1).cast("bigint"))
 
 
-@query("""SELECT doc_id, count(*) FILTER (WHERE regexp_matches(x, '[^\\x00-\\x7f]')) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) GROUP BY doc_id""".replace("\\\\", "\\"))
+@query(r"""SELECT doc_id, count(*) FILTER (WHERE regexp_matches(x, '[^\x00-\x7f]')) AS lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents) GROUP BY doc_id""")
 def non_ascii_lines(spark: SparkSession, d: str) -> DataFrame:
     from scrivane.sources.encoding import non_ascii_lines as kept
 

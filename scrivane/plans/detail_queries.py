@@ -18,7 +18,7 @@ from scrivane.plans.page_queries import C
 from scrivane.plans.registry import query, table
 
 
-@query(r"""SELECT n_nationkey, n_name || chr(10) || 'tail' AS text, 4 AS removed, 'onetrust' AS consent, CASE n_nationkey % 2 WHEN 0 THEN 'cloudflare' ELSE '' END AS robots, CASE n_nationkey % 2 WHEN 1 THEN 'generic' ELSE '' END AS walls FROM nation""".replace("4 AS removed", "CASE n_nationkey % 2 WHEN 0 THEN 4 ELSE 4 END AS removed"))
+@query(r"""SELECT n_nationkey, n_name || chr(10) || 'tail' AS text, 4 AS removed, 'onetrust' AS consent, CASE n_nationkey % 2 WHEN 0 THEN 'cloudflare' ELSE '' END AS robots, CASE n_nationkey % 2 WHEN 1 THEN 'generic' ELSE '' END AS walls FROM nation""")
 def noise_filtered(spark: SparkSession, d: str) -> DataFrame:
     extra = F.when(F.col("n_nationkey") % 2 == 0, '<form id="challenge-form"></form>').otherwise('<i class="Paywall"></i>')
     html = C("<body><nav>menu</nav><header>top</header><article><p>", F.col("n_name"), '</p><div class="related-posts">more</div><p>tail</p></article><div id="onetrust-consent-sdk">cookies?</div>', extra, "</body>")
@@ -225,7 +225,7 @@ def walkthrough_texts(spark: SparkSession, d: str) -> DataFrame:
     return w.select("conv_id", F.sha2("markdown", 256).alias("markdown_sha"), F.sha2("transcript", 256).alias("transcript_sha"))
 
 
-@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'u' || p_partkey WHEN 1 THEN 'g' ELSE '' END AS url, CASE p_partkey % 3 WHEN 0 THEN 'screenshot' WHEN 1 THEN 'gif' ELSE '' END AS kind, left(replace(p_name || ' ' || p_partkey, ' ', '-'), 64) AS safe, CASE WHEN length(p_name) > 5 THEN left(p_name, 5) || ' [...]' ELSE p_name END AS short FROM part""".replace("left(replace(p_name || ' ' || p_partkey, ' ', '-'), 64)", "left(regexp_replace(p_name || ' ' || p_partkey, '[^A-Za-z0-9_-]', '-', 'g'), 64)"))
+@query("""SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'u' || p_partkey WHEN 1 THEN 'g' ELSE '' END AS url, CASE p_partkey % 3 WHEN 0 THEN 'screenshot' WHEN 1 THEN 'gif' ELSE '' END AS kind, left(regexp_replace(p_name || ' ' || p_partkey, '[^A-Za-z0-9_-]', '-', 'g'), 64) AS safe, CASE WHEN length(p_name) > 5 THEN left(p_name, 5) || ' [...]' ELSE p_name END AS short FROM part""")
 def step_pictures(spark: SparkSession, d: str) -> DataFrame:
     m = F.col("p_partkey") % 3
     shot = B.screenshot(F.when(m == 0, C("u", F.col("p_partkey"))), F.lit(""), F.when(m == 1, "g"))

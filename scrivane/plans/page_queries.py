@@ -134,8 +134,8 @@ def byline_parts(spark: SparkSession, d: str) -> DataFrame:
 _CELL_TEXT = "'q' || l_quantity::INT || ' | \"x\" & ' || l_shipmode"
 
 
-@query("""SELECT l_orderkey, count(*) AS n_rows, sum(l_quantity)::BIGINT AS quantity, string_agg('| ' || l_linenumber || ' | ' || l_quantity::INT || ' \\| <b> | ' || l_returnflag || ' |', chr(10) ORDER BY l_linenumber, l_quantity::INT::VARCHAR, l_returnflag) AS body
-FROM lineitem GROUP BY l_orderkey""".replace("\\\\", "\\"))
+@query(r"""SELECT l_orderkey, count(*) AS n_rows, sum(l_quantity)::BIGINT AS quantity, string_agg('| ' || l_linenumber || ' | ' || l_quantity::INT || ' \| <b> | ' || l_returnflag || ' |', chr(10) ORDER BY l_linenumber, l_quantity::INT::VARCHAR, l_returnflag) AS body
+FROM lineitem GROUP BY l_orderkey""")
 def tables_markdown(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem")
     row = C("<tr><td>", F.col("l_linenumber"), "<td>", F.col("l_quantity").cast("int"), " | &lt;b&gt;</td><td> ", F.col("l_returnflag"), "\n</td></tr>")
@@ -182,7 +182,7 @@ def markdown_writer(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", P.markdown(html).alias("markdown"))
 
 
-@query("""SELECT n_nationkey, t.type, t.text FROM nation, (VALUES ('heading', '## H'), ('paragraph', 'body'), ('list', '- a' || chr(10) || '- b'), ('quote', '> q'), ('code', '```py' || chr(10) || 'x = 1' || chr(10) || '```'), ('table', '| h |' || chr(10) || '| --- |' || chr(10) || '| c\\|d |')) AS t(type, text)""".replace("\\\\", "\\"))
+@query(r"""SELECT n_nationkey, t.type, t.text FROM nation, (VALUES ('heading', '## H'), ('paragraph', 'body'), ('list', '- a' || chr(10) || '- b'), ('quote', '> q'), ('code', '```py' || chr(10) || 'x = 1' || chr(10) || '```'), ('table', '| h |' || chr(10) || '| --- |' || chr(10) || '| c\|d |')) AS t(type, text)""")
 def blocks_markdown(spark: SparkSession, d: str) -> DataFrame:
     html = F.lit('<h2>H</h2><p>body</p><ul><li>a<li>b</ul><blockquote>q</blockquote><pre><code class="language-py">x = 1</code></pre><table><tr><th>h<tr><td>c|d</table>')
     b = P.block_rows(table(spark, d, "nation").select("n_nationkey", html.alias("html")), "n_nationkey")
@@ -198,7 +198,7 @@ def visual_harvest(spark: SparkSession, d: str) -> DataFrame:
 _REGIONS = """SELECT page_id, 'article' AS selector, 0 AS ord, 200 + page_id * 7 % 900 AS text, page_id * 3 % 400 AS link FROM pages UNION ALL SELECT page_id, 'main', 1, 250 + page_id * 5 % 800, page_id % 350 FROM pages UNION ALL SELECT page_id, '.content', 2, 300 + page_id % 500, 0 FROM pages"""
 
 
-@query(f"""SELECT page_id, selector, score FROM (SELECT page_id, selector, text - least(0.35 * link, 0.5 * text)::DOUBLE AS score, row_number() OVER (PARTITION BY page_id ORDER BY text - least(0.35 * link, 0.5 * text) DESC, ord) AS n FROM ({_REGIONS}) WHERE text >= 300) WHERE n = 1""".replace("text - least(0.35 * link, 0.5 * text)::DOUBLE", "(text - least(0.35 * link, 0.5 * text))::DOUBLE"))
+@query(f"""SELECT page_id, selector, score FROM (SELECT page_id, selector, (text - least(0.35 * link, 0.5 * text))::DOUBLE AS score, row_number() OVER (PARTITION BY page_id ORDER BY text - least(0.35 * link, 0.5 * text) DESC, ord) AS n FROM ({_REGIONS}) WHERE text >= 300) WHERE n = 1""")
 def content_regions(spark: SparkSession, d: str) -> DataFrame:
     p, k = table(spark, d, "pages"), F.col("page_id")
     regions = p.select("page_id", F.lit("article").alias("selector"), F.lit(0).alias("ord"), (200 + k * 7 % 900).alias("text"), (k * 3 % 400).alias("link")).union(

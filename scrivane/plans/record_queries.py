@@ -30,7 +30,7 @@ def step_chunks(spark: SparkSession, d: str) -> DataFrame:
     return c.select("conv_id", "chunk_id", "text", "video.step", "video.at")
 
 
-@query("""SELECT c_custkey AS node_id, c_name AS text, n_name AS part, c_custkey % 2 = 0 AS stamped FROM customer JOIN nation ON c_nationkey = n_nationkey""".replace("n_name AS part", "CASE WHEN c_custkey % 2 = 0 THEN n_name END AS part"))
+@query("""SELECT c_custkey AS node_id, c_name AS text, CASE WHEN c_custkey % 2 = 0 THEN n_name END AS part, c_custkey % 2 = 0 AS stamped FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def stamped_chunks(spark: SparkSession, d: str) -> DataFrame:
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     outline = c.where("c_custkey % 2 = 0").join(n, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_custkey").alias("node_id"), F.col("n_name").alias("part"))

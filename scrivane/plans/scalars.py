@@ -78,8 +78,8 @@ _FORMATS = [(".csv", "table", "converted"), (".tsv", "table", "converted"), (".j
             (".epub", "book", "converted"), (".zip", "archive", "converted"), (".html", "page", "native"), (".png", "image", "native")]
 
 
-@query("WITH f(suffix, kind, presentation) AS (VALUES " + ", ".join(map(str, _FORMATS)) + """), s AS (SELECT doc_id, 'f' || doc_id || ['.csv', '.MD', '.png', '.exe', '.zip', '.html', '.docx', ''][doc_id % 8 + 1] AS name FROM documents)
-SELECT coalesce(kind, 'none') AS kind, coalesce(presentation, 'none') AS presentation, count(*) AS files FROM s LEFT JOIN f ON lower(regexp_extract(name, '(\\.[^.]*)$', 1)) = suffix GROUP BY ALL""".replace("\\\\", "\\"))
+@query("WITH f(suffix, kind, presentation) AS (VALUES " + ", ".join(map(str, _FORMATS)) + r"""), s AS (SELECT doc_id, 'f' || doc_id || ['.csv', '.MD', '.png', '.exe', '.zip', '.html', '.docx', ''][doc_id % 8 + 1] AS name FROM documents)
+SELECT coalesce(kind, 'none') AS kind, coalesce(presentation, 'none') AS presentation, count(*) AS files FROM s LEFT JOIN f ON lower(regexp_extract(name, '(\.[^.]*)$', 1)) = suffix GROUP BY ALL""")
 def format_registry(spark: SparkSession, d: str) -> DataFrame:
     formats = spark.createDataFrame(_FORMATS, "suffix string, kind string, presentation string")
     names = table(spark, d, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.element_at(F.array(*map(F.lit, [".csv", ".MD", ".png", ".exe", ".zip", ".html", ".docx", ""])), (F.col("doc_id") % 8 + 1).cast("int"))).alias("name"))
@@ -87,8 +87,8 @@ def format_registry(spark: SparkSession, d: str) -> DataFrame:
     return joined.groupBy(F.coalesce("kind", F.lit("none")).alias("kind"), F.coalesce("presentation", F.lit("none")).alias("presentation")).agg(F.count(F.lit(1)).alias("files"))
 
 
-@query("""SELECT doc_id, sha256(repeat('`', m) || chr(10) || b || chr(10) || repeat('`', m)) AS block_sha, m AS ticks FROM (
-  SELECT doc_id, b, greatest(3, coalesce(list_max(list_transform(regexp_extract_all(b, '`+'), lambda x: len(x))), 0) + 1)::INT AS m FROM (SELECT doc_id, regexp_replace(repeat('`', (doc_id % 7)::INT) || text, '\\n+$', '') AS b FROM documents))""".replace("\\\\", "\\"))
+@query(r"""SELECT doc_id, sha256(repeat('`', m) || chr(10) || b || chr(10) || repeat('`', m)) AS block_sha, m AS ticks FROM (
+  SELECT doc_id, b, greatest(3, coalesce(list_max(list_transform(regexp_extract_all(b, '`+'), lambda x: len(x))), 0) + 1)::INT AS m FROM (SELECT doc_id, regexp_replace(repeat('`', (doc_id % 7)::INT) || text, '\n+$', '') AS b FROM documents))""")
 def verbatim_fence(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "documents").select("doc_id", X.fence(F.concat(F.repeat(F.lit("`"), (F.col("doc_id") % 7).cast("int")), F.col("text"))).alias("b"))
     return t.select("doc_id", F.sha2("b", 256).alias("block_sha"), F.length(F.regexp_extract("b", "^(`+)", 1)).alias("ticks"))

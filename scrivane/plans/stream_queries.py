@@ -32,9 +32,9 @@ def stream_budgets(spark: SparkSession, d: str) -> DataFrame:
     return jobs.budgets(spark, f"{d}/events.parquet").withColumn("spent", F.round("spent", 4))
 
 
-@query("""SELECT n_nationkey, k.kind, CASE k.kind WHEN 'docx' THEN '## ' || n_name || nl || nl || '3. b' || n_nationkey || nl || '4. c & <d>' WHEN 'pptx' THEN '## Slide 1: ' || n_name || nl || nl || 'b' || n_nationkey || nl || nl || '### Notes' || nl || nl || 'c & <d>'
- WHEN 'xlsx' THEN '## ' || n_name || nl || nl || '| b' || n_nationkey || ' |  | c & <d> |' || nl || '| --- | --- | --- |' ELSE 'Title: ' || n_name || nl || nl || '# b' || n_nationkey || nl || nl || 'c & \\<d\\>' END AS markdown
-FROM (SELECT *, chr(10) AS nl FROM nation), (VALUES ('docx'), ('pptx'), ('xlsx'), ('epub')) AS k(kind)""".replace("\\\\", "\\"))
+@query(r"""SELECT n_nationkey, k.kind, CASE k.kind WHEN 'docx' THEN '## ' || n_name || nl || nl || '3. b' || n_nationkey || nl || '4. c & <d>' WHEN 'pptx' THEN '## Slide 1: ' || n_name || nl || nl || 'b' || n_nationkey || nl || nl || '### Notes' || nl || nl || 'c & <d>'
+ WHEN 'xlsx' THEN '## ' || n_name || nl || nl || '| b' || n_nationkey || ' |  | c & <d> |' || nl || '| --- | --- | --- |' ELSE 'Title: ' || n_name || nl || nl || '# b' || n_nationkey || nl || nl || 'c & \<d\>' END AS markdown
+FROM (SELECT *, chr(10) AS nl FROM nation), (VALUES ('docx'), ('pptx'), ('xlsx'), ('epub')) AS k(kind)""")
 def office_files(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "nation").withColumn("kind", F.explode(F.array(*map(F.lit, ("docx", "pptx", "xlsx", "epub")))))
     files = n.select("n_nationkey", "kind", office.sample_file(F.col("kind"), F.array("n_name", C("b", F.col("n_nationkey")), F.lit("c & <d>"))).alias("content"))
