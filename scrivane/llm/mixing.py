@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import ranked, words_of, write_table
+from scrivane.llm.common import free_name, ranked, words_of, write_table
 
 #: The weights of the sources in order, repeating; copies of a source at most.
 WEIGHTS = (5, 2, 1)
@@ -82,11 +82,12 @@ def emitted(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str
     Rows are told apart by a hash of all their columns; rows alike in all of them
     are emitted as often as they are taken together.
     """
-    keyed = docs.withColumn("_row_key", F.xxhash64(*[F.col(c) for c in docs.columns]))
-    taken = mixed(keyed, id, text, source, seed, keep=["_row_key"])
-    counts = write_table(taken.groupBy("_row_key").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows")), "copies")
-    if (counts.agg(F.max("_rows")).first()[0] or 1) > 1:
-        keyed = keyed.dropDuplicates(["_row_key"])
+    key, copies, copy = (free_name(docs, n) for n in ("_row_key", "_copies", "_copy"))
+    keyed = docs.withColumn(key, F.xxhash64(*[F.col(c) for c in docs.columns]))
+    taken = mixed(keyed, id, text, source, seed, keep=[key])
+    counts = write_table(taken.groupBy(key).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias("rows")), "copies")
+    if (counts.agg(F.max("rows")).first()[0] or 1) > 1:
+        keyed = keyed.dropDuplicates([key])
     # A merge join at every size, as counts grow with the rows.
-    joined = keyed.join(counts.where("_copies > 0").select("_row_key", "_copies").hint("merge"), "_row_key")
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(docs.columns)
+    joined = keyed.join(counts.where(F.col(copies) > 0).select(key, copies).hint("merge"), key)
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)

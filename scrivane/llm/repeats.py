@@ -31,8 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import drop_table, each_bytes, write_table
-from scrivane.llm.words import WORD_BASE_2, minimizers, run_hashes, word_hashes, word_spans
+from scrivane.llm.common import drop_table, each_bytes, free_name, write_table
+from scrivane.llm.words import WORD_BASE_2, minimizers, run_hashes, word_hashes
 
 WINDOW = 50
 PHRASE = 8
@@ -262,8 +262,8 @@ def cut_words(data: np.ndarray, spans: list[dict] | None) -> tuple[int, int, byt
     return len(words), int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
 
 
-def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """docs' columns plus `repeats`, a struct of n_words, n_removed and kept (the kept words joined by one space)."""
+def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, out: str = "repeats") -> DataFrame:
+    """docs' columns plus `out`, a struct of n_words, n_removed and kept (the kept words joined by one space)."""
 
     @F.arrow_udf("struct<n_words: bigint, n_removed: bigint, kept: string>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -271,6 +271,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         words, removed, kept = zip(*done) if done else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_words", "n_removed", "kept"])
 
-    spans = repeated_spans(docs, id, text, window, phrase).select(F.col("doc_id").alias("_repeats_id"), F.col("spans").alias("_repeats_spans"))
-    joined = docs.join(spans.hint("merge"), F.col(id).cast("bigint") == F.col("_repeats_id"), "left")
-    return joined.withColumn("repeats", cut(F.col(text), F.col("_repeats_spans"))).drop("_repeats_id", "_repeats_spans")
+    key, found = free_name(docs, "_repeats_id"), free_name(docs, "_repeats_spans")
+    spans = repeated_spans(docs, id, text, window, phrase).select(F.col("doc_id").alias(key), F.col("spans").alias(found))
+    joined = docs.join(spans.hint("merge"), F.col(id).cast("bigint") == F.col(key), "left")
+    return joined.withColumn(out, cut(F.col(text), F.col(found))).drop(key, found)

@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import drop_table, each_bytes, free_name, write_table
+from scrivane.llm.common import each_bytes, write_table
 from scrivane.llm.components import connected_components
 from scrivane.llm.words import LOWER, word_spans
 

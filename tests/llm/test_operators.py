@@ -417,6 +417,23 @@ def test_queries_have_the_columns_of_their_contracts(spark):
         assert set(columns.split()) <= set(queries.queries()[name](spark, "/root/testdata/sf0.001").columns), name
 
 
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, labels = labelled(n=200)
+    d = f"file://{tmp_path}"
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    names = ["repeats", "toxicity", "_score", "_row_key", "_copies", "_copy", "_repeats_id", "_repeats_spans", "_cut_text", "size", "key", "fp", "rep", "n", "h", "KEPT"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text").cast("bigint"))
+    docs = docs.withColumns({c: F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in names}).persist()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, docs, d)
+        assert after.columns == docs.columns
+        for r in after.collect():
+            assert all(r[c] == (None if r.doc_id is None else f"{c}{r.doc_id}") for c in names), name
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, d).count() >= len(rows)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
