@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivane.functions import text as X
 from scrivane.operators import chunks as K
 from scrivane.operators import media as V
 from scrivane.operators import ocr as O
