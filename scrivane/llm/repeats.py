@@ -68,7 +68,7 @@ def _phrases(window: int, phrase: int):
     return run
 
 
-def _segments(window: int, phrase: int, shards: int):
+def _segments(window: int, phrase: int):
     """Rows for the shards: kind 0, an owner's phrase; kind 1, a run of a document's windows with confirmed phrases."""
 
     def run(batches):
@@ -223,7 +223,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     phrases = write_table(source.mapInArrow(_phrases(window, phrase), "h bigint, doc_id bigint"), "phrases")
     recurring = phrases.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
     hits = write_table(phrases.join(recurring, "h"), "hits")
-    # About half a window's phrases of windows belong to a hit; a shard is sized by that.
+    # A hit stands for at most as many windows as hold its phrase; shards and parts are sized by that.
     per_task = max(1, SHARD_WINDOWS // (window - phrase + 1))
     loads = hits.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
     hot = loads.where(F.col("n") > per_task).select("owner", F.ceil(F.col("n") / per_task).cast("int").alias("parts"))
@@ -236,7 +236,7 @@ def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
     marks = marked.groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
     # Merge joins at every size: the plan must not hang on how little a small table repeats.
     rows = source.join(marks.hint("merge"), "doc_id").select("doc_id", "text", "marks").mapInArrow(
-        _segments(window, phrase, shards), "shard int, salt int, kind int, dealt boolean, doc_id bigint, start int, words binary"
+        _segments(window, phrase), "shard int, salt int, kind int, dealt boolean, doc_id bigint, start int, words binary"
     )
     dealt = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
     found = write_table(dealt.mapInArrow(_locator(window, phrase), _SPANS), "located")
