@@ -131,6 +131,15 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
 
 
+def clock_micros(ts: Column) -> Column:
+    """Microseconds of a wall-clock time since 1970, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts.cast("timestamp_ntz"))
+
+
+def clock_seconds(ts: Column) -> Column:
+    return F.floor(clock_micros(ts) / 1_000_000)
+
+
 def finite(value: Column) -> Column:
     """A number, or 0 for what is none or not finite."""
     n = value.try_cast("double")

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivane.functions.text import clock_micros
+
 #: Characters by which titles and texts meet.
 GRAM = 8
 LEVELS = ("course", "part", "chapter", "module", "lesson")
@@ -144,7 +146,7 @@ def media_store(files: DataFrame) -> DataFrame:
 def gaps(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     """Seconds since the one before, per key."""
     w = Window.partitionBy(key).orderBy(ts)
-    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+    seconds = clock_micros(F.col(ts)) / 1e6
     return events.withColumn("gap", seconds - F.lag(seconds).over(w))
 
 

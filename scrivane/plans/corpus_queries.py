@@ -215,8 +215,8 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT epoch_us(time_bucket(INTERVAL '1 hour', ts)) // 1000000 AS start, event_type, count(*) AS events, round(sum(value), 6) AS value FROM events GROUP BY ALL""")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
-    w = table(spark, d, "events").groupBy(F.window(F.col("ts").cast("timestamp"), "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 6).alias("value"))
-    return w.select(F.unix_seconds("w.start").alias("start"), "event_type", "events", "value")
+    w = table(spark, d, "events").groupBy(F.window("ts", "1 hour").alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 6).alias("value"))
+    return w.select(X.clock_seconds(F.col("w.start")).alias("start"), "event_type", "events", "value")
 
 
 @query("""SELECT user_id, event_type, n, rank() OVER (PARTITION BY event_type ORDER BY n DESC) AS rank, dense_rank() OVER (PARTITION BY event_type ORDER BY n DESC) AS dense FROM (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL)""")

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivane.functions.text import clock_seconds
 from scrivane.sources.shared import new_path
 
 
@@ -63,7 +64,7 @@ def windowed(spark: SparkSession, path: str, width: str = "1 hour", late: str =
     """Counts by window and type behind a watermark; a window's row of the last batch stands."""
     e = source(spark, path).withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
     counts = e.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("value"), 6).alias("value"))
-    rows = batches(counts.select(F.unix_seconds("w.start").alias("start"), "event_type", "events", "value"), "windows")
+    rows = batches(counts.select(clock_seconds(F.col("w.start")).alias("start"), "event_type", "events", "value"), "windows")
     return rows.groupBy("start", "event_type").agg(F.max_by("events", "batch").alias("events"), F.max_by("value", "batch").alias("value"))
 
 
