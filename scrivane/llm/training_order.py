@@ -70,7 +70,7 @@ def _pieces(length: int, wide: bool, order: Feistel):
     kind = np.dtype("<u4" if wide else "<u2")
 
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             firsts, blobs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             sequences, offsets, parts, size = [], [], [], 0
