@@ -211,7 +211,11 @@ def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: in
 
     Rows with a null id stay. If an id stands in several rows, one of them stays.
     """
-    found = near_duplicates(docs, id, text, radius, shingle)
+    return one_of_each(docs, near_duplicates(docs, id, text, radius, shingle), id)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id: str) -> DataFrame:
+    """docs without the rows whose id is not their component's in found (id, component_id); rows with a null id stay."""
     kept = write_table(found.where(F.col(id) == F.col("component_id")).groupBy(id).agg(F.count(F.lit(1)).alias("n")), "kept")
     # A merge join at every size: texts are dealt the same way whether few or many rows are kept.
     out = docs.join(kept.select(id).hint("merge"), id, "left_semi").select(docs.columns)
