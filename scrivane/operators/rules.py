@@ -33,7 +33,7 @@ def consent_managers(html: pa.Array) -> pa.Array:
 
 @arrow_function("array<string>")
 def robot_checks(html: pa.Array) -> pa.Array:
-    return _each(html, lambda h: selectors.vendors(M.parse(h), selectors.ROBOT_CHECKS), pa.list_(pa.string()))
+    return _each(html, lambda h: selectors.vendors(root := M.parse(h), selectors.ROBOT_CHECKS) + selectors.refusals(root), pa.list_(pa.string()))
 
 
 @arrow_function("array<string>")
@@ -164,6 +164,12 @@ def wall_phrase(text: Column, phrases: list[str]) -> Column:
     return F.struct(best["phrase"].alias("phrase"), best["at"].cast("bigint").alias("at"))
 
 
+@arrow_function("string")
+def wall_words(text: pa.Array) -> pa.Array:
+    """As wall_phrase, with the reference's own list of words."""
+    return _each(text, selectors.wall_words, pa.string())
+
+
 def has_ligatures(text: Column) -> Column:
     return text.rlike(f"[{LIGATURES}]")
 
