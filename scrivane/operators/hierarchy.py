@@ -134,15 +134,26 @@ def cross_references(texts: DataFrame, titles: DataFrame) -> DataFrame:
     return found.select(F.col("node_id").alias("source"), "title", F.when(F.col("n") == 1, F.col("target")).alias("target"), F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("state")).distinct()
 
 
+def cross_reference_candidates(references: DataFrame, titles: DataFrame) -> DataFrame:
+    """Every node that a reference may mean, a row each: (source, title, candidate), of cross_references(texts, titles)."""
+    clean = titles.select(F.trim("title").alias("title"), F.col("node_id").alias("candidate")).distinct()
+    return references.select("source", "title").join(clean, "title").select("source", "title", "candidate")
+
+
 def media_store(files: DataFrame) -> DataFrame:
     """Content-addressed: (sha256, bytes, refs, nodes, shared) of rows (node_id, path, content digest and size).
 
-    The reference list of a digest is as long as its copies; counts come by partial
-    aggregation, and the list is bounded by `first`, the least references.
+    Counts come by partial aggregation, and `first` is the least path; every
+    referrer is a row of media_references, so no group is gathered.
     """
     return files.groupBy("sha256").agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("refs"), F.count_distinct("node_id").alias("nodes"), F.min("path").alias("first")).withColumn("shared", F.col("nodes") > 1)
 
 
+def media_references(files: DataFrame) -> DataFrame:
+    """The referrers of the store's entries, a row each: (sha256, node_id, path)."""
+    return files.select("sha256", "node_id", "path")
+
+
 def gaps(events: DataFrame, key: str, ts: str = "ts") -> DataFrame:
     """Seconds since the one before, per key."""
     w = Window.partitionBy(key).orderBy(ts)

@@ -99,21 +99,29 @@ def outline_trails(spark: SparkSession, d: str) -> DataFrame:
     return t.select(F.col("key").cast("int").alias("n_nationkey"), F.get("trail", 0).alias("first"), F.element_at("trail", -1).alias("last"))
 
 
-@query("""WITH t AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 = 0 THEN 'more' ELSE trim(s_name) END AS title FROM supplier), x AS (SELECT c_custkey AS source, 'see ' || trim(s_name) || ' and more' AS text FROM customer JOIN supplier ON s_suppkey = c_custkey % 100)
-SELECT source, title, CASE n WHEN 1 THEN least_node END AS target, CASE n WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM x JOIN (SELECT title, count(*) AS n, min(node) AS least_node, list(node) AS nodes FROM t GROUP BY title) ON contains(text, title)
-WHERE n > 1 OR source <> least_node""")
-def cross_refs(spark: SparkSession, d: str) -> DataFrame:
+def _named(spark, d):
+    """Texts of customers that name suppliers, and the suppliers' titles."""
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     names = s.select(F.col("s_suppkey").alias("k"), F.trim("s_name").alias("name"))
     texts = c.withColumn("k", F.col("c_custkey") % 100).join(names, "k").select(F.col("c_custkey").alias("node_id"), F.concat(F.lit("see "), "name", F.lit(" and more")).alias("text"))
     titles = s.select(F.col("s_suppkey").alias("node_id"), F.when(F.col("s_suppkey") % 7 == 0, "more").otherwise(F.col("s_name")).alias("title"))
-    return H.cross_references(texts, titles)
+    return texts, titles
+
+
+@query("""WITH t AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 = 0 THEN 'more' ELSE trim(s_name) END AS title FROM supplier), x AS (SELECT c_custkey AS source, 'see ' || trim(s_name) || ' and more' AS text FROM customer JOIN supplier ON s_suppkey = c_custkey % 100)
+SELECT source, title, CASE n WHEN 1 THEN least_node END AS target, CASE n WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM x JOIN (SELECT title, count(*) AS n, min(node) AS least_node, list(node) AS nodes FROM t GROUP BY title) ON contains(text, title)
+WHERE n > 1 OR source <> least_node""")
+def cross_refs(spark: SparkSession, d: str) -> DataFrame:
+    return H.cross_references(*_named(spark, d))
+
+
+def _files(spark, d):
+    return table(spark, d, "documents").select(F.col("source").alias("node_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
 
 
 @query("""SELECT sha256(text) AS sha256, max(strlen(text))::BIGINT AS bytes, count(*) AS refs, count(DISTINCT source) AS nodes, min(source || '/' || doc_id) AS first, count(DISTINCT source) > 1 AS shared FROM documents GROUP BY 1""")
 def media_store(spark: SparkSession, d: str) -> DataFrame:
-    f = table(spark, d, "documents").select(F.col("source").alias("node_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
-    return H.media_store(f)
+    return H.media_store(_files(spark, d))
 
 
 @query("""SELECT o_custkey AS node_id, CASE WHEN count(*) = count(d) THEN sum(d)::BIGINT END AS total FROM (SELECT o_custkey, CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 100 END AS d FROM orders) GROUP BY 1""")

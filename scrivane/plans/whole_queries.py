@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scrivane.plans import chunk_queries, detail_queries, record_queries
+from scrivane.operators import hierarchy as H
+from scrivane.plans import chunk_queries, corpus_queries, detail_queries, record_queries
 from scrivane.plans.registry import ORACLES, query
 
 
@@ -39,3 +40,16 @@ def step_cues_whole(spark: SparkSession, d: str) -> DataFrame:
 @query(_whole("walkthrough_texts"))
 def walkthrough_texts_whole(spark: SparkSession, d: str) -> DataFrame:
     return detail_queries.walkthrough_texts(spark, d, whole=True)
+
+
+@query("""SELECT sha256(text) AS sha256, source AS node_id, concat_ws('/', source, doc_id::VARCHAR) AS path FROM documents""")
+def media_references(spark: SparkSession, d: str) -> DataFrame:
+    return H.media_references(corpus_queries._files(spark, d))
+
+
+@query("""WITH t AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 = 0 THEN 'more' ELSE trim(s_name) END AS title FROM supplier), x AS (SELECT c_custkey AS source, 'see ' || trim(s_name) || ' and more' AS text FROM customer JOIN supplier ON s_suppkey = c_custkey % 100),
+n AS (SELECT title, count(*) AS n, min(node) AS least_node FROM t GROUP BY title)
+SELECT source, title, node AS candidate FROM x JOIN n ON contains(text, title) JOIN t USING (title) WHERE n > 1 OR source <> least_node""")
+def cross_ref_candidates(spark: SparkSession, d: str) -> DataFrame:
+    texts, titles = corpus_queries._named(spark, d)
+    return H.cross_reference_candidates(H.cross_references(texts, titles), titles)
