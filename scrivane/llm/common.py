@@ -58,6 +58,12 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def new_column(df: DataFrame, name: str) -> None:
+    """A column that is to be added must not replace one of the table's."""
+    if free_name(df, name) != name:
+        raise ValueError(f"the table has a column {name} already; give another name for the result")
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from scrivane.llm.common import each_bytes, write_table
 from scrivane.llm.components import connected_components
 from scrivane.llm.simhash import one_of_each
-from scrivane.llm.words import LOWER, mix, run_hashes, word_hashes
+from scrivane.llm.words import LOWER, digests, mix, run_hashes
 
 BANDS, ROWS = 32, 4
 BLOCK = 64
@@ -38,7 +38,7 @@ _SALT, _FACTOR = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS
 
 def shingles(data: np.ndarray, size: int = 5) -> np.ndarray:
     """Sorted 64-bit hashes of one text's distinct shingles."""
-    found = word_hashes(LOWER[data])
+    found = digests(LOWER[data].tobytes().split())[0]
     return np.unique(run_hashes(found, min(size, len(found)))) if len(found) else np.zeros(0, np.uint64)
 
 

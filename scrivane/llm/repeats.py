@@ -3,24 +3,34 @@
 A window is `window` consecutive words of one document. A word goes if a window
 that covers it also starts in a document with a smaller id. The steps:
 
-1. Every window picks one phrase of `phrase` words, the one of least hash, so
-   equal windows pick equal phrases. Phrases picked in two documents or more are
-   confirmed as recurring; the smallest document with a phrase owns it.
-2. The owners' phrases are compiled into Aho-Corasick automata over word
-   numbers, one for each shard of owners. Hot owners get several tasks, each
-   with a copy of that shard's automaton and a part of the documents.
-3. The segments of all documents whose windows picked a confirmed phrase stream
-   through their shard's automaton, which locates every occurrence. The windows
-   over an occurrence are compared by 128-bit hashes within the shard: all
-   documents with a window meet there, for they share its phrase and so its owner.
-4. Located windows of a smaller document become removed spans.
-
-Nothing depends on how often a passage occurs: counts, phrases and windows cover
-all documents, and no step gathers a phrase's occurrences in one place.
-
-Nulls and the like: a null text has no words; texts shorter than a window are
-never touched; rows with a null id neither lose words nor cause losses; rows
-that share an id count as one document, whose rows never remove each other.
+1. Confirm. Every window picks one phrase of `phrase` words, the one of least hash, so
+   equal windows pick equal phrases. Of phrases picked in two documents or more, the
+   smallest document owns the phrase, and the phrases of one owner's block of BLOCK
+   words go to one shard. There the windows that picked them are held against each
+   other; each window that stands in two documents or more is confirmed, once, where
+   the smallest document has it. Runs of confirmed windows are the recurring passages.
+2. Compile. The passages of a shard become one Aho-Corasick automaton. Its letters are
+   numbered runs of `window / 5` words, its keys the windows of the passages, and each
+   key names its owner.
+3. Stream. The whole text of every document that holds a confirmed phrase streams
+   through its shards' automata, in chunks of CHUNK windows. A hit says that a window
+   stands there and who owns it; if the owner is smaller, its words go. Other documents
+   cannot hold a passage, so no automaton needs them.
+
+Words are hashed by XXH3-128 and runs of words by mixing 128-bit hashes, without any
+sum that crafted texts could balance.
+
+Nothing depends on how often a passage occurs. Shards are sized by counted windows;
+a block with more than SHARD_WINDOWS is confirmed in several tasks, whose windows meet
+in one aggregation, and streams its documents in as many. An automaton of more than
+KEYS windows is split by the keys' first letters, and a chunk goes to those parts that
+its own letters name, so it is copied at most once for each of its windows.
+
+Nulls and the like: a null text has no words; texts shorter than a window are never
+touched; very long texts are streamed in chunks; rows with a null id neither lose words
+nor cause losses; rows that share an id count as one document, whose rows never remove
+each other; rows that repeat lose the same words; an empty table gives an empty one;
+columns of clashing names keep their values.
 """
 
 from __future__ import annotations
@@ -31,222 +41,375 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import drop_table, each_bytes, free_name, write_table
-from scrivane.llm.words import WORD_BASE_2, minimizers, run_hashes, word_hashes
+from scrivane.llm.common import drop_table, each_bytes, free_name, new_column, write_table
+from scrivane.llm.words import digests, minimizers, mix, run_hashes
 
 WINDOW = 50
 PHRASE = 8
-#: Windows that one task compares; it bounds the task's memory (about 60 bytes each).
-SHARD_WINDOWS = 1_000_000
-LOW = np.uint64(0xFFFFFFFF)
-_SPANS = "doc_id bigint, start int, stop int, h1 bigint, h2 bigint"
-
-
-def _picked(data: np.ndarray, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(word hashes, phrase hashes, for each window the position of its phrase)."""
-    words = word_hashes(data)
+#: Words of an owner whose phrases share a shard.
+BLOCK = 1024
+#: Windows that one task confirms; it bounds the task's memory (about 100 bytes each).
+SHARD_WINDOWS = 500_000
+#: Windows that one automaton holds (some 500 bytes each).
+KEYS = 200_000
+#: Windows of a document that stream as one row.
+CHUNK = 4096
+_CONFIRMED = "shard int, parts int, h1 bigint, h2 bigint, doc_id bigint, t bigint, start int, stop int, last bigint"
+_STREAMED = "shard int, salt int, kind int, doc_id bigint, t bigint, start int, parts int, part int, words binary"
+
+
+def _picked(words: list[bytes], window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """(phrase hashes, for each window the position of its phrase)."""
     if len(words) < window:
-        return words, np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    phrases = run_hashes(words, phrase)
-    return words, phrases, minimizers(phrases, window - phrase + 1)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    phrases = run_hashes(digests(words)[0], phrase)
+    return phrases, minimizers(phrases, window - phrase + 1)
 
 
 def _phrases(window: int, phrase: int):
+    """(h, doc_id, at, n): a document's picked phrases, where each stands first and how many windows picked it."""
+
     def run(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            docs, hashes = [], []
+            out = [[], [], [], []]
             for doc, data in zip(ids, each_bytes(batch.column(1))):
-                _, phrases, picks = _picked(data, window, phrase)
+                phrases, picks = _picked(data.tobytes().split(), window, phrase)
                 if len(picks):
-                    found = np.unique(phrases[picks])
-                    hashes.append(found)
-                    docs.append(np.full(len(found), doc, np.int64))
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(docs))], ["h", "doc_id"])
+                    found, first, n = np.unique(phrases[picks], return_index=True, return_counts=True)
+                    for x, y in zip(out, (found, np.full(len(found), doc, np.int64), picks[first], n)):
+                        x.append(y)
+            if out[0]:
+                h, docs, at, n = map(np.concatenate, out)
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(docs), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], ["h", "doc_id", "at", "n"])
 
     return run
 
 
-def _segments(window: int, phrase: int):
-    """Rows for the shards: kind 0, an owner's phrase; kind 1, a run of a document's windows with confirmed phrases."""
+class _Rows:
+    """Rows of arrays, flushed as record batches of about 4 MB of their last column."""
 
-    def run(batches):
-        out: list[list] = [[] for _ in range(7)]
-        held = 0
+    def __init__(self, schema: pa.Schema):
+        self.schema, self.columns, self.size = schema, [[] for _ in schema], 0
 
-        def flush():
-            batch = pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int32(), pa.binary()))],
-                ["shard", "salt", "kind", "dealt", "doc_id", "start", "words"],
-            )
-            for x in out:
-                x.clear()
-            return batch
-
-        def put(*row):
-            for x, y in zip(out, row):
-                x.append(y)
+    def put(self, *row) -> None:
+        for x, y in zip(self.columns, row):
+            x.append(y)
+        self.size += len(row[-1])
+
+    def full(self) -> bool:
+        return self.size > 4 << 20
+
+    def flush(self) -> pa.RecordBatch:
+        batch = pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(self.columns, self.schema)], schema=self.schema)
+        self.columns, self.size = [[] for _ in self.schema], 0
+        return batch
+
+
+def _marked(marks: list[dict], hashes: np.ndarray) -> np.ndarray:
+    """For each hash the index of its mark, -1 where it has none."""
+    known = np.array([m["h"] for m in marks], np.int64).view(np.uint64)
+    order = np.argsort(known)
+    at = np.minimum(np.searchsorted(known[order], hashes), len(known) - 1)
+    return np.where(known[order][at] == hashes, order[at], -1)
+
+
+def _dealt(doc: int, t: int, at: int, parts: int) -> int:
+    """The part that a piece of a document goes to."""
+    return int(mix(np.array([(doc * 31 + t) & 0xFFFFFFFFFFFFFFFF], np.uint64) + np.uint64(at))[0] % np.uint64(parts)) if parts > 1 else 0
+
+
+def _segments(window: int, phrase: int):
+    """A document's runs of windows whose phrases are confirmed, for the shards that confirm passages."""
+    schema = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("parts", pa.int32()), ("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("words", pa.binary())])
 
+    def run(batches):
+        out = _Rows(schema)
         for batch in batches:
-            docs, lists = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for doc, data, marks in zip(docs, each_bytes(batch.column(1)), lists):
-                words, phrases, picks = _picked(data, window, phrase)
+            docs, ts, lists = (batch.column(i).to_pylist() for i in (0, 1, 3))
+            for doc, t, data, marks in zip(docs, ts, each_bytes(batch.column(2)), lists):
+                words = data.tobytes().split()
+                phrases, picks = _picked(words, window, phrase)
                 if not len(picks):
                     continue
-                known = np.array([m["h"] for m in marks], np.int64).view(np.uint64)
-                order = np.argsort(known)
-                known = known[order]
-                marks = [marks[i] for i in order]
-                hashes = phrases[picks]
-                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-                hit = known[at] == hashes
-                places = [(m["shard"], doc % m["parts"] if m["parts"] > 1 else 0, m["parts"] > 1) for m in marks]
-                numbers = {p: i for i, p in enumerate(dict.fromkeys(places))}
-                place = np.where(hit, np.array([numbers[p] for p in places])[at], -1)
-                cuts = np.flatnonzero(np.diff(place, prepend=-2, append=-2))
-                names = list(numbers)
+                mark = _marked(marks, phrases[picks])
+                place = np.where(mark >= 0, np.array([m["shard"] for m in marks], np.int64)[mark], 1 << 40)
+                cuts = np.flatnonzero(np.diff(place, prepend=-1 << 40, append=-1 << 40))
                 for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                    if place[lo] >= 0:
-                        shard, salt, dealt = names[place[lo]]
-                        piece = words[lo : hi + window - 1].tobytes()
-                        put(shard, salt, 1, dealt, doc, lo, piece)
-                        held += len(piece)
-                own = [i for i, m in enumerate(marks) if m["owner"] == doc]
-                if own:
-                    first = dict(zip(at[hit][::-1].tolist(), picks[hit][::-1].tolist()))
-                    for i in own:
-                        if i in first:
-                            piece = words[first[i] : first[i] + phrase].tobytes()
-                            for salt in range(marks[i]["parts"]):
-                                put(marks[i]["shard"], salt, 0, False, doc, 0, piece)
-                                held += len(piece)
-                if held > 4 << 20:
-                    held = 0
-                    yield flush()
-        if out[0]:
-            yield flush()
+                    if mark[lo] < 0:
+                        continue
+                    # A shard of a hot block holds nothing else, so its windows agree on the parts.
+                    shard, parts = int(place[lo]), marks[mark[lo]]["parts"]
+                    for a in range(lo, hi, CHUNK):
+                        b = min(a + CHUNK, hi)
+                        out.put(shard, _dealt(doc, t, a, parts), parts, doc, t, a, b" ".join(words[a : b + window - 1]))
+                if out.full():
+                    yield out.flush()
+        if out.columns[0]:
+            yield out.flush()
 
     return run
 
 
 class _Shard:
-    """One shard's automaton and the windows that it has located."""
+    """The windows of one shard's pieces, or of one part of a hot shard's."""
 
-    def __init__(self, window: int, phrase: int):
-        self.window, self.phrase = window, phrase
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        self.ready = False
+    def __init__(self, window: int, shard: int, parts: int):
+        self.window, self.shard, self.parts = window, shard, parts
         self.found: list[tuple[np.ndarray, ...]] = []
 
-    def add(self, words: bytes) -> None:
-        self.automaton.add_word(tuple((np.frombuffer(words, np.uint64) & LOW).tolist()), 1)
-
-    def stream(self, doc: int, start: int, dealt: bool, data: bytes) -> None:
-        if not self.ready:
-            self.automaton.make_automaton()
-            self.ready = True
-        words = np.frombuffer(data, np.uint64)
-        n = len(words) - self.window + 1
-        ends = [e for e, _ in self.automaton.iter(tuple((words & LOW).tolist()))] if len(self.automaton) else []
-        if not ends:
-            return
-        ends = np.array(ends)
-        over = np.zeros(n + 1, np.int32)  # windows over an occurrence
-        np.add.at(over, np.clip(ends - self.window + 1, 0, n), 1)
-        np.add.at(over, np.clip(ends - self.phrase + 2, 0, n), -1)
-        at = np.flatnonzero(np.cumsum(over[:n]) > 0)
-        if len(at):
-            h1, h2 = run_hashes(words, self.window)[at], run_hashes(words, self.window, WORD_BASE_2)[at]
-            self.found.append((h1, h2, np.full(len(at), doc, np.int64), (at + start).astype(np.int32), np.full(len(at), dealt)))
-
-    def result(self):
-        """Removed spans, and of dealt shards the windows first seen here, which other tasks may have from a smaller document."""
-        if not self.found:
-            return None
-        h1, h2, docs, starts, dealt = (np.concatenate(x) for x in zip(*self.found))
-        order = np.lexsort((docs, h2, h1))
-        h1, h2, docs, starts, dealt = (x[order] for x in (h1, h2, docs, starts, dealt))
+    def add(self, doc: int, t: int, start: int, words: bytes) -> None:
+        hashes = digests(words.split())
+        n = hashes.shape[1] - self.window + 1
+        self.found.append((run_hashes(hashes[0], self.window), run_hashes(hashes[1], self.window, 1), np.full(n, doc, np.int64), np.full(n, t, np.int64), np.arange(start, start + n)))
+
+    def result(self) -> pa.RecordBatch | None:
+        """Of each distinct window its first place and its largest document: all of them in a part, else the confirmed ones, as ranges."""
+        h1, h2, docs, ts, starts = (np.concatenate(x) for x in zip(*self.found))
+        order = np.lexsort((starts, ts, docs, h2, h1))
+        h1, h2, docs, ts, starts = (x[order] for x in (h1, h2, docs, ts, starts))
         new = np.ones(len(h1), bool)
         new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
-        least = docs[np.flatnonzero(new)][np.cumsum(new) - 1]
-        gone, open_ = docs > least, dealt & (docs == least)
-        doc, lo, hi = merged(docs[gone], starts[gone], self.window)
-        n, m = len(doc), int(open_.sum())
-        none = pa.nulls(n, pa.int64())
+        first = np.flatnonzero(new)
+        last = docs[np.append(first[1:], len(h1)) - 1]
+        if self.parts > 1:
+            pick, stops = first, starts[first] + 1
+            hashes = [pa.array(h[first].view(np.int64)) for h in (h1, h2)]
+        else:
+            kept = first[docs[first] < last]
+            last = last[docs[first] < last]
+            if not len(kept):
+                return None
+            order = np.lexsort((starts[kept], ts[kept], docs[kept]))
+            kept, last = kept[order], last[order]
+            new = np.ones(len(kept), bool)
+            new[1:] = (docs[kept[1:]] != docs[kept[:-1]]) | (ts[kept[1:]] != ts[kept[:-1]]) | (starts[kept[1:]] != starts[kept[:-1]] + 1)
+            begin = np.flatnonzero(new)
+            pick, stops, last = kept[begin], starts[kept[np.append(begin[1:], len(kept)) - 1]] + 1, last[begin]
+            hashes = [pa.nulls(len(pick), pa.int64())] * 2
+        same = lambda v: pa.array(np.full(len(pick), v, np.int32))
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([doc, docs[open_]])),
-                pa.array(np.concatenate([lo, starts[open_]]).astype(np.int32)),
-                pa.array(np.concatenate([hi, starts[open_] + self.window]).astype(np.int32)),
-                pa.concat_arrays([none, pa.array(h1[open_].view(np.int64))]),
-                pa.concat_arrays([none, pa.array(h2[open_].view(np.int64))]),
-            ],
-            ["doc_id", "start", "stop", "h1", "h2"],
-        ) if n + m else None
-
-
-def merged(docs: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows as (doc, start, stop) spans, touching ones joined."""
-    order = np.lexsort((starts, docs))
-    docs, starts = docs[order], starts[order].astype(np.int64)
-    if not len(docs):
-        return docs, starts, starts
-    new = np.ones(len(docs), bool)
-    new[1:] = (docs[1:] != docs[:-1]) | (starts[1:] > starts[:-1] + window)
-    first = np.flatnonzero(new)
-    return docs[first], starts[first], starts[np.append(first[1:], len(docs)) - 1] + window
+            [same(self.shard), same(self.parts), *hashes, pa.array(docs[pick]), pa.array(ts[pick]), pa.array(starts[pick].astype(np.int32)), pa.array(stops.astype(np.int32)), pa.array(last)],
+            [c.split()[0] for c in _CONFIRMED.split(", ")],
+        )
 
 
-def _locator(window: int, phrase: int):
+def _confirmer(window: int):
     def run(batches):
         now, shard = None, None
         for batch in batches:
-            for key_shard, key_salt, kind, dealt, doc, start, words in zip(*(c.to_pylist() for c in batch.columns)):
-                if (key_shard, key_salt) != now:
+            for key, salt, parts, doc, t, start, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if (key, salt) != now:
                     if shard is not None and (out := shard.result()) is not None:
                         yield out
-                    now, shard = (key_shard, key_salt), _Shard(window, phrase)
-                if kind:
-                    shard.stream(doc, start, dealt, words)
-                else:
-                    shard.add(words)
+                    now, shard = (key, salt), _Shard(window, key, parts)
+                shard.add(doc, t, start, words)
         if shard is not None and (out := shard.result()) is not None:
             yield out
 
     return run
 
 
+class _Letters:
+    """Runs of words as letters: `window / size` of them, `size` words apart, spell a window."""
+
+    def __init__(self, window: int):
+        self.size = max(r for r in range(1, max(1, window // 5) + 1) if window % r == 0)
+        self.count = window // self.size
+
+    def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        hashes = digests(words)
+        return run_hashes(hashes[0], self.size), run_hashes(hashes[1], self.size, 1)
+
+
+def _streams(window: int, phrase: int):
+    """Rows for the automata: kind 0, a passage of its owner; kind 1, a chunk of a document."""
+    schema = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("t", pa.int64()), ("start", pa.int32()), ("parts", pa.int32()), ("part", pa.int32()), ("words", pa.binary())])
+    letters = _Letters(window)
+
+    def run(batches):
+        out = _Rows(schema)
+        for batch in batches:
+            docs, ts, lists, owned = (batch.column(i).to_pylist() for i in (0, 1, 3, 4))
+            for doc, t, data, marks, own in zip(docs, ts, each_bytes(batch.column(2)), lists, owned):
+                words = data.tobytes().split()
+                n = len(words) - window + 1
+                places = {m["shard"]: (m["parts"], m["key_parts"]) for m in marks}
+                for o in own or []:
+                    if o["t"] == t:
+                        parts, key_parts = places[o["shard"]]
+                        for lo in range(o["start"], o["stop"], CHUNK):
+                            piece = b" ".join(words[lo : min(lo + CHUNK, o["stop"]) + window - 1])
+                            for salt in range(parts * key_parts):
+                                out.put(o["shard"], salt, 0, doc, t, lo, key_parts, salt % key_parts, piece)
+                        if out.full():
+                            yield out.flush()
+                if n > CHUNK:
+                    phrases, picks = _picked(words, window, phrase)
+                    mark = _marked(marks, phrases[picks])
+                for lo in range(0, n, CHUNK):
+                    some = words[lo : lo + CHUNK + window - 1]
+                    piece = b" ".join(some)
+                    here = places if n <= CHUNK else {marks[i]["shard"] for i in set(mark[lo : lo + CHUNK].tolist()) if i >= 0}
+                    for shard in here:
+                        parts, key_parts = places[shard]
+                        dealt = _dealt(doc, t, lo, parts) * key_parts
+                        named = np.unique(letters.of(some)[0] % np.uint64(key_parts)).tolist() if key_parts > 1 else (0,)
+                        for j in named:
+                            out.put(shard, dealt + j, 1, doc, t, lo, key_parts, j, piece)
+                    if out.full():
+                        yield out.flush()
+        if out.columns[0]:
+            yield out.flush()
+
+    return run
+
+
+class _Automaton:
+    """Aho-Corasick automaton over a shard's passages: every window is a key of `count` letters that names its owner."""
+
+    def __init__(self, window: int):
+        self.window, self.letters = window, _Letters(window)
+        self.passages: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.machine = None
+
+    def add(self, owner: int, parts: int, part: int, words: bytes) -> None:
+        a, b = self.letters.of(words.split())
+        n = len(a) - (self.letters.count - 1) * self.letters.size
+        keys = np.arange(n)
+        if parts > 1:
+            keys = keys[a[:n] % np.uint64(parts) == np.uint64(part)]
+        self.passages.append((owner, a, b, keys))
+
+    def compile(self) -> None:
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.owners = np.array([p[0] for p in self.passages], np.int64)
+        a, b = (np.concatenate([np.zeros(0, np.uint64), *(p[i] for p in self.passages)]) for i in (1, 2))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.low, self.high = a[new], b[new]
+        steps = np.arange(self.letters.count) * self.letters.size
+        for i, (_, x, y, keys) in enumerate(self.passages):
+            for key in self.numbers(x, y)[keys[:, None] + steps].tolist():
+                self.machine.add_word(tuple(key), i)
+        self.passages.clear()
+        self.machine.make_automaton()
+
+    def numbers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The letters' numbers, from 1; 0 for those that no passage has."""
+        if not len(self.low):
+            return np.zeros(len(a), np.int64)
+        at = np.minimum(np.searchsorted(self.low, a), len(self.low) - 1)
+        return np.where((self.low[at] == a) & (self.high[at] == b), at + 1, 0)
+
+    def hits(self, words: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(window starts, owners) of the passages' windows that stand in the words."""
+        if self.machine is None:
+            self.compile()
+        if not len(self.machine):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        numbers = self.numbers(*self.letters.of(words.split()))
+        size, back = self.letters.size, self.letters.count - 1
+        starts, owners = [], []
+        for phase in range(size):
+            for end, owner in self.machine.iter(tuple(numbers[phase::size].tolist())):
+                starts.append(phase + size * (end - back))
+                owners.append(owner)
+        return np.array(starts, np.int64), self.owners[owners]
+
+
+def merged(docs: np.ndarray, ts: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:
+    """Windows as (doc, t, start, stop) spans, touching ones joined."""
+    if not len(docs):
+        return docs, ts, starts, starts
+    order = np.lexsort((starts, ts, docs))
+    docs, ts, starts = docs[order], ts[order], starts[order]
+    new = np.ones(len(docs), bool)
+    new[1:] = (docs[1:] != docs[:-1]) | (ts[1:] != ts[:-1]) | (starts[1:] > starts[:-1] + window)
+    first = np.flatnonzero(new)
+    return docs[first], ts[first], starts[first], starts[np.append(first[1:], len(docs)) - 1] + window
+
+
+def _locator(window: int):
+    def run(batches):
+        now, machine = None, None
+        spans: list[tuple[np.ndarray, ...]] = []
+        held = 0
+
+        def flush():
+            docs, ts, lo, hi = (np.concatenate(x) for x in zip(*spans))
+            return pa.RecordBatch.from_arrays([pa.array(docs), pa.array(ts), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))], ["doc_id", "t", "start", "stop"])
+
+        for batch in batches:
+            for shard, salt, kind, doc, t, start, parts, part, words in zip(*(c.to_pylist() for c in batch.columns)):
+                if (shard, salt) != now:
+                    now, machine = (shard, salt), _Automaton(window)
+                if not kind:
+                    machine.add(doc, parts, part, words)
+                    continue
+                starts, owners = machine.hits(words)
+                starts = starts[owners < doc] + start
+                if len(starts):
+                    n = len(starts)
+                    spans.append(merged(np.full(n, doc, np.int64), np.full(n, t, np.int64), starts, window))
+                    held += len(spans[-1][0])
+                if held > 50_000:
+                    yield flush()
+                    held = 0
+                    spans.clear()
+        if spans:
+            yield flush()
+
+    return run
+
+
 def repeated_spans(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
-    """(doc_id, spans array<struct<start, stop>>): word spans that windows of smaller documents cover; one row per document that has any."""
-    source = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    phrases = write_table(source.mapInArrow(_phrases(window, phrase), "h bigint, doc_id bigint"), "phrases")
-    recurring = phrases.groupBy("h").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("h", "owner")
-    hits = write_table(phrases.join(recurring, "h"), "hits")
-    # A hit stands for at most as many windows as hold its phrase; shards and parts are sized by that.
-    per_task = max(1, SHARD_WINDOWS // (window - phrase + 1))
-    loads = hits.groupBy("owner").agg(F.count(F.lit(1)).alias("n"))
-    hot = loads.where(F.col("n") > per_task).select("owner", F.ceil(F.col("n") / per_task).cast("int").alias("parts"))
-    shards = 1 + hits.count() // per_task
-    # At most hits / per_task owners are hot, so this broadcast stays small next to the data.
-    marked = hits.join(F.broadcast(hot), "owner", "left").select(
-        "doc_id",
-        F.struct("h", "owner", F.pmod(F.xxhash64("owner"), F.lit(shards)).cast("int").alias("shard"), F.coalesce("parts", F.lit(1)).alias("parts")).alias("mark"),
+    """(doc_id, t, spans array<struct<start, stop>>): word spans that windows of smaller documents cover, for each id and text hash that has any."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    source = docs.select(F.col(id).cast("bigint").alias("doc_id"), F.xxhash64(body).alias("t"), body.alias("text")).where("doc_id is not null")
+
+    # Confirm: phrases by hash, then windows by shard.
+    phrases = write_table(source.select("doc_id", "text").mapInArrow(_phrases(window, phrase), "h bigint, doc_id bigint, at int, n int"), "phrases")
+    first = F.min(F.struct("doc_id", "at")).alias("first")
+    recurring = phrases.groupBy("h").agg(first, F.max("doc_id").alias("last")).where("first.doc_id < last").select("h", F.col("first.doc_id").alias("owner"), F.expr(f"first.at div {BLOCK}").cast("int").alias("block"))
+    hits = write_table(phrases.join(recurring, "h").select("h", "doc_id", "n", "owner", "block"), "hits")
+    drop_table(phrases)
+    loads = hits.groupBy("owner", "block").agg(F.sum("n").alias("load"))
+    shards = 1 + (hits.agg(F.sum("n")).first()[0] or 0) // SHARD_WINDOWS
+    shared, own = F.pmod(F.xxhash64("owner", "block"), F.lit(shards)), F.pmod(F.xxhash64("block", "owner"), F.lit((1 << 30) - 1)) + 1
+    # A hot block has a shard of its own, named below zero; should two names meet, the larger number of parts holds.
+    hot = loads.where(F.col("load") > SHARD_WINDOWS).select("owner", "block", (-own).cast("int").alias("hot"), F.ceil(F.col("load") / SHARD_WINDOWS).cast("int").alias("parts"))
+    hot = hot.drop("parts").join(hot.groupBy("hot").agg(F.max("parts").alias("parts")), "hot")
+    marked = hits.join(hot, ["owner", "block"], "left").select(
+        "doc_id", "h", F.coalesce(F.col("hot"), shared.cast("int")).alias("shard"), F.coalesce("parts", F.lit(1)).alias("parts"),
     )
-    marks = marked.groupBy("doc_id").agg(F.collect_set("mark").alias("marks"))
+    marked = write_table(marked, "marks")
+    drop_table(hits)
+    marks = marked.groupBy("doc_id").agg(F.collect_set(F.struct("h", "shard", "parts")).alias("marks"))
     # Merge joins at every size: the plan must not hang on how little a small table repeats.
-    rows = source.join(marks.hint("merge"), "doc_id").select("doc_id", "text", "marks").mapInArrow(
-        _segments(window, phrase), "shard int, salt int, kind int, dealt boolean, doc_id bigint, start int, words binary"
+    pieces = source.join(marks.hint("merge"), "doc_id").select("doc_id", "t", "text", "marks").mapInArrow(
+        _segments(window, phrase), "shard int, salt int, parts int, doc_id bigint, t bigint, start int, words binary"
     )
+    met = pieces.repartition("shard", "salt").sortWithinPartitions("shard", "salt")
+    confirmed = write_table(met.mapInArrow(_confirmer(window), _CONFIRMED), "confirmed")
+    sure = confirmed.where("h1 is null").select("shard", "doc_id", "t", "start", "stop")
+    parted = confirmed.where("h1 is not null").groupBy("shard", "h1", "h2").agg(F.min(F.struct("doc_id", "t", "start", "stop")).alias("first"), F.max("last").alias("last"))
+    passages = write_table(sure.union(parted.where("first.doc_id < last").select("shard", "first.*")), "passages")
+    drop_table(confirmed)
+
+    # Compile and stream.
+    sized = passages.groupBy("shard").agg(F.ceil(F.sum(F.col("stop") - F.col("start")) / KEYS).cast("int").alias("key_parts"))
+    places = marked.join(sized, "shard").groupBy("doc_id").agg(F.collect_set(F.struct("h", "shard", "parts", "key_parts")).alias("marks"))
+    owned = passages.groupBy("doc_id").agg(F.collect_list(F.struct("t", "shard", "start", "stop")).alias("owned"))
+    both = places.join(owned, "doc_id", "left")
+    rows = source.join(both.hint("merge"), "doc_id").select("doc_id", "t", "text", "marks", "owned").mapInArrow(_streams(window, phrase), _STREAMED)
     dealt = rows.repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    found = write_table(dealt.mapInArrow(_locator(window, phrase), _SPANS), "located")
-    drop_table(hits)
-    drop_table(phrases)
-    sure = found.where("h1 is null").select("doc_id", "start", "stop")
-    open_ = found.where("h1 is not null")
-    least = open_.groupBy("h1", "h2").agg(F.min("doc_id").alias("least"))
-    more = open_.join(least, ["h1", "h2"]).where("doc_id > least").select("doc_id", "start", "stop")
-    return sure.union(more).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = write_table(dealt.mapInArrow(_locator(window), "doc_id bigint, t bigint, start int, stop int"), "located")
+    drop_table(marked)
+    drop_table(passages)
+    return spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
 def cut_words(data: np.ndarray, spans: list[dict] | None) -> tuple[int, int, bytes]:
@@ -263,7 +426,11 @@ def cut_words(data: np.ndarray, spans: list[dict] | None) -> tuple[int, int, byt
 
 
 def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", window: int = WINDOW, phrase: int = PHRASE, out: str = "repeats") -> DataFrame:
-    """docs' columns plus `out`, a struct of n_words, n_removed and kept (the kept words joined by one space)."""
+    """docs' columns plus `out`, a struct of n_words, n_removed and kept (the kept words joined by one space).
+
+    A column of that name may not be there yet.
+    """
+    new_column(docs, out)
 
     @F.arrow_udf("struct<n_words: bigint, n_removed: bigint, kept: string>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
@@ -271,7 +438,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", wind
         words, removed, kept = zip(*done) if done else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], ["n_words", "n_removed", "kept"])
 
-    key, found = free_name(docs, "_repeats_id"), free_name(docs, "_repeats_spans")
-    spans = repeated_spans(docs, id, text, window, phrase).select(F.col("doc_id").alias(key), F.col("spans").alias(found))
-    joined = docs.join(spans.hint("merge"), F.col(id).cast("bigint") == F.col(key), "left")
-    return joined.withColumn(out, cut(F.col(text), F.col(found))).drop(key, found)
+    key, t, found = (free_name(docs, n) for n in ("_repeats_id", "_repeats_t", "_repeats_spans"))
+    spans = repeated_spans(docs, id, text, window, phrase).select(F.col("doc_id").alias(key), F.col("t").alias(t), F.col("spans").alias(found))
+    same = (F.col(id).cast("bigint") == F.col(key)) & (F.xxhash64(F.coalesce(F.col(text), F.lit(""))) == F.col(t))
+    return docs.join(spans.hint("merge"), same, "left").withColumn(out, cut(F.col(text), F.col(found))).drop(key, t, found)

@@ -1,14 +1,14 @@
-"""Vectorised word spans and rolling hashes over UTF-8 bytes (numpy only)."""
+"""Word spans, word digests and hashes of runs of words (numpy and XXH3 only)."""
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 # The separators between words, and odd 64-bit multipliers.
 SEPARATORS = (32, 9, 10, 11, 12, 13)
 BYTE_BASE = 0x9E3779B97F4A7C15
-WORD_BASE = 0xC2B2AE3D27D4EB4F
-WORD_BASE_2 = 0x165667B19E3779F9
+LANES = ((0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), (0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SEPARATORS)] = True
@@ -47,29 +47,27 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(BYTE_BASE, len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
-
+def digests(words: list[bytes]) -> np.ndarray:
+    """(2, words) halves of each word's XXH3-128."""
+    whole = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), np.uint64)
+    return np.ascontiguousarray(whole.reshape(-1, 2).T)
 
-def word_hashes(data: np.ndarray) -> np.ndarray:
-    return span_hashes(data, *word_spans(data))
 
+def run_hashes(words: np.ndarray, k: int, lane: int = 0) -> np.ndarray:
+    """64-bit hash of every run of k consecutive words, from hashes of single words.
 
-def run_hashes(words: np.ndarray, k: int, base: int = WORD_BASE) -> np.ndarray:
-    """64-bit hash of every run of k consecutive words."""
-    n = len(words) - k + 1
-    if n <= 0:
+    Runs of doubled length are hashed from two hashed halves, the last step from two
+    that overlap; every step mixes, so no step is linear in the words.
+    """
+    if len(words) < k:
         return np.zeros(0, np.uint64)
-    up, down = _powers(base, len(words) + 1)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[k:] - sums[:n]) * down[:n])
+    a, b = map(np.uint64, LANES[lane])
+    size = 1
+    while size < k:
+        step = min(size, k - size)
+        words = mix(words[: len(words) - step] * a + words[step:] * b)
+        size += step
+    return words
 
 
 def minimizers(phrases: np.ndarray, width: int) -> np.ndarray:

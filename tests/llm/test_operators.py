@@ -110,9 +110,10 @@ def brute_repeats(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("shard", [1_000_000, 500])
-def test_repeats(docs, empty, monkeypatch, shard):
-    monkeypatch.setattr(repeats, "SHARD_WINDOWS", shard)  # the small one makes hot owners, dealt to several tasks
+@pytest.mark.parametrize("shard, chunk, block, keys", [(1_000_000, 4096, 1024, 200_000), (500, 130, 40, 30), (20, 55, 1024, 7)])
+def test_repeats(docs, empty, monkeypatch, shard, chunk, block, keys):
+    for name, value in (("SHARD_WINDOWS", shard), ("CHUNK", chunk), ("BLOCK", block), ("KEYS", keys)):
+        monkeypatch.setattr(repeats, name, value)  # the small ones make hot blocks, several chunks and split automata
     done = repeats.remove_repeats(docs)
     assert done.columns == [*docs.columns, "repeats"]
     got = sorted((r[0], r[1].n_words, r[1].n_removed, r[1].kept) for r in done.select("doc_id", "repeats").collect())
@@ -129,6 +130,46 @@ def test_repeats_keep_null_ids(spark):
     assert got == {None: 0, 1: 0, 2: 60}
 
 
+def removed_words(spark, rows, **options):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    return sorted((r[0], r[1].n_removed) for r in repeats.remove_repeats(df, **options).select("doc_id", "repeats").collect())
+
+
+def test_repeats_hang_on_the_automata(spark, monkeypatch):
+    rows = [(i, " ".join(f"a{j}" for j in range(70)) + f" end{i}") for i in range(3)]
+    assert removed_words(spark, rows) == [(0, 0), (1, 70), (2, 70)]
+    monkeypatch.setattr(repeats._Automaton, "hits", lambda self, words: (np.zeros(0, np.int64), np.zeros(0, np.int64)))
+    assert removed_words(spark, rows) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_automata_name_the_owner_of_each_window():
+    text = [f"a{i % 9}{i}".encode() for i in range(80)]
+    machine = repeats._Automaton(50)
+    machine.add(3, 1, 0, b" ".join(text[:60]))
+    machine.add(5, 1, 0, b" ".join(text[20:]))
+    starts, owners = machine.hits(b" ".join([b"x", *text, b"y", *text[:49], b"z"]))
+    assert sorted(zip(starts.tolist(), owners.tolist())) == [(i + 1, 3) for i in range(11)] + [(i + 1, 5) for i in range(20, 31)]
+
+
+def test_repeats_are_not_fooled_by_balanced_words(spark):
+    """Thue-Morse strings meet in every polynomial hash modulo a power of two."""
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    one, other = "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+    rest = [f"w{i}" for i in range(49)]
+    assert removed_words(spark, [(1, " ".join([*rest, one])), (2, " ".join([*rest, other]))]) == [(1, 0), (2, 0)]
+    rows = [(1, " ".join("xy"[b] for b in bits)), (2, " ".join("yx"[b] for b in bits))]
+    want = [(i, n) for i, _, n, _ in brute_repeats(rows)]
+    assert removed_words(spark, rows) == want
+
+
+def test_repeats_within_texts_and_of_one_id(spark, monkeypatch):
+    """A passage that stands thousands of times in one text is dealt by its windows; rows of one id have spans of their own."""
+    monkeypatch.setattr(repeats, "SHARD_WINDOWS", 2000)
+    fifty = " ".join(f"p{i}" for i in range(50))
+    rows = [(7, " ".join([fifty] * 400)), (3, fifty + " and"), (9, "q r " + fifty), (9, "other " * 60), (9, "q r " + fifty), (8, "other " * 70), (12, "z " + fifty)]
+    assert removed_words(spark, rows) == sorted([(7, 400 * 50), (3, 0), (9, 50), (9, 60), (9, 50), (8, 0), (12, 50)])
+
+
 def test_near_duplicates(docs, empty):
     rows = corpus()
     prints = {}

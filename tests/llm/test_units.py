@@ -15,8 +15,9 @@ def arr(text):
 
 
 def test_word_hashes_do_not_hang_on_place_or_spaces():
-    a, b = words.word_hashes(arr("x yy  zzz\tyy")), words.word_hashes(arr("\n\nyy zzz x"))
-    assert a[1] == a[3] == b[0] and a[2] == b[1] and a[0] == b[2] and len(set(a.tolist())) == 3
+    for lane in (0, 1):
+        a, b = words.digests(b"x yy  zzz\tyy".split())[lane], words.digests(b"\n\nyy zzz x".split())[lane]
+        assert a[1] == a[3] == b[0] and a[2] == b[1] and a[0] == b[2] and len(set(a.tolist())) == 3
 
 
 def test_word_spans_know_the_separators_only():
@@ -29,7 +30,13 @@ def test_word_spans_know_the_separators_only():
 def test_run_hashes_and_minimizers_agree_for_equal_windows():
     rng = random.Random(1)
     ws = [str(rng.randrange(5)) for _ in range(300)]
-    h = words.word_hashes(arr(" ".join(ws)))
+    h = words.digests([w.encode() for w in ws])[0]
+    for k in range(1, 12):
+        found = {}
+        for i, r in enumerate(words.run_hashes(h, k, k % 2).tolist()):
+            assert found.setdefault(r, tuple(ws[i : i + k])) == tuple(ws[i : i + k])
+        assert len(set(found.values())) == len(found) and len(words.run_hashes(h, k)) == len(ws) - k + 1
+    assert len(words.run_hashes(h[:3], 4)) == 0
     runs = words.run_hashes(h, 4)
     same = {}
     for i, r in enumerate(runs.tolist()):
@@ -178,3 +185,14 @@ def test_best_cut():
 
 def test_crc_of_pieces_is_of_32_bit_ids():
     assert zlib.crc32(np.array([1, 2], "<u2").astype("<u4").tobytes()) == zlib.crc32(b"\1\0\0\0\2\0\0\0")
+
+
+def test_phrases_count_the_windows_they_stand_for():
+    """Shards are sized by windows, however often one text repeats a passage."""
+    import pyarrow as pa
+
+    text = " ".join(f"p{i % 50}" for i in range(50 * 400))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([text, "a " * 60])], ["doc_id", "text"])
+    (out,) = repeats._phrases(50, 8)([batch])
+    rows = out.to_pylist()
+    assert sum(r["n"] for r in rows if r["doc_id"] == 1) == 50 * 400 - 49 and sum(r["n"] for r in rows if r["doc_id"] == 2) == 11
