@@ -10,12 +10,12 @@ that covers it also starts in a document with a smaller id. The steps:
    other; each window that stands in two documents or more is confirmed, once, where
    the smallest document has it. Runs of confirmed windows are the recurring passages.
 2. Compile. The passages of a shard become one Aho-Corasick automaton. Its letters are
-   numbered runs of `window / 5` words, its keys the windows of the passages, and each
+   numbered runs of half a window's words, its keys the windows of the passages, and each
    key names its owner.
-3. Stream. The whole text of every document that holds a confirmed phrase streams
-   through its shards' automata, in chunks of CHUNK windows. A hit says that a window
-   stands there and who owns it; if the owner is smaller, its words go. Other documents
-   cannot hold a passage, so no automaton needs them.
+3. Stream. All documents are cut into chunks of CHUNK windows, and a chunk streams
+   whole through the automata of the shards whose phrases it holds. A hit says that a
+   window stands there and who owns it; if the owner is smaller, its words go. A chunk
+   without a confirmed phrase cannot hold a passage, so no automaton needs it.
 
 Words are hashed by XXH3-128 and runs of words by mixing 128-bit hashes, without any
 sum that crafted texts could balance.
@@ -50,10 +50,12 @@ PHRASE = 8
 BLOCK = 1024
 #: Windows that one task confirms; it bounds the task's memory (about 100 bytes each).
 SHARD_WINDOWS = 500_000
-#: Windows that one automaton holds (some 500 bytes each).
+#: Windows that one automaton holds (up to 600 bytes each).
 KEYS = 200_000
-#: Windows of a document that stream as one row.
-CHUNK = 4096
+#: Digits of a letter's number. The library looks through a node's edges one by one, so no node may have many.
+DIGITS = 3
+#: Windows of a document that travel as one row: pieces with confirmed phrases and passages, and chunks that stream.
+PIECE, CHUNK = 4096, 512
 _CONFIRMED = "shard int, parts int, h1 bigint, h2 bigint, doc_id bigint, t bigint, start int, stop int, last bigint"
 _STREAMED = "shard int, salt int, kind int, doc_id bigint, t bigint, start int, parts int, part int, words binary"
 
@@ -140,8 +142,8 @@ def _segments(window: int, phrase: int):
                         continue
                     # A shard of a hot block holds nothing else, so its windows agree on the parts.
                     shard, parts = int(place[lo]), marks[mark[lo]]["parts"]
-                    for a in range(lo, hi, CHUNK):
-                        b = min(a + CHUNK, hi)
+                    for a in range(lo, hi, PIECE):
+                        b = min(a + PIECE, hi)
                         out.put(shard, _dealt(doc, t, a, parts), parts, doc, t, a, b" ".join(words[a : b + window - 1]))
                 if out.full():
                     yield out.flush()
@@ -211,10 +213,10 @@ def _confirmer(window: int):
 
 
 class _Letters:
-    """Runs of words as letters: `window / size` of them, `size` words apart, spell a window."""
+    """Runs of words as letters: `window / size` of them, `size` words apart, spell a window; as few as divide it."""
 
     def __init__(self, window: int):
-        self.size = max(r for r in range(1, max(1, window // 5) + 1) if window % r == 0)
+        self.size = max(r for r in range(1, max(1, window // 2) + 1) if window % r == 0)
         self.count = window // self.size
 
     def of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -238,8 +240,8 @@ def _streams(window: int, phrase: int):
                 for o in own or []:
                     if o["t"] == t:
                         parts, key_parts = places[o["shard"]]
-                        for lo in range(o["start"], o["stop"], CHUNK):
-                            piece = b" ".join(words[lo : min(lo + CHUNK, o["stop"]) + window - 1])
+                        for lo in range(o["start"], o["stop"], PIECE):
+                            piece = b" ".join(words[lo : min(lo + PIECE, o["stop"]) + window - 1])
                             for salt in range(parts * key_parts):
                                 out.put(o["shard"], salt, 0, doc, t, lo, key_parts, salt % key_parts, piece)
                         if out.full():
@@ -266,7 +268,10 @@ def _streams(window: int, phrase: int):
 
 
 class _Automaton:
-    """Aho-Corasick automaton over a shard's passages: every window is a key of `count` letters that names its owner."""
+    """Aho-Corasick automaton over a shard's passages: every window is a key of `count` letters that names its owner.
+
+    A letter is spelled by DIGITS digits; each place has digits of its own, so a hit cannot begin within a letter.
+    """
 
     def __init__(self, window: int):
         self.window, self.letters = window, _Letters(window)
@@ -290,19 +295,21 @@ class _Automaton:
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         self.low, self.high = a[new], b[new]
+        self.base = max(2, int(np.ceil((len(self.low) + 1) ** (1 / DIGITS))))
         steps = np.arange(self.letters.count) * self.letters.size
         for i, (_, x, y, keys) in enumerate(self.passages):
-            for key in self.numbers(x, y)[keys[:, None] + steps].tolist():
+            for key in self.spelled(x, y)[keys[:, None] + steps].reshape(len(keys), self.letters.count * DIGITS).tolist():
                 self.machine.add_word(tuple(key), i)
         self.passages.clear()
         self.machine.make_automaton()
 
-    def numbers(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The letters' numbers, from 1; 0 for those that no passage has."""
-        if not len(self.low):
-            return np.zeros(len(a), np.int64)
+    def spelled(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """(letters, digits) of the letters' numbers; a letter that no passage has is spelled by a digit of no place."""
         at = np.minimum(np.searchsorted(self.low, a), len(self.low) - 1)
-        return np.where((self.low[at] == a) & (self.high[at] == b), at + 1, 0)
+        places = np.arange(DIGITS)
+        digits = at[:, None] // self.base ** places % self.base + self.base * places
+        digits[(self.low[at] != a) | (self.high[at] != b)] = self.base * DIGITS
+        return digits
 
     def hits(self, words: bytes) -> tuple[np.ndarray, np.ndarray]:
         """(window starts, owners) of the passages' windows that stand in the words."""
@@ -310,13 +317,25 @@ class _Automaton:
             self.compile()
         if not len(self.machine):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        numbers = self.numbers(*self.letters.of(words.split()))
-        size, back = self.letters.size, self.letters.count - 1
+        hashes = digests(words.split())
+        size, count = self.letters.size, self.letters.count
+        a = run_hashes(hashes[0], size)
+        known = self.low[np.minimum(np.searchsorted(self.low, a), len(self.low) - 1)] == a
+        n = len(a) - (count - 1) * size
+        # No key has an unknown letter, so only stretches of known ones need to stream.
+        spelt = known[:n].copy()
+        for k in range(1, count):
+            spelt &= known[k * size : k * size + n]
         starts, owners = [], []
-        for phase in range(size):
-            for end, owner in self.machine.iter(tuple(numbers[phase::size].tolist())):
-                starts.append(phase + size * (end - back))
-                owners.append(owner)
+        if spelt.any():
+            b = run_hashes(hashes[1], size, 1)
+            for phase in range(size):
+                at = np.flatnonzero(spelt[phase::size])
+                if len(at):
+                    stretch = slice(phase + size * int(at[0]), phase + size * (int(at[-1]) + count), size)
+                    for end, owner in self.machine.iter(tuple(self.spelled(a[stretch], b[stretch]).reshape(-1).tolist())):
+                        starts.append(stretch.start + size * (end // DIGITS - count + 1))
+                        owners.append(owner)
         return np.array(starts, np.int64), self.owners[owners]
 
 

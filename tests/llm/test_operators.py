@@ -112,7 +112,7 @@ def brute_repeats(rows):
 
 @pytest.mark.parametrize("shard, chunk, block, keys", [(1_000_000, 4096, 1024, 200_000), (500, 130, 40, 30), (20, 55, 1024, 7)])
 def test_repeats(docs, empty, monkeypatch, shard, chunk, block, keys):
-    for name, value in (("SHARD_WINDOWS", shard), ("CHUNK", chunk), ("BLOCK", block), ("KEYS", keys)):
+    for name, value in (("SHARD_WINDOWS", shard), ("CHUNK", chunk), ("PIECE", chunk), ("BLOCK", block), ("KEYS", keys)):
         monkeypatch.setattr(repeats, name, value)  # the small ones make hot blocks, several chunks and split automata
     done = repeats.remove_repeats(docs)
     assert done.columns == [*docs.columns, "repeats"]
