@@ -12,7 +12,9 @@ text back. The loss mask is the spans of assistant texts in the formatted string
 
 Nulls and the like: a null role or text is an empty one, a null turn sorts first;
 rows that repeat are turns of their own; rows with a null conv_id are one
-conversation; an empty table gives none.
+conversation; a very long one, being the unit of the result, is put together in one
+row of at most 2 GB; an empty table gives none; other columns are not read, so their
+names cannot clash.
 """
 
 from __future__ import annotations

@@ -2,32 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scrivane.sources.shared import new_path, shared_folder  # noqa: F401
+
 #: Words are runs of anything but these (a Java and RE2 pattern).
 SPACES = r"[\x20\x09-\x0D]+"
 POSITION_BITS = (1 << 33) - 1
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder: spark.checkpoint.dir, or a folder of our own where that is unset (tests, local runs)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='scrivane-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/scrivane/{name}-{uuid.uuid4().hex}"
-
-
 def write_table(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back, so a lost executor costs a reread, not a recomputation."""
     spark = df.sparkSession
@@ -64,6 +50,12 @@ def new_column(df: DataFrame, name: str) -> None:
         raise ValueError(f"the table has a column {name} already; give another name for the result")
 
 
+def row_hash(df: DataFrame) -> Column:
+    """128 bits of all columns of a row, as hex digits; columns may be of any type that JSON can say."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), row)), 16, "0") for seed in (1, 2)])
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

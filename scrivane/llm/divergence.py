@@ -1,22 +1,25 @@
 """Distribution divergence: Jensen-Shannon distance from the document's language.
 
 Each text gets two histograms: character classes, and the common words of its
-language with all other words as one class. A language's references are the sums of
-its documents' histograms, over all of them. A document is kept unless a distance
-exceeds its limit; both limits are widened for short texts by a slack / sqrt(words), and
-texts under MIN_WORDS are not judged by distance at all.
+language with all other words as one class. A document's references are the sums of
+the histograms of its language's other documents, over all of them; it is never held
+against itself. Where fewer than LEAST_DOCUMENTS others are there, the character classes
+are held against those of all other documents, and the words are not judged. A document
+is kept unless a distance exceeds its limit; both limits are widened for short texts by a
+slack / sqrt(words), and texts under GUARD_WORDS words are not judged by distance at all.
 
 Everything is Spark expressions on one row, plus one small sum per language.
 
-Nulls and the like: a null text has no words and fails the base rules; a null or
-unlisted language is judged by the common words of all listed languages, with
-references of its own documents; rows that repeat count each time; an empty table
-gives no rows.
+Nulls and the like: a null or empty text has no words and fails the base rules; very
+long texts count whole; a null or unlisted language is judged by the common words of all
+listed languages, with references of its own documents; a row without any other row to
+be held against is kept if the base rules pass; rows that repeat count each time; an
+empty table gives no rows; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivane.llm.common import words_of, write_table
@@ -31,7 +34,8 @@ COMMON = {
 #: Classes counted by pattern; white space, other characters beyond ASCII (by their extra bytes) and the rest follow.
 CLASSES = {"upper": "[A-Z]", "digit": "[0-9]", "stop": r"[.,;:!?'\"()-]", "symbol": "[#*$%&|<>]"}
 SYMBOLS = "[#*$%&|<>]"
-MIN_WORDS = 20
+#: Words that the base rules ask for, words that a distance asks for, and other documents that a language's reference asks for.
+MIN_WORDS, GUARD_WORDS, LEAST_DOCUMENTS = 20, 30, 20
 REPEAT_WINDOW = 8
 SALTS = 64
 #: A limit is its base plus its slack / sqrt(words).
@@ -109,23 +113,31 @@ def distance(p: Column, q: Column) -> Column:
 
 
 def references(counts: DataFrame) -> DataFrame:
-    """(lang, ref_classes, ref_common): elementwise sums over all documents of a language; one small row each."""
-    summed = lambda c: counts.select("lang", F.posexplode(c)).groupBy("lang", "pos").agg(F.sum("col").alias("n")).groupBy("lang").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("pos", "n"))), lambda s: s.n).alias(f"ref_{c}"))
-    return summed("classes").join(summed("common"), "lang")
+    """(lang, documents, ref_classes, all_classes, ref_common): elementwise sums over all documents of a language, and of all; one small row each."""
+    summed = lambda c: counts.select("lang", F.posexplode(c)).groupBy("lang", "pos").agg(F.sum("col").alias("n"), F.count(F.lit(1)).alias("documents"))
+    listed = lambda c, name: F.transform(F.array_sort(F.collect_list(F.struct("pos", F.col(c).alias("n")))), lambda s: s.n).alias(name)
+    classes = summed("classes").withColumn("every", F.sum("n").over(Window.partitionBy("pos")))
+    classes = classes.groupBy("lang").agg(F.max("documents").alias("documents"), listed("n", "ref_classes"), listed("every", "all_classes"))
+    return classes.join(summed("common").groupBy("lang").agg(listed("n", "ref_common")), "lang")
 
 
-def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", min_words: int = MIN_WORDS, char_limit: float = CHAR_LIMIT, char_slack: float = CHAR_SLACK, word_limit: float = WORD_LIMIT, word_slack: float = WORD_SLACK) -> DataFrame:
+def without(whole: Column, own: Column) -> Column:
+    return F.zip_with(whole, own, lambda x, y: x - y)
+
+
+def judged(docs: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", guard_words: int = GUARD_WORDS, least_documents: int = LEAST_DOCUMENTS, char_limit: float = CHAR_LIMIT, char_slack: float = CHAR_SLACK, word_limit: float = WORD_LIMIT, word_slack: float = WORD_SLACK) -> DataFrame:
     """(id, base counts, base_failed, char_distance, word_distance, kept) for every row."""
     counts = write_table(counted(docs, id, text, lang), "counts")
     # A language may hold most rows: its one reference row is copied to SALTS keys.
     refs = references(counts).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = counts.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    thin = F.col("documents") <= least_documents  # its own is among them
     far = salted.join(refs, ["lang", "_salt"]).select(
         "id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        ((F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
-        distance(F.col("classes"), F.col("ref_classes")).alias("char_distance"), distance(F.col("common"), F.col("ref_common")).alias("word_distance"),
+        ((F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))).alias("base_failed"),
+        distance(F.col("classes"), without(F.when(thin, F.col("all_classes")).otherwise(F.col("ref_classes")), F.col("classes"))).alias("char_distance"),
+        F.when(thin, F.lit(0.0)).otherwise(distance(F.col("common"), without(F.col("ref_common"), F.col("common")))).alias("word_distance"),
     )
     root = F.sqrt(F.greatest(F.col("n_words"), F.lit(1)))
     near = (F.col("char_distance") <= char_limit + F.lit(char_slack) / root) & (F.col("word_distance") <= word_limit + F.lit(word_slack) / root)
-    return far.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") < min_words) | near)).withColumnRenamed("id", id)
+    return far.withColumn("kept", ~F.col("base_failed") & ((F.col("n_words") < guard_words) | near)).withColumnRenamed("id", id)

@@ -1,36 +1,53 @@
-"""Near-duplicates by the exact Jaccard similarity of word shingles.
-
-Candidates come from MinHash: 32 bands of 4 minima each, so that a pair of
-similarity 0.8 meets in no band with a chance of 5e-8. Every candidate pair is
-then held to the shingle sets themselves, so no link is an estimate.
-
-A bucket is never crossed with itself at once. First each member is held
-against the leader of its block of BLOCK members and the blocks' leaders
-against the bucket's; what that joins is one component. Then the pairs of a
-bucket that stand in different components are held against each other: all of
-them, as long as a member has PARTNERS on average, and beyond that PARTNERS for
-each member, from a place that the band sets. Only such buckets (thousands of texts
-that share a band and yet are not alike) can miss a link.
-
-Texts with fewer words than a shingle are one shingle; texts without words are
-alike. Words are lower-cased in ASCII, as for the fingerprints.
+"""SimHash near-duplicates at a Jaccard similarity of word shingles.
+
+Texts of similarity 0.8 differ in about ten of the 64 bits of their fingerprints,
+which is too wide for shards by bit blocks. So the fingerprints are dealt by MinHash:
+32 bands of 4 minima each, such that a pair of similarity 0.8 meets in no band with a
+chance of 5e-8. In a shard a BK-tree answers each fingerprint's query within the
+radius; what it finds and what 128 minima and the BOTTOM least shingles of both do not
+rule out is held to the shingle sets themselves, so no link is an estimate.
+
+A large group of near copies is not crossed with itself. In each round a member names
+its nearest partners that stand in other components yet, the checked links join the
+components, and the next round allows more partners; the last one allows all.
+
+A shard of more than SHARD_MOST members is dealt again by its next band, up to FINER
+times; what is larger still is cut into blocks, and each block's first member also
+joins the block before it. Such members agree on 16 minima and more.
+
+What can be missed: a pair at the edge of the radius (of those of similarity 0.8 and
+more, measured, 0.4 percent differ in more than 16 bits), and a pair that meets only
+in shards that were dealt again. Both usually meet over a third text.
+
+Texts with fewer words than a shingle are one shingle; texts without words are alike;
+words are lower-cased in ASCII, as for the fingerprints. Rows of one id with different
+texts are different texts; rows that repeat are one. Rows with a null id take no part.
 """
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import each_bytes, write_table
+from scrivane.llm.common import drop_table, each_bytes, write_table
 from scrivane.llm.components import connected_components
-from scrivane.llm.simhash import one_of_each
+from scrivane.llm.simhash import BKTree, fingerprint, keep_one as _keep_one
 from scrivane.llm.words import LOWER, digests, mix, run_hashes
 
 BANDS, ROWS = 32, 4
-BLOCK = 64
-PARTNERS = 64
+RADIUS = 16
+#: Members of a shard's tree, and how often a fuller shard is dealt again.
+SHARD_MOST, FINER = 1024, 3
+#: Partners that a member names in a shard in each round; the last number is that of all.
+PARTNERS = (2, 16, SHARD_MOST)
+#: Least shingle hashes that travel with a text; up to so many shingles they are the whole set.
+BOTTOM = 256
+#: Standard deviations of an estimate below which a pair is ruled out (a chance of 3e-5).
+DOUBT = 4
 #: A text that many pairs name is dealt to so many tasks.
 SALTS = 16
 _SALT, _FACTOR = np.random.default_rng(42).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -48,32 +65,55 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 1.0
 
 
-def bands_of(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of band keys for each set; empty sets are given one common shingle."""
+def doubtful(least: float, of: int) -> float:
+    """The estimate from so many samples below which the similarity is not reached."""
+    return least - DOUBT * float(np.sqrt(least * (1 - least) / of))
+
+
+def may_be_alike(a: np.ndarray, na: int, b: np.ndarray, nb: int, least: float) -> bool:
+    """From the least shingles (their upper 32 bits) of two sets and their sizes: near exact for small sets, an estimate for others."""
+    if na <= BOTTOM and nb <= BOTTOM:
+        return similarity(a, b) >= least - 0.02
+    whole = np.union1d(a, b)[:BOTTOM]
+    both = np.intersect1d(a, b, assume_unique=True)
+    return np.searchsorted(both, whole[-1], "right") >= doubtful(least, len(whole)) * len(whole)
+
+
+def minima(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of minima for each set; empty sets are given one common shingle."""
     sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
     starts = np.cumsum([0, *map(len, sets[:-1])])
     whole = np.concatenate(sets)
-    out = np.zeros((len(sets), BANDS), np.uint64)
-    for i, (salt, factor) in enumerate(zip(_SALT, _FACTOR)):
-        least = np.minimum.reduceat((whole ^ salt) * factor, starts)
-        out[:, i // ROWS] = mix(out[:, i // ROWS] + least + np.uint64(i + 1))
+    return np.stack([np.minimum.reduceat((whole ^ salt) * factor, starts) for salt, factor in zip(_SALT, _FACTOR)], axis=1)
+
+
+def bands_of(least: np.ndarray) -> np.ndarray:
+    """A row of band keys for each row of minima."""
+    out = np.zeros((len(least), BANDS), np.uint64)
+    for i in range(BANDS * ROWS):
+        out[:, i // ROWS] = mix(out[:, i // ROWS] + least[:, i] + np.uint64(i + 1))
     return out
 
 
 def _prints(size: int):
-    kind = pa.struct([("class", pa.int64()), ("n", pa.int32()), ("bands", pa.list_(pa.int64()))])
+    kind = pa.struct([("c1", pa.int64()), ("c2", pa.int64()), ("n", pa.int32()), ("fp", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.binary()), ("bottom", pa.binary())])
 
-    @F.arrow_udf("struct<class: bigint, n: int, bands: array<bigint>>")
+    @F.arrow_udf("struct<c1: bigint, c2: bigint, n: int, fp: bigint, bands: array<bigint>, sketch: binary, bottom: binary>")
     def prints(column: pa.Array) -> pa.Array:
-        out, sets, held = [], [], 0
+        out, sets, fps, held = [], [], [], 0
 
         def finish():
-            for s, keys in zip(sets, bands_of(sets).view(np.int64).tolist()):
-                out.append({"class": int(mix(mix(s + np.uint64(1)).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0]), "n": len(s), "bands": keys})
+            least = minima(sets)
+            short = mix(least).astype(np.uint16)
+            for s, fp, keys, sketch in zip(sets, fps, bands_of(least).view(np.int64).tolist(), short):
+                c1, c2 = (int(mix(mix(s * np.uint64(k) + np.uint64(k)).sum(keepdims=True) + np.uint64(len(s))).view(np.int64)[0]) for k in (1, 3))
+                out.append({"c1": c1, "c2": c2, "n": len(s), "fp": fp, "bands": keys, "sketch": sketch.tobytes(), "bottom": (s[:BOTTOM] >> np.uint64(32)).astype(np.uint32).tobytes()})
             sets.clear()
+            fps.clear()
 
         for data in each_bytes(column):
             sets.append(shingles(data, size))
+            fps.append(fingerprint(data, size))
             held += len(sets[-1])
             if held > 1 << 17:
                 finish()
@@ -85,118 +125,134 @@ def _prints(size: int):
     return prints
 
 
-def _groups(batches):
-    """Rows that stand together by key, as arrays of the other columns."""
-    rest = None
-    for batch in batches:
-        now = [np.asarray(c) for c in batch.columns]
-        if rest is not None:
-            now = [np.concatenate(x) for x in zip(rest, now)]
-        if not len(now[0]):
-            continue
-        cuts = np.flatnonzero(np.diff(now[0])) + 1
-        last = int(cuts[-1]) if len(cuts) else 0
-        edges = [0, *cuts.tolist()]
-        # Single rows have no partner; only longer runs are looked at.
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a > 1:
-                yield [c[a:b] for c in now]
-        rest = [c[last:] for c in now]
-    if rest is not None and len(rest[0]) > 1:
-        yield rest
-
-
-def _batches(parts, names, size=1 << 15):
-    """Record batches of the tuples of arrays that come."""
-    held, n = [], 0
-    for part in parts:
-        held.append(part)
-        n += len(part[0])
-        if n >= size:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
-            held, n = [], 0
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names)
-
-
-def _star(batches):
-    """(key, node, n, leader, leader's n) of every bucket of several members."""
-
-    def parts():
-        for key, node, n in _groups(batches):
-            order = np.argsort(mix(node.astype(np.uint64) + key[:1].astype(np.uint64)), kind="stable")
-            key, node, n = key[order], node[order], n[order]
-            lead = np.arange(len(node)) // BLOCK * BLOCK
-            lead[::BLOCK] = 0
-            yield key, node, n, node[lead], n[lead]
-
-    return _batches(parts(), ["key", "node", "n", "leader", "leader_n"])
-
-
-def _across(least: float):
-    def across(batches):
-        """Pairs (u, v) of a bucket that stand in different components; rows come by component."""
-
-        def parts():
-            for key, part, node, n in _groups(batches):
-                m = len(node)
-                cuts = np.flatnonzero(np.diff(part)) + 1
-                if m == 2 or not len(cuts):
-                    continue
-                first = np.concatenate([cuts, [m]])[np.searchsorted(cuts, np.arange(m), "right")]  # where the later components start
-                later = m - first
-                thin = later.sum() > PARTNERS * m
-                for i in range(m):
-                    if not later[i]:
-                        break
-                    js = np.arange(first[i], m)
-                    if thin and later[i] > PARTNERS:
-                        js = first[i] + (int(key[0]) % m + i * PARTNERS + np.arange(PARTNERS)) % later[i]
-                    js = js[np.minimum(n[js], n[i]) >= least * np.maximum(n[js], n[i])]
-                    if len(js):
-                        other = node[js]
-                        yield np.minimum(other, node[i]), np.maximum(other, node[i])
-
-        return _batches(parts(), ["u", "v"])
-
-    return across
+def _rounds(least: float, radius: int, partners: int):
+    """(u, v): each member's nearest partners, at most so many, in other components of its shard; rows come by shard."""
+
+    def pairs(shard, group):
+        *columns, sketches, bottoms, places = zip(*group)
+        nodes, parts, ns, fps = (np.array(c, np.int64) for c in columns)
+        if (parts == parts[0]).all():
+            return
+        # Every pair is met once, in the first shard that both are in.
+        width = max(map(len, places))
+        shards = np.array([p + p[:1] * (width - len(p)) for p in places], np.int64)
+        sketch = np.frombuffer(b"".join(sketches), np.uint16).reshape(len(nodes), -1)
+        bottoms = [np.unique(np.frombuffer(b, np.uint32)) for b in bottoms]
+        doubt = doubtful(least, sketch.shape[1]) * sketch.shape[1]
+        tree = BKTree(radius)
+        for i, fp in enumerate(x & 0xFFFFFFFFFFFFFFFF for x in fps.tolist()):
+            near = np.array(tree.near(fp), np.int64)
+            tree.add(fp)
+            if not len(near):
+                continue
+            near = near[(parts[near] != parts[i]) & (np.minimum(ns[near], ns[i]) >= least * np.maximum(ns[near], ns[i]))]
+            near = near[(sketch[near] == sketch[i]).sum(axis=1) >= doubt]
+            if len(near):
+                both = shards[near]
+                near = near[np.where(np.isin(both, shards[i]), both, np.iinfo(np.int64).max).min(axis=1) == shard]
+            if len(near):
+                far = np.bitwise_count(fps[near] ^ fps[i])
+                named = (j for j in near[np.lexsort((nodes[near], far))].tolist() if may_be_alike(bottoms[j], ns[j], bottoms[i], ns[i], least))
+                near = np.fromiter(islice(named, partners), np.int64)
+            if len(near):
+                yield np.minimum(nodes[near], nodes[i]), np.maximum(nodes[near], nodes[i])
+
+    def run(batches):
+        group, last, held = [], None, []
+        for batch in batches:
+            for shard, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if shard != last:
+                    if len(group) > 1:
+                        held.extend(pairs(last, group))
+                    group, last = [], shard
+                group.append(row)
+            if held:
+                u, v = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+        if len(group) > 1:
+            held.extend(pairs(last, group))
+        if held:
+            u, v = (np.concatenate(x) for x in zip(*held))
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+    return run
+
+
+def _shards(classes: DataFrame) -> DataFrame:
+    """(shard, node): members of shards of two to SHARD_MOST members."""
+    rows = classes.select("node", F.posexplode("bands").alias("band", "shard"))
+    done = None
+    for again in range(FINER + 1):
+        sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+        sized = write_table(rows.join(sizes, "shard"), "buckets")
+        small = sized.where(F.col("members") <= SHARD_MOST).select("shard", "node")
+        done = small if done is None else done.union(small)
+        large = sized.where(F.col("members") > SHARD_MOST).select("node", "band", "shard")
+        if again == FINER or large.isEmpty():
+            break
+        next_band = F.element_at("bands", F.pmod(F.col("band") + again + 1, F.lit(BANDS)) + 1)
+        rows = large.join(classes.select("node", "bands"), "node").select("node", "band", F.xxhash64("shard", next_band).alias("shard"))
+    else:
+        return done
+    # Blocks of what is larger still: a place by the node's hash, and the first of each block twice.
+    blocks = F.ceil(F.col("members") / SHARD_MOST).cast("int")
+    cut = sized.where(F.col("members") > SHARD_MOST).select("shard", "node", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    firsts = cut.groupBy("shard", "block").agg(F.min("node").alias("node")).select("shard", (F.col("block") - 1).alias("block"), "node").where("block >= 0")
+    return done.union(cut.select("shard", "block", "node").union(firsts).select(F.xxhash64("shard", "block").alias("shard"), "node"))
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
-    """The pairs (u, v) whose texts (id, text) reach the similarity."""
+    """The pairs (u, v) whose texts (node, text) reach the similarity."""
 
     @F.arrow_udf("boolean")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
         return pa.array([similarity(shingles(x, size), shingles(y, size)) >= least for x, y in zip(each_bytes(a), each_bytes(b))], pa.bool_())
 
-    dealt = write_table(pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("s"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).alias("t")), "pairs")
-    ends = dealt.select(F.col("u").alias("id"), F.col("s").alias("salt")).union(dealt.select("v", "t")).distinct()
-    ends = write_table(texts.join(ends, "id"), "pair-texts")
-    left = ends.select(F.col("id").alias("u"), F.col("salt").alias("s"), F.col("text").alias("a"))
-    right = ends.select(F.col("id").alias("v"), F.col("salt").alias("t"), F.col("text").alias("b"))
+    dealt = pairs.select("u", "v", F.pmod(F.xxhash64("v"), F.lit(SALTS)).alias("s"), F.pmod(F.xxhash64("u"), F.lit(SALTS)).alias("t"))
+    ends = dealt.select(F.col("u").alias("node"), F.col("s").alias("salt")).union(dealt.select("v", "t")).distinct()
+    ends = write_table(texts.join(ends, "node"), "pair-texts")
+    left = ends.select(F.col("node").alias("u"), F.col("salt").alias("s"), F.col("text").alias("a"))
+    right = ends.select(F.col("node").alias("v"), F.col("salt").alias("t"), F.col("text").alias("b"))
     return dealt.join(left, ["u", "s"]).join(right, ["v", "t"]).where(alike("a", "b")).select("u", "v").distinct()
 
 
+def placed(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5, radius: int = RADIUS) -> DataFrame:
+    """(id, t, component_id) for every row with an id: components of linked texts, named by their smallest id; t is the text's hash."""
+    body = F.coalesce(F.col(text), F.lit(""))
+    named = docs.select(F.col(id).cast("bigint").alias("id"), F.xxhash64(body).alias("t"), body.alias("text")).where("id is not null")
+    prints = write_table(named.select("id", "t", _prints(size)(F.col("text")).alias("p")).select("id", "t", "p.*"), "minhash")
+    parts = [F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch", "bottom")]
+    classes = prints.groupBy("c1", "c2").agg(F.min(F.struct("id", "t")).alias("first"), *parts)
+    classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
+    shards = _shards(classes)
+    of_node = classes.select("node", "n", "fp", "sketch", "bottom").join(shards.groupBy("node").agg(F.collect_set("shard").alias("shards")), "node")
+    members = write_table(shards.join(of_node, "node"), "members")
+    asked = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.*")
+    texts = write_table(named.join(asked.hint("merge"), ["id", "t"]).select("node", "text").dropDuplicates(["node"]), "member-texts")
+    tried = links = roots = None
+    for partners in PARTNERS:
+        apart = members.withColumn("part", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+        near = apart.select("shard", "node", "part", "n", "fp", "sketch", "bottom", "shards").repartition("shard").sortWithinPartitions("shard", "node")
+        pairs = near.mapInArrow(_rounds(least, radius, partners), "u bigint, v bigint").distinct()
+        pairs = write_table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
+        more = write_table(_alike(pairs, texts, least, size), "links")
+        tried = pairs if tried is None else tried.union(pairs)
+        links = more if links is None else links.union(more)
+        roots = connected_components(links)
+    drop_table(members)
+    drop_table(texts)
+    nodes = classes.select("c1", "c2", "first", F.col("node").alias("part")) if roots is None else classes.join(roots, "node", "left").select("c1", "c2", "first", F.coalesce("root", "node").alias("part"))
+    named = nodes.join(nodes.groupBy("part").agg(F.min("first.id").alias("component_id")), "part").select("c1", "c2", "part", "component_id")
+    return prints.select("id", "t", "c1", "c2").join(named, ["c1", "c2"]).select("id", "t", "part", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
-    """(id, component_id) for every row of docs: components of pairs whose shingles reach the similarity."""
-    named = docs.select(F.col(id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    prints = write_table(named.select("id", _prints(size)(F.col("text")).alias("p")).select("id", "p.*"), "minhash")
-    classes = write_table(prints.groupBy("class").agg(F.min("id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands")), "minhash-classes")
-    rows = classes.where("node is not null").select(F.explode("bands").alias("key"), "node", "n")
-    met = write_table(rows.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_star, "key bigint, node bigint, n int, leader bigint, leader_n int"), "buckets")
-    texts = write_table(named.join(met.select(F.col("node").alias("id")).distinct().hint("merge"), "id", "left_semi"), "bucket-texts")
-    near = F.least("n", "leader_n") >= least * F.greatest("n", "leader_n")
-    stars = write_table(met.where("node <> leader").where(near).select(F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v")).distinct(), "stars")
-    links = write_table(_alike(stars, texts, least, size), "links")
-    roots = connected_components(links)
-    placed = met.join(roots, "node", "left").select("key", F.coalesce("root", "node").alias("part"), "node", "n")
-    across = placed.repartition("key").sortWithinPartitions("key", "part", "node").mapInArrow(_across(least), "u bigint, v bigint").distinct()
-    more = write_table(_alike(across.join(stars, ["u", "v"], "left_anti"), texts, least, size), "links")
-    roots = connected_components(links.union(more))
-    placed = classes.join(roots, "node", "left").select("class", F.coalesce("root", "node").alias("component_id"))
-    return prints.select("id", "class").join(placed, "class").select(F.col("id").alias(id), "component_id")
+    """(id, component_id) for every row of docs that has an id."""
+    return placed(docs, id, text, least, size).select(F.col("id").alias(id), "component_id")
 
 
 def keep_one(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5) -> DataFrame:
-    """docs without the near-duplicates: of each component the row of its smallest id stays, as in simhash.keep_one."""
-    return one_of_each(docs, near_duplicates(docs, id, text, least, size), id)
+    return _keep_one(docs, id, text, RADIUS, size, least)

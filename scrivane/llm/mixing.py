@@ -6,9 +6,10 @@ a seeded hash, the expected copies are prefix-summed from one random offset, and
 document is emitted once for each integer boundary its interval crosses. Ordering
 by size keeps the taken words within about one document's words of the target.
 
-Nulls and the like: a null source is a source of its own, after all others; a null
-text has size 0; rows that repeat are sampled one by one; an empty table gives an
-empty mix; a source of size 0 has target 0 and no copies.
+Nulls and the like: a null source is a source of its own, after all others; a null or
+empty text has size 0, a very long one counts whole; rows that repeat are sampled one by
+one; an empty table gives an empty mix; a source of size 0 has target 0 and no copies;
+columns of clashing names keep their values.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import free_name, ranked, words_of, write_table
+from scrivane.llm.common import free_name, ranked, row_hash, words_of, write_table
 
 #: The weights of the sources in order, repeating; copies of a source at most.
 WEIGHTS = (5, 2, 1)
@@ -61,33 +62,32 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
     """(id, size, source_size, target, copies, taken, and the columns of `keep`) for every row."""
+    kept = [f"_keep{i}" for i in range(len(keep or []))]
     rows = docs.select(
-        F.col(id), *(F.col(c) for c in keep or []),
+        F.col(id).alias("_id"), *(F.col(c).alias(k) for c, k in zip(keep or [], kept)),
         source_key(F.col(source)).alias("key"), F.size(words_of(F.col(text))).cast("bigint").alias("size"), seeded(seed, F.col(id)).alias("_order"),
     )
     rows = write_table(rows, "sizes")
     sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     goal = targets(sizes).select("key", "source_size", "target")
-    placed = ranked(rows, ["key"], ["size", "_order", id, *(keep or [])], "_rank", "_n")
+    placed = ranked(rows, ["key"], ["size", "_order", "_id", *kept], "_rank", "_n")
     u = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "/"), F.col("key")).cast("binary")), 1, 8), 16, 10).cast("bigint") / F.lit(4294967296.0)
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(u + (F.col("_rank") + 1) * each) - F.floor(u + F.col("_rank") * each)
     out = placed.join(goal, "key").withColumn("copies", copies.cast("bigint"))
-    return out.select(id, *(keep or []), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select(F.col("_id").alias(id), *(F.col(k).alias(c) for c, k in zip(keep or [], kept)), "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emitted(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """docs with every row as often as the mix takes it, possibly never; all columns as they were.
 
-    Rows are told apart by a hash of all their columns; rows alike in all of them
+    Rows are told apart by 128 bits of all their columns; rows alike in all of them
     are emitted as often as they are taken together.
     """
     key, copies, copy = (free_name(docs, n) for n in ("_row_key", "_copies", "_copy"))
-    keyed = docs.withColumn(key, F.xxhash64(*[F.col(c) for c in docs.columns]))
+    keyed = docs.withColumn(key, row_hash(docs))
     taken = mixed(keyed, id, text, source, seed, keep=[key])
-    counts = write_table(taken.groupBy(key).agg(F.sum("copies").alias(copies), F.count(F.lit(1)).alias("rows")), "copies")
-    if (counts.agg(F.max("rows")).first()[0] or 1) > 1:
-        keyed = keyed.dropDuplicates([key])
-    # A merge join at every size, as counts grow with the rows.
-    joined = keyed.join(counts.where(F.col(copies) > 0).select(key, copies).hint("merge"), key)
+    counts = write_table(taken.groupBy(key).agg(F.sum("copies").alias(copies)), "copies")
+    # A merge join at every size, as counts grow with the rows; it leaves them dealt and sorted by key, so that alike ones become one on the spot.
+    joined = keyed.join(counts.where(F.col(copies) > 0).hint("merge"), key).dropDuplicates([key])
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)

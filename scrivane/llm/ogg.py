@@ -7,8 +7,10 @@ Reading checks every page's checksum and sequence number, rebuilds packets from
 their lacing values (packets may go on over pages), gives each packet its start time
 from the granule positions, and joins the streams in that order.
 
-A null text is stored as an empty one: a payload of padding alone. Damaged or
-foreign bytes give a null result with the reason in `error`.
+A null or empty text is stored as a payload of padding alone; very long ones take more
+pages; rows that repeat are stored alike; an empty table gives an empty one; a column of
+the result's name may not be there yet, other clashing names keep their values. Damaged
+or foreign bytes give a null result with the reason in `error`.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import byte_views
+from scrivane.llm.common import byte_views, new_column
 
 # Fixed values of the container and of this mapping.
 CAPTURE = b"OggS"
@@ -168,7 +170,7 @@ def decode(data: bytes) -> tuple[bytes, dict]:
         if not packets or len(packets[0][0]) != INFO_SIZE:
             raise OggError("no stream header")
         magic, _, count, rate, per, whole = struct.unpack(INFO, packets[0][0])
-        if magic != MAGIC or count != len(streams):
+        if magic != MAGIC or count != len(streams) or not rate or not per:
             raise OggError("foreign stream header")
         parts += timed(packets[1:], per * (count - 1))
     parts.sort()
@@ -215,6 +217,7 @@ def read_back(media: bytes) -> tuple:
 
 def stored(docs: DataFrame, text: str = "text", out: str = "ogg", keep_media: bool = True) -> DataFrame:
     """docs plus a struct: what was stored, and what was read back from the stored bytes; `media` holds these unless told not to."""
+    new_column(docs, out)
 
     @F.arrow_udf(_DDL)
     def store(column: pa.Array) -> pa.Array:
@@ -232,6 +235,7 @@ def stored(docs: DataFrame, text: str = "text", out: str = "ogg", keep_media: bo
 
 def loaded(media: DataFrame, column: str = "media", out: str = "ogg") -> DataFrame:
     """Stored streams of any table: payload, feature and error."""
+    new_column(media, out)
 
     @F.arrow_udf("struct<payload: binary, feature: string, error: string>")
     def load(values: pa.Array) -> pa.Array:

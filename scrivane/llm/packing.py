@@ -5,9 +5,11 @@ inside the partition. One total per partition is prefix-summed, which gives ever
 document its global offset; pass two cuts at the multiples of the sequence length
 without moving any token. Only the last sequence is not full.
 
-Ids are those of the byte-level BPE vocabulary; strings of special tokens in a text
-are ordinary text. A null or empty text is the end id alone; rows that repeat are
-packed one by one; an empty table gives no pieces; a null id is carried along.
+Ids are those that `tokenizers` gives for the vocabulary file, so a special token's
+string in a text is that token. A null or empty text is the end id alone; very long
+texts are cut like others; rows that repeat are packed one by one; an empty table gives
+no pieces; a null id is carried along; other columns are not read, so their names
+cannot clash. The numbers of sequences follow the order in which the table is read.
 """
 
 from __future__ import annotations
@@ -25,8 +27,6 @@ from scrivane.llm.common import write_table
 
 LENGTH = 2048
 END_ID = 1
-#: Characters without a white space beyond which the library that stays linear takes over.
-LONG_RUN = 20_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -38,36 +38,40 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
 def make_encoder(path: str):
     """Texts to lists of ids: the ids of the `tokenizers` file at path.
 
-    Where the same vocabulary lies beside it as ranks, the faster library reads
-    that; texts with very long runs stay with `tokenizers`.
+    Where the same vocabulary lies beside it as ranks, the faster library reads that,
+    for all texts; the file's special tokens are its own too.
     """
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
+    plain = Tokenizer.from_file(path)
     ranks_path = path.removesuffix(".json") + ".tiktoken"
     if not path.endswith(".json") or not os.path.exists(ranks_path):
-        return lambda texts: [e.ids for e in slow.encode_batch_fast(texts, add_special_tokens=False)]
+        return lambda texts: [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    special = {t.content: i for i, t in plain.get_added_tokens_decoder().items()}
+    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda texts: [fast.encode(t, allowed_special="all") for t in texts]
 
-    def odd(t: str) -> bool:
-        words = t.split()
-        return len(words) < 2 or max(map(len, words)) > LONG_RUN or len(t) - sum(map(len, words)) > LONG_RUN + len(words)
 
-    return lambda texts: [slow.encode(t, add_special_tokens=False).ids if len(t) > LONG_RUN and odd(t) else fast.encode_ordinary(t) for t in texts]
+def planes(values: np.ndarray, wide: bool) -> bytes:
+    """Ids as all their low bytes, then the higher ones, which compresses better."""
+    kind = np.dtype("<u4" if wide else "<u2")
+    return values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
 
 
-def _tokenise(path: str, end_id: int, wide: bool):
+def from_planes(data: bytes, wide: bool) -> np.ndarray:
     kind = np.dtype("<u4" if wide else "<u2")
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
+
 
+def _tokenise(path: str, end_id: int, wide: bool):
     def run(batches):
         encode = make_encoder(path)
         part, at = TaskContext.get().partitionId(), 0
@@ -80,7 +84,7 @@ def _tokenise(path: str, end_id: int, wide: bool):
                     ids.append(end_id)
                     starts.append(at)
                     at += len(ids)
-                    blobs.append(np.array(ids, kind).tobytes())
+                    blobs.append(planes(np.array(ids), wide))
                 n = len(blobs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * n, pa.int32()), piece.column(0), pa.array(starts, pa.int64()), pa.array([len(x) for x in encoded], pa.int64()), pa.array(blobs, pa.binary())],
@@ -91,14 +95,12 @@ def _tokenise(path: str, end_id: int, wide: bool):
 
 
 def _cut(length: int, wide: bool, with_ids: bool):
-    kind = np.dtype("<u4" if wide else "<u2")
-
     def run(batches):
         for batch in batches:
             ids, firsts, totals, blobs = (c.to_pylist() for c in batch.columns)
             held, size = [[] for _ in range(8)], 0
             for doc, g, total, blob in zip(ids, firsts, totals, blobs):
-                values, start = np.frombuffer(blob, kind), 0
+                values, start = from_planes(blob, wide), 0
                 while start < total:
                     n = min(total - start, length - g % length)
                     part = values[start : start + n]
@@ -126,7 +128,7 @@ def _cut(length: int, wide: bool, with_ids: bool):
 
 
 def token_table(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, bool]:
-    """Pass one: (part, id, part_start, doc_tokens, ids), written, and whether an id takes 32 bits (16 up to a vocabulary of 65,536)."""
+    """Pass one: (part, id, part_start, doc_tokens, ids as byte planes), written, and whether an id takes 32 bits (16 up to a vocabulary of 65,536)."""
     from tokenizers import Tokenizer
 
     path = path or tokenizer_path()
@@ -141,8 +143,8 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
     bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # One row of 12 bytes per input partition, of which Spark itself can only schedule a few millions.
-    return tokens.join(F.broadcast(bases), "part").select("id", (F.col("base") + F.col("part_start")).alias("g"), "doc_tokens", "ids")
+    # One row per input partition; Spark broadcasts it if it is small, and else joins by part.
+    return tokens.join(bases, "part").select("id", (F.col("base") + F.col("part_start")).alias("g"), "doc_tokens", "ids")
 
 
 def packed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, path: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

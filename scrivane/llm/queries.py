@@ -82,7 +82,7 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE: dict[str, str] = {}
 
 def _op3_sql() -> str:
-    from scrivane.llm.divergence import CHAR_LIMIT, CHAR_SLACK, CLASSES, COMMON, WORD_LIMIT, WORD_SLACK
+    from scrivane.llm.divergence import CHAR_LIMIT, CHAR_SLACK, CLASSES, COMMON, GUARD_WORDS, LEAST_DOCUMENTS, WORD_LIMIT, WORD_SLACK
 
     every = sorted({w for ws in COMMON.values() for w in ws})
     lists = [(lang, i, w) for lang, ws in [*COMMON.items(), ("*", every)] for i, w in enumerate(ws)]
@@ -115,18 +115,22 @@ WITH d AS (
 ), both_ AS (
   SELECT 'c' AS kind, * FROM cls UNION ALL SELECT 'w', * FROM com
 ), ref AS (
-  SELECT kind, lang, pos, sum(n) AS m FROM both_ GROUP BY ALL
+  SELECT kind, lang, pos, sum(n) AS m, count(*) AS docs FROM both_ GROUP BY ALL
+), every_ AS (
+  SELECT kind, pos, sum(m) AS a FROM ref GROUP BY ALL
+), others AS (
+  SELECT kind, r, n, docs > {LEAST_DOCUMENTS} AS many, CASE WHEN docs > {LEAST_DOCUMENTS} THEN m ELSE a END - n AS o FROM both_ JOIN ref USING (kind, lang, pos) JOIN every_ USING (kind, pos)
 ), pq AS (
-  SELECT kind, r, n / nullif(sum(n) OVER (PARTITION BY kind, r), 0) AS p, m / nullif(sum(m) OVER (PARTITION BY kind, r), 0) AS q FROM both_ JOIN ref USING (kind, lang, pos)
+  SELECT kind, r, many, n / nullif(sum(n) OVER (PARTITION BY kind, r), 0) AS p, o / nullif(sum(o) OVER (PARTITION BY kind, r), 0) AS q FROM others
 ), dist AS (
   SELECT r, coalesce(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) FILTER (WHERE kind = 'c' AND p IS NOT NULL AND q IS NOT NULL) / 2, 0)), 0) AS dc,
-    coalesce(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) FILTER (WHERE kind = 'w' AND p IS NOT NULL AND q IS NOT NULL) / 2, 0)), 0) AS dw
+    coalesce(sqrt(greatest(sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) FILTER (WHERE kind = 'w' AND many AND p IS NOT NULL AND q IS NOT NULL) / 2, 0)), 0) AS dw
   FROM pq GROUP BY r
 ), j AS (
   SELECT b.*, coalesce(rep.n, 0) AS n_repeat_words, dc, dw, n_words < 20 OR 100 * coalesce(rep.n, 0) > 30 * n_words AS base_failed FROM b LEFT JOIN rep USING (r) JOIN dist USING (r)
 )
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, symbol::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words,
-  base_failed, NOT base_failed AND dc <= {CHAR_LIMIT} + {CHAR_SLACK} / sqrt(greatest(n_words, 1)) AND dw <= {WORD_LIMIT} + {WORD_SLACK} / sqrt(greatest(n_words, 1)) AS kept
+  base_failed, NOT base_failed AND (n_words < {GUARD_WORDS} OR dc <= {CHAR_LIMIT} + {CHAR_SLACK} / sqrt(greatest(n_words, 1)) AND dw <= {WORD_LIMIT} + {WORD_SLACK} / sqrt(greatest(n_words, 1))) AS kept
 FROM j
 """
 

@@ -4,9 +4,10 @@ Within each source the rows are ranked in a seeded shuffle; rank r of n stands a
 fraction (2r + 1) / 2n. Sorting all rows by that fraction spreads every source evenly
 over the whole, so cutting the order into equal counts gives each shard the mixture.
 
-Nulls and the like: a null source is a source of its own; a null text has size 8 and
-the checksum of no bytes; rows that repeat are placed one by one; with fewer rows
-than shards the last ones stay empty.
+Nulls and the like: a null source is a source of its own; a null or empty text has size
+8 and the checksum of no bytes, a very long one counts whole; rows that repeat are placed
+one by one; with fewer rows than shards the last ones stay empty; an empty table gives
+an empty one; other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations

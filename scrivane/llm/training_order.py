@@ -7,10 +7,14 @@ put together in slot order, and each shard is written as one file of records of
 same stride: the ids, little-endian, padded with `pad_id`, and one byte 10. Slot s is
 record s mod `per_shard` of shard s div `per_shard`, so a reader resumes anywhere by a
 seek. Shards are committed by Spark's writer, so a lost executor's shard is written
-anew. `inverse` names the sequence of a slot.
+anew. A sequence whose pieces do not fill it ends the job instead of being padded.
 
-An empty table has no sequences and no shards; a null text is the end id alone; rows
-that repeat are sequences' pieces of their own.
+A task writes one shard after another, TASK_BYTES of them, so tasks do not grow with
+the number of shards; a small corpus is dealt over as many tasks as shuffles have.
+
+An empty table has no sequences and no shards; a null text is the end id alone; very
+long texts take many sequences; rows that repeat are sequences' pieces of their own;
+other columns are not read, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -25,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivane.llm.common import new_path
-from scrivane.llm.packing import LENGTH, token_table, with_offsets
+from scrivane.llm.packing import LENGTH, from_planes, planes, token_table, with_offsets
 from scrivane.llm.words import mix
 
 KEY, ROUNDS = 20240229, 6
-#: Sequences of a shard. A shard is read back as a whole, so this bounds a reader's memory; larger corpora on larger readers take more.
-PER_SHARD = 1024
+#: Sequences of a shard (32 MB of 16-bit ids at 2048). A shard is read back as a whole, so this bounds a reader's memory.
+PER_SHARD = 8192
+#: Bytes that one task writes, in shards.
+TASK_BYTES = 256 << 20
 END = b"\n"
 
 
@@ -67,8 +73,6 @@ class Feistel:
 
 
 def _pieces(length: int, wide: bool, order: Feistel):
-    kind = np.dtype("<u4" if wide else "<u2")
-
     def run(batches):
         pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
@@ -80,10 +84,10 @@ def _pieces(length: int, wide: bool, order: Feistel):
                 return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(offsets, pa.int32()), pa.array(parts, pa.binary())], ["slot", "offset", "ids"])
 
             for g, blob in zip(firsts, blobs):
-                values, at = np.frombuffer(blob, kind), 0
+                values, at = from_planes(blob, wide), 0
                 while at < len(values):
                     n = min(len(values) - at, length - g % length)
-                    parts.append(pack.compress(values[at : at + n].tobytes()))
+                    parts.append(pack.compress(planes(values[at : at + n], wide)))
                     sequences.append(g // length)
                     offsets.append(g % length)
                     size += len(parts[-1])
@@ -97,7 +101,7 @@ def _pieces(length: int, wide: bool, order: Feistel):
     return run
 
 
-def _records(length: int, wide: bool, per_shard: int, pad_id: int):
+def _records(length: int, wide: bool, per_shard: int, pad_id: int, total: int, order: Feistel):
     kind = np.dtype("<u4" if wide else "<u2")
     pad = np.full(length, pad_id, kind).tobytes()
 
@@ -107,6 +111,9 @@ def _records(length: int, wide: bool, per_shard: int, pad_id: int):
 
         def record():
             body = b"".join(parts)
+            sequence = int(order.apply(np.array([slot]), back=True)[0])
+            if len(body) != min(length, total - sequence * length) * kind.itemsize:
+                raise ValueError(f"sequence {sequence} of slot {slot} is not whole")
             return slot, body + pad[len(body) :]
 
         def flush():
@@ -115,14 +122,16 @@ def _records(length: int, wide: bool, per_shard: int, pad_id: int):
             return pa.RecordBatch.from_arrays([pa.array([s // per_shard for s in slots], pa.int64()), pa.array(slots, pa.int64()), pa.array(bodies, pa.binary())], ["shard", "slot", "record"])
 
         for batch in batches:
-            for s, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for s, offset, blob in zip(*(c.to_pylist() for c in batch.columns)):
                 if s != slot:
                     if parts:
                         done.append(record())
                         if len(done) >= 512:
                             yield flush()
                     slot, parts = s, []
-                parts.append(unpack.decompress(blob))
+                if offset * kind.itemsize != sum(map(len, parts)):
+                    raise ValueError(f"a piece of slot {s} is missing before {offset}")
+                parts.append(from_planes(unpack.decompress(blob), wide).tobytes())
         if parts:
             done.append(record())
         if done:
@@ -156,8 +165,11 @@ def materialise(docs: DataFrame, id: str = "doc_id", text: str = "text", length:
     pieces = with_offsets(tokens).select("g", "ids").mapInArrow(_pieces(length, wide, out.order), "slot bigint, offset int, ids binary")
     shards = max(1, -(-n // per_shard))
     by_shard = pieces.withColumn("shard", F.expr(f"slot div {per_shard}"))
-    dealt = by_shard.repartitionById(shards, F.col("shard").cast("int"))  # ranges of slots, without sampling
-    rows = dealt.sortWithinPartitions("shard", "slot", "offset").select("slot", "ids").mapInArrow(_records(length, wide, per_shard, pad_id), "shard bigint, slot bigint, record binary")
+    tasks = min(shards, max(-(-n * out.stride // TASK_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    each = -(-shards // tasks)
+    dealt = by_shard.repartitionById(-(-shards // each), F.expr(f"shard div {each}").cast("int"))  # ranges of slots, without sampling
+    made = _records(length, wide, per_shard, pad_id, total, out.order)
+    rows = dealt.sortWithinPartitions("shard", "slot", "offset").select("slot", "offset", "ids").mapInArrow(made, "shard bigint, slot bigint, record binary")
     # The text writer puts a string's bytes down as they are: records of one stride, committed by Spark.
     rows.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", END.decode()).text(out.path)
     return out
@@ -195,7 +207,7 @@ def read_shards(spark: SparkSession, made: Materialised, first_slot: int = 0, di
     unsigned 32-bit ids stands instead (ids_crc32).
     """
     schema = "slot bigint, shard bigint, row bigint, sequence_id bigint, n_tokens bigint, " + ("ids_crc32 bigint" if digest else "ids binary")
-    if not made.sequences:
+    if not made.sequences:  # nothing was written
         return spark.createDataFrame([], schema)
     files = spark.read.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary, shard bigint").load(made.path)
     return files.where(F.col("shard") >= first_slot // made.per_shard).select("shard", "content").mapInArrow(_reader(made, first_slot, digest), schema)

@@ -72,14 +72,44 @@ def test_pipeline_stage_drops_what_is_alike(spark):
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == sorted(set(brute(rows).values()))
 
 
-def test_buckets_beyond_the_batch(spark):
-    """A bucket dealt over several record batches is still one."""
+def test_shards_beyond_the_batch():
+    """A shard dealt over several record batches is still one, and a member names so many partners as it may."""
     import numpy as np
     import pyarrow as pa
 
-    rows = [(1, 5, 9), (2, 1, 9), (2, 2, 9), (2, 3, 9), (3, 7, 9), (4, 8, 9), (4, 9, 9)]
-    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], pa.int64()) for i in range(3)], ["a", "b", "c"])
-    for size in (1, 2, 3, 7):
-        got = [[c.tolist() for c in g] for g in jaccard._groups(batch(rows[i : i + size]) for i in range(0, 7, size))]
-        assert got == [[[2, 2, 2], [1, 2, 3], [9, 9, 9]], [[4, 4], [8, 9], [9, 9]]], size
+    sketch = np.arange(128, dtype=np.uint16).tobytes()
+    rows = [(1, 5, 5, 9, 0), *[(2, i, i, 9, i) for i in (0, 1, 2, 3)], (3, 7, 7, 9, 0), (4, 8, 8, 9, 0), (4, 9, 9, 9, -1), (5, 1, 6, 9, 0), (5, 2, 6, 9, 0), (6, 2, 2, 9, 2), (6, 3, 3, 9, 3)]
+    bottom = np.arange(9, dtype=np.uint32).tobytes()
+    rows = [(*r, sketch, bottom, [x[0] for x in rows if x[1] == r[1]]) for r in rows]
+    types = [pa.int64()] * 5 + [pa.binary(), pa.binary(), pa.list_(pa.int64())]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate(types)], list("abcdefgh"))
+    for size in (1, 2, 3, 10):
+        for partners, want in ((1, [(0, 1), (0, 2), (1, 3)]), (9, [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)])):
+            out = jaccard._rounds(0.8, 4, partners)(batch(rows[i : i + size]) for i in range(0, len(rows), size))
+            assert sorted((r["u"], r["v"]) for b in out for r in b.to_pylist()) == want, size
     assert np.allclose(jaccard.similarity(np.array([1, 2, 3], np.uint64), np.array([2, 3, 4], np.uint64)), 0.5)
+
+
+def test_sketches_rule_out_only_what_is_unlike():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (40, 200, 900):
+        for share in (0.3, 0.7, 0.85, 0.95):
+            whole = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+            a, b = np.unique(whole[:n]), np.unique(np.concatenate([whole[: int(share * n)], whole[n : 2 * n - int(share * n)]]))
+            true = jaccard.similarity(a, b)
+            got = jaccard.may_be_alike(*(x for s in (a, b) for x in (np.unique((s[:256] >> np.uint64(32)).astype(np.uint32)), len(s))), 0.8)
+            assert got if true >= 0.8 else not got or true > 0.6
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    """Unlike texts of one id both stay, of rows alike in id and text one does, and reruns agree."""
+    from scrivane.llm import simhash
+
+    long = " ".join(f"l{i}" for i in range(40))
+    rows = [(1, "a b c d e f", "x", {"k": 1}), (1, long, "x", {"k": 1}), (2, long, "y", {}), (3, "q r s t u v", "b", None), (3, "q r s t u v", "a", None), (3, "q r s t u v", "a", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _one_id string, m map<string, int>")
+    for options in ({}, {"shingle": 5, "radius": 16, "least": 0.8}):
+        once, again = (sorted((r.doc_id, r.text, r._one_id) for r in simhash.keep_one(d, **options).collect()) for d in (docs, docs.repartition(7)))
+        assert once == again and [r[:2] for r in once] == [(1, "a b c d e f"), (1, long), (3, "q r s t u v")]

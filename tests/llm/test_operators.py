@@ -195,7 +195,7 @@ def test_near_duplicates(docs, empty):
 
 
 def test_hot_shards_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "SHARD_QUERIES", 7)
+    monkeypatch.setattr(simhash, "SHARD_MOST", 7)
     rng = random.Random(8)
     base = rng.getrandbits(63)
     values = sorted({base ^ (1 << rng.randrange(40)) ^ (1 << rng.randrange(40)) for _ in range(120)})
@@ -271,6 +271,18 @@ def test_sharding(docs, empty):
     for s in counts:
         assert sorted(r["slot"] for r in got if r.shard == s) == list(range(counts[s]))
     source = {r[0]: r[3] for r in rows}
+    # The ranks themselves: seeded order within the source, then by fraction.
+    by_source = defaultdict(list)
+    for i, t, _, s, *_ in rows:
+        by_source[s].append((hashlib.md5(f"{sharding.SEED}:{i}".encode()).hexdigest(), i, zlib.crc32((t or "").encode())))
+    want = []
+    for s, mine in by_source.items():
+        key = "1" if s is None else "0" + s
+        want += [((2 * r + 1) / (2 * len(mine)), key, r, i) for r, (_, i, _) in enumerate(sorted(mine))]
+    small, more = divmod(len(rows), 24)
+    ends = [small + (k < more) for k in range(24)]
+    place = [(k, slot) for k, n in enumerate(ends) for slot in range(n)]
+    assert Counter((r.doc_id, r.shard, r["slot"]) for r in got) == Counter((i, *p) for (*_, i), p in zip(sorted(want), place))
     per = sharding.interleaved(docs, shards=3).collect()
     for name in ("s1", "s2", None):
         n = Counter(r.shard for r in per if source[r.doc_id] == name)
@@ -319,6 +331,19 @@ def test_mixing(docs, empty):
     assert mixing.mixed(empty).count() == 0 and mixing.emitted(empty).count() == 0
 
 
+def test_mixing_emits_every_row_for_itself(spark):
+    """Rows of one id, with maps and clashing names, and rows alike in all columns."""
+    rows = [(i % 40, f"t{i} " * 9, "s", {"k": i}, i, 7) for i in range(80)] + [(5, "same " * 9, "s", {}, 0, 7)] * 4
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, m map<string, int>, size int, key int")
+    out = mixing.emitted(docs)
+    assert out.columns == docs.columns
+    got = Counter((r.doc_id, r.text, r["size"]) for r in out.collect())
+    assert got == Counter((r[0], r[1], r[4]) for r in rows)  # one source: its target is its size, so each row once
+    assert Counter((r.doc_id, r.text) for r in mixing.emitted(docs.repartition(5)).collect()) == Counter((r[0], r[1]) for r in rows)
+    kept = mixing.mixed(docs, keep=["size", "key", "source"])
+    assert {r["key"] for r in kept.select("key").collect()} == {7}
+
+
 def test_mixing_of_wordless_sources(spark):
     df = spark.createDataFrame([(1, "", "a"), (2, None, "b")], "doc_id bigint, text string, source string")
     assert [(r.target, r.taken) for r in mixing.mixed(df).collect()] == [(0.0, 0), (0.0, 0)]
@@ -354,6 +379,18 @@ def test_divergence_rejects_what_is_unlike_its_language(spark):
     assert all(got[i] for i in range(200)) and not any(got[i] for i in (900, 901, 902))
 
 
+def test_divergence_never_holds_a_text_against_itself(spark):
+    rng = random.Random(12)
+    plain = lambda n=120: " ".join(rng.choice(["the", "of", "and", "house", "river", "stone", "walks", "slowly", "to", "a", "green"]) for _ in range(n))
+    junk = " ".join(f"{i}$$$###%%%" for i in range(80))
+    rows = [(i, plain(), "en") for i in range(60)] + [(900, junk, "xx"), (901, junk, "de"), (902, plain(), "fr"), (903, " ".join(f"{i}$$$###%%%" for i in range(25)), "en")]
+    got = {r.doc_id: r for r in divergence.judged(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert not got[900].kept and not got[901].kept and got[902].kept  # the only ones of their language
+    assert got[903].kept and got[903].char_distance > 0.5  # too short to be judged by a distance
+    (alone,) = divergence.judged(spark.createDataFrame([(1, junk, "en")], "doc_id bigint, text string, lang string")).collect()
+    assert alone.kept and alone.char_distance == 0
+
+
 def test_divergence_plan_stays_in_the_jvm(docs):
     plan = divergence.judged(docs)._jdf.queryExecution().executedPlan().toString() + divergence.counted(docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
@@ -440,6 +477,21 @@ def test_toxicity(spark):
     assert {r.doc_id: r.score for r in got} == {r.doc_id: r.score for r in toxicity.scored(docs, flipped).select("doc_id", "toxicity.score").collect()}
 
 
+def test_toxicity_sample_is_bounded_and_takes_any_id(spark):
+    rows, labels = labelled(n=300)
+    docs = spark.createDataFrame([(f"d{i}", t, lang) for i, t, lang in rows if i is not None] * 3, "doc_id string, text string, lang string")
+    marks = spark.createDataFrame([(f"d{i}", t) for i, _, t in labels] + [("d4", 0), ("d4", 1)], "doc_id string, toxic int")
+    found = toxicity.sample(docs, marks, "doc_id", "text", "lang", 30, 1 << 20, 7)
+    assert len({r["_own"] for r in found}) == len(found) and sum(r["toxic"] for r in found) == 30 and len(found) == 60
+    assert found == toxicity.sample(docs.repartition(3), marks, "doc_id", "text", "lang", 30, 1 << 20, 7)
+    few = toxicity.sample(docs, marks, "doc_id", "text", "lang", 30, 4000, 7)
+    assert 0 < len(few) < 60 and sum(len(r["text"].encode()) for r in few) <= 4000
+    got = toxicity.scored(docs, marks).select("doc_id", "toxicity.score").distinct().collect()
+    assert len(got) == len({r.doc_id for r in got})
+    with pytest.raises(ValueError):
+        toxicity.scored(docs.withColumn("Toxicity", F.lit(1)), marks)
+
+
 def test_toxicity_without_labels(spark, empty):
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")
     df = spark.createDataFrame([(1, "a b", "en"), (2, None, None)], "doc_id bigint, text string, lang string")

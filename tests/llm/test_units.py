@@ -98,6 +98,39 @@ def test_ogg_damage_is_found():
             ogg.decode(bytes(bad))
 
 
+def test_ogg_headers_of_other_makers_are_errors():
+    for change in ({"rate": 0}, {"per": 0}, {"magic": b"\x01vorbi"}, {"count": 3}):
+        head = {"magic": ogg.MAGIC, "count": 1, "rate": ogg.RATE, "per": ogg.PACKET} | change
+        import struct
+
+        packet = struct.pack(ogg.INFO, head["magic"], 0, head["count"], head["rate"], head["per"], 4)
+        media = b"".join(p for _, p in ogg._stream_pages(1, [(packet, 0), (b"abcd", 4)]))
+        with pytest.raises(ogg.OggError):
+            ogg.decode(media)
+        assert ogg.read_back(media)[0] is None and ogg.read_back(media)[-1]
+
+
+def test_byte_planes_go_back():
+    for wide in (False, True):
+        ids = np.array([0, 1, 255, 256, 65535], "<u4" if wide else "<u2")
+        assert packing.from_planes(packing.planes(ids, wide), wide).tolist() == ids.tolist() and len(packing.from_planes(b"", wide)) == 0
+
+
+def test_records_do_not_pad_over_lost_pieces():
+    import pyarrow as pa
+    import zstandard
+
+    order, pack = training_order.Feistel(1), zstandard.ZstdCompressor()
+    piece = lambda lo, hi: pack.compress(packing.planes(np.arange(lo, hi), False))
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array([0] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([piece(*r) for r in rows], pa.binary())], ["slot", "offset", "ids"])
+    made = training_order._records(8, False, 4, 0, 6, order)
+    (out,) = made([batch([(0, 4), (4, 6)])])
+    assert np.frombuffer(out.column(2)[0].as_py(), "<u2").tolist() == [0, 1, 2, 3, 4, 5, 0, 0]
+    for rows in ([(0, 4)], [(4, 6)], [(0, 3), (4, 6)]):
+        with pytest.raises(ValueError):
+            list(made([batch(rows)]))
+
+
 def naive_simhash(text):
     low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
     ws = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", low) if w]
@@ -147,9 +180,9 @@ def test_encoder_gives_the_tokenizers_ids():
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(packing.tokenizer_path())
-    slow.encode_special_tokens = True
-    texts = ["", " ", "Hello, world's  end\n\n\tx", "naïve café 12345", "<|endoftext|> a", "a" * 25_000, " " * 25_000 + "x", "é" * 500, "​\U0001f600 ok", "it's we'll THEY'RE"]
+    texts = ["say <|endoftext|> now", "<|endoftext|><|endoftext|>x <|endoftext", "a" * 3000 + "<|endoftext|>", "ab" * 30_000, "", " ", "Hello, world's  end\n\n\tx", "naïve café 12345", "<|endoftext|> a", "a" * 25_000, " " * 25_000 + "x", "é" * 500, "​\U0001f600 ok", "it's we'll THEY'RE"]
     encode = packing.make_encoder(packing.tokenizer_path())
+    assert encode(["say <|endoftext|> now"]) == [[16706, 220, 50256, 783]]
     assert encode(texts) == [slow.encode(t, add_special_tokens=False).ids for t in texts]
 
 
@@ -171,11 +204,74 @@ def test_classifier_learns_and_scores_alike():
     y = np.array([i % 2 for i in range(400)])
     x = [doc(b) for b in y]
     model = toxicity.train(x[:300], y[:300])
-    right = sum((model.score(f) >= 0.5) == bool(b) for f, b in zip(x[300:], y[300:]))
-    assert right >= 95
+    assert ((model.scores(x[300:]) >= 0.5) == y[300:]).sum() >= 95
     again = toxicity.train(x[:300], y[:300])
-    assert [model.score(f) for f in x[300:310]] == [again.score(f) for f in x[300:310]]
-    assert 0 <= model.score(toxicity.features(arr(""))) <= 1
+    assert model.scores(x[300:310]).tolist() == again.scores(x[300:310]).tolist()
+    untrained = toxicity.train(x[:300], y[:300], epochs=0)
+    assert ((untrained.scores(x[300:]) >= 0.5) == y[300:]).sum() <= 75  # nothing of the labels is put in beforehand
+    (empty,) = model.scores([toxicity.features(arr(""))])
+    assert 0 <= empty <= 1 and len(model.scores([])) == 0
+
+
+def small_model(seed=5):
+    rng = np.random.default_rng(seed)
+    model = toxicity.TextCNN.fresh(seed)
+    model.table[:] = rng.normal(0, 0.5, model.table.shape)
+    model.bias[:] = rng.normal(0, 0.2, model.bias.shape)
+    words_ = [f"u{i}" for i in range(9)]
+    texts = [toxicity.features(arr(" ".join(rng.choice(words_, n)))) for n in (0, 1, 2, 3, 7, 40)]
+    return model, texts
+
+
+def plain_logit(model, ids):
+    """Convolution and max pooling word by word."""
+    n = max(1, len(ids))
+    x = [sum((model.table[b].astype(float) for b in word), np.zeros(toxicity.DIM)) for word in ids] + [np.zeros(toxicity.DIM)] * (n + 4 - len(ids))
+    total, tap = 0.0, 0
+    for k, w in enumerate(toxicity.WIDTHS):
+        for f in range(toxicity.FILTERS):
+            best = max(sum(float(x[i + j] @ model.filters[tap + j, :, f].astype(float)) for j in range(w)) for i in range(n))
+            total += max(0.0, best + float(model.bias[k * toxicity.FILTERS + f])) * float(model.out[k * toxicity.FILTERS + f])
+        tap += w
+    return total
+
+
+def test_forward_pass_against_plain_loops():
+    model, texts = small_model()
+    assert model.logits(texts) == pytest.approx([plain_logit(model, t) for t in texts], abs=1e-4)
+    assert model.logits(texts[::-1])[::-1] == pytest.approx(model.logits(texts), abs=1e-5)
+
+
+def test_gradients_against_differences():
+    model, texts = small_model(6)
+    d = np.random.default_rng(1).normal(0, 1, len(texts)).astype(np.float32)
+    loss = lambda: float(sum(a * plain_logit(model, t) for a, t in zip(d, texts)))
+    found, g_table, *others = model.gradients(texts, d)
+    rng = np.random.default_rng(2)
+    for part, g in zip((model.filters, model.bias, model.out), others):
+        for _ in range(12):
+            at = tuple(int(rng.integers(s)) for s in part.shape)
+            old = part[at]
+            part[at] = old + 1e-3
+            up = loss()
+            part[at] = old - 1e-3
+            down = loss()
+            part[at] = old
+            assert g[at] == pytest.approx((up - down) / 2e-3, abs=2e-2)
+    for i in rng.integers(0, len(found), 12):
+        k = int(rng.integers(toxicity.DIM))
+        old = model.table[found[i], k]
+        model.table[found[i], k] = old + 1e-3
+        up = loss()
+        model.table[found[i], k] = old - 1e-3
+        down = loss()
+        model.table[found[i], k] = old
+        assert g_table[i, k] == pytest.approx((up - down) / 2e-3, abs=2e-2)
+
+
+def test_steepness_follows_how_far_the_classes_lie_apart():
+    y = np.array([0, 1] * 50)
+    assert toxicity.steepness((2 * y - 1) * 5.0, y) < toxicity.steepness((2 * y - 1) * 1.0, y)
 
 
 def test_best_cut():
