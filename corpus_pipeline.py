@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivane.llm import jaccard, mixing, packing, repeats, toxicity
+from scrivane.llm import mixing, packing, repeats, simhash, toxicity
 from scrivane.llm.common import free_name, write_table
 
 
@@ -23,8 +23,8 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of texts stays whose five-word shingles have a Jaccard similarity of 0.8 or more."""
-    return jaccard.keep_one(docs)
+    """One document of each component stays whose five-word fingerprints are near and whose shingles have a Jaccard similarity of 0.8 or more."""
+    return simhash.keep_one(docs, shingle=5, radius=16, least=0.8)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
