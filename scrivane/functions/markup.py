@@ -115,18 +115,21 @@ def hidden(node: Node) -> bool:
 
 
 def _pieces(node: Node, out: list, skip=()) -> None:
-    for c in node.children:
-        if isinstance(c, str):
+    """Without recursion, as pages may nest thousands of elements; None on the stack ends a block."""
+    stack: list = list(reversed(node.children))
+    while stack:
+        c = stack.pop()
+        if c is None:
+            out.append("\n")
+        elif isinstance(c, str):
             out.append(_SPACE.sub(" ", c))
         elif c.tag == "br":
             out.append("\n")
         elif c.tag not in SILENT and c.tag not in skip:
-            block = c.tag in BLOCK
-            if block:
-                out.append("\n")
-            _pieces(c, out, skip)
-            if block:
+            if c.tag in BLOCK:
                 out.append("\n")
+                stack.append(None)
+            stack.extend(reversed(c.children))
 
 
 def text_of(node: Node, skip=(), lines: bool = False) -> str:
@@ -138,9 +141,16 @@ def text_of(node: Node, skip=(), lines: bool = False) -> str:
 
 
 def raw_text(node: Node) -> str:
-    out = []
-    for c in node.children:
-        out.append(c if isinstance(c, str) else "\n" if c.tag == "br" else raw_text(c))
+    out: list[str] = []
+    stack: list = list(reversed(node.children))
+    while stack:
+        c = stack.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag == "br":
+            out.append("\n")
+        else:
+            stack.extend(reversed(c.children))
     return "".join(out)
 
 
@@ -329,39 +339,53 @@ def sanitise(root: Node, tags=TAGS) -> str:
     """Markup by the allow-list: other tags are dropped with their content kept, scripts and styles with theirs."""
     out: list[str] = []
 
-    def visit(node):
-        for c in node.children:
-            if isinstance(c, str):
-                out.append(escape(c, quote=False))
-                continue
-            if c.tag in ("script", "style", "template", "noscript", "title"):
-                continue
-            if c.tag not in tags:
-                visit(c)
-                continue
-            kept = []
-            for k, v in c.attrs.items():
-                if k not in ANY_ATTRIBUTES and k not in ATTRIBUTES.get(c.tag, ()):
-                    continue
-                if k in URL_ATTRIBUTES and (s := re.match(r"\s*([A-Za-z][A-Za-z0-9+.-]*):", v)) and s[1].lower() not in SCHEMES:
+    stack: list = list(reversed(root.children))
+    while stack:
+        c = stack.pop()
+        if isinstance(c, tuple):  # the end of an element
+            out.append(f"</{c[0]}>")
+        elif isinstance(c, str):
+            out.append(escape(c, quote=False))
+        elif c.tag in ("script", "style", "template", "noscript", "title"):
+            continue
+        else:
+            if c.tag in tags:
+                out.append(f"<{c.tag}{_kept_attributes(c)}>")
+                if c.tag in VOID:
                     continue
-                if c.tag == "ol" and k == "start":
-                    number = re.match(r"[ \t\n\f\r]*([+-]?\d+)", v)
-                    if not number or abs(int(number[1])) >= 1 << 31:
-                        continue
-                    v = str(int(number[1]))
-                kept.append(f' {k}="{escape(v)}"')
-            out.append(f"<{c.tag}{''.join(kept)}>")
-            if c.tag not in VOID:
-                visit(c)
-                out.append(f"</{c.tag}>")
-
-    visit(root)
+                stack.append((c.tag,))
+            stack.extend(reversed(c.children))
     return "".join(out)
 
 
+def _kept_attributes(node: Node) -> str:
+    kept = []
+    for k, v in node.attrs.items():
+        if k not in ANY_ATTRIBUTES and k not in ATTRIBUTES.get(node.tag, ()):
+            continue
+        if k in URL_ATTRIBUTES and (s := re.match(r"\s*([A-Za-z][A-Za-z0-9+.-]*):", v)) and s[1].lower() not in SCHEMES:
+            continue
+        if node.tag == "ol" and k == "start":
+            number = re.match(r"[ \t\n\f\r]*([+-]?\d+)", v)
+            if not number or abs(int(number[1])) >= 1 << 31:
+                continue
+            v = str(int(number[1]))
+        kept.append(f' {k}="{escape(v)}"')
+    return "".join(kept)
+
+
 def markdown(root: Node) -> str:
-    """A Markdown writer for blocks: nested lists at four spaces, definitions as `: x`, tables as pipes."""
+    """A Markdown writer for blocks: nested lists at four spaces, definitions as `: x`, tables as pipes.
+
+    Of a page that nests deeper than Python's stack, the text of its lines.
+    """
+    try:
+        return _markdown(root)
+    except RecursionError:
+        return "\n\n".join(re.sub(r"([\\`*_\[\]<>])", r"\\\1", x) for x in text_of(root, lines=True).split("\n") if x)
+
+
+def _markdown(root: Node) -> str:
     def inline(n: Node) -> str:
         out = []
         for c in n.children:
@@ -425,7 +449,7 @@ def markdown(root: Node) -> str:
                 ticks = "`" * max(3, 1 + max((len(m) for m in re.findall("`+", body)), default=0))
                 parts.append(f"{ticks}\n{body}\n{ticks}")
             elif c.tag == "blockquote":
-                inner = markdown(c)
+                inner = _markdown(c)
                 parts.append("\n".join(f"> {x}".rstrip() for x in inner.split("\n")))
             elif c.tag == "dl":
                 parts.append("\n\n".join(f"{x['term']}\n: {x['definition']}" for x in definitions(c)))

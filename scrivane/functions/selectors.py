@@ -14,7 +14,7 @@ from scrivane.functions.markup import Node, parse, text_of
 CONTENT = ("article", "main", "[role=main]", "#content", "#main", ".content", ".post", ".entry-content", ".article-body", ".post-content", ".article-content")
 NOISE = (
     "nav", "body > header", "body > footer", "body > aside", "[role=banner]", "[role=navigation]", "[role=contentinfo]", "[role=complementary]", "[role=search]", "[class*=cookie i]", "[id*=cookie i]", "[class*=newsletter i]", "[id*=newsletter i]",
-    "[class*=subscribe i]", "[class*=sidebar i]", "[id*=sidebar i]", "[class*=related i]", "[id=comments]", "[class~=comments]", "[class~=ad]", "[class~=ads]", "[class*=advert i]", "[id^=ad-]", "ins.adsbygoogle", "[class*=share i]", "[class*=breadcrumb i]",
+    "[class*=subscribe i]", "[class~=sidebar i]", "[class^=sidebar- i]", "[class*=' sidebar-' i]", "[id=sidebar i]", "[id^=sidebar- i]", "[class~=related i]", "[class^=related- i]", "[class*=' related-' i]", "[id=comments]", "[class~=comments]", "[class~=ad]", "[class~=ads]", "[class*=advert i]", "[id^=ad-]", "ins.adsbygoogle", "[class~=share i]", "[class~=sharing i]", "[class^=share- i]", "[class*=' share-' i]", "[class~=social-share i]", "[class*=breadcrumb i]",
     "[aria-label*=cookie i]", ".related-posts", "#mv-first-video", "[id^=mv-player-]", "[id^=mv-ad-]", "iframe[src*=imasdk.googleapis.com]", "iframe[title=Advertisement i]", "video[title=Advertisement i]", "[id^=div-gpt-ad]", "[id^=google_ads_iframe]",
     "ins[id^=gpt_unit_][id*=anchor]",
 )

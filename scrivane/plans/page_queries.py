@@ -143,7 +143,7 @@ def tables_markdown(spark: SparkSession, d: str) -> DataFrame:
     b = P.block_rows(html, "l_orderkey").where("type = 'table'")
     rows = F.filter("rows", lambda r: ~r[0].header)
     return b.select("l_orderkey", F.size(rows).cast("bigint").alias("n_rows"), F.aggregate(rows, F.lit(0).cast("bigint"), lambda a, r: a + F.regexp_extract(r[1].text, "^([0-9]+)", 1).cast("bigint")).alias("quantity"),
-                    F.array_join(F.slice(F.split(S.pipe_table(F.transform("rows", lambda r: F.transform(r, lambda c: c.text))), "\n"), 3, 1_000_000), "\n").alias("body"))
+                    F.array_join(F.slice(F.split(S.pipe_table(F.transform("rows", lambda r: F.transform(r, lambda c: c.text))), "\n"), F.lit(3), F.greatest(F.size("rows"), F.lit(0))), "\n").alias("body"))
 
 
 @query("""SELECT s_suppkey, 'A,A,' || s_suppkey || ';B,C,' || s_suppkey || ';D,E,F' AS cells FROM supplier""")

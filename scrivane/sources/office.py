@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import csv
 import io
 import posixpath
 import re
+import struct
 import zipfile
+import zlib
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -15,6 +18,7 @@ from scrivane.functions.arrow import arrow_function
 from scrivane.sources.encoding import decode
 
 MAX_BYTES, MAX_MEMBERS, MAX_DEPTH = 100 << 20, 20_000, 3
+csv.field_size_limit(MAX_BYTES)  # a cell may be as long as a file
 TEXTS = ("txt", "log", "json", "jsonl", "yaml", "yml", "xml", "md", "markdown")
 
 
@@ -217,6 +221,15 @@ def epub(data: bytes) -> str:
     return "\n\n".join(p for p in parts if p)
 
 
+def member(z: zipfile.ZipFile, info: zipfile.ZipInfo) -> bytes:
+    try:
+        return z.read(info)
+    except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError) as e:
+        raise Refused("damaged member") from e
+    except RuntimeError as e:
+        raise Refused("encrypted member") from e
+
+
 def archive(data: bytes, depth: int = 1, budget: list[int] | None = None) -> str:
     """Members in order under their names; the unreadable ones are named by reason."""
     budget = budget if budget is not None else [MAX_BYTES, MAX_MEMBERS]
@@ -225,7 +238,7 @@ def archive(data: bytes, depth: int = 1, budget: list[int] | None = None) -> str
         if info.is_dir():
             continue
         try:
-            parts.append(f"## {info.filename}\n\n" + convert(info.filename.rpartition(".")[2], z.read(info), depth + 1, budget))
+            parts.append(f"## {info.filename}\n\n" + convert(info.filename.rpartition(".")[2], member(z, info), depth + 1, budget))
         except Refused as e:
             left.setdefault(str(e), []).append(info.filename)
     for why, names in sorted(left.items()):
@@ -240,8 +253,6 @@ def convert(kind: str, data: bytes, depth: int = 1, budget: list[int] | None = N
         if kind in ("html", "htm"):
             return M.markdown(M.parse(decode(data, html=True)["text"]))
         if kind in ("csv", "tsv"):
-            import csv
-
             return M.pipe_table(list(csv.reader(io.StringIO(decode(data)["text"]), delimiter="\t" if kind == "tsv" else ",")))
         if kind in ("md", "markdown"):
             return decode(data)["text"]
@@ -255,8 +266,14 @@ def convert(kind: str, data: bytes, depth: int = 1, budget: list[int] | None = N
             return archive(data, depth, budget)
         if kind in READERS:
             return READERS[kind](data)
-    except (ElementTree.ParseError, KeyError, IndexError, StopIteration, ValueError) as e:
+    except (ElementTree.ParseError, KeyError, IndexError, StopIteration, ValueError, TypeError, AttributeError) as e:
         raise e if isinstance(e, Refused) else Refused(f"unreadable {kind}") from e
+    except (csv.Error, zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, struct.error) as e:
+        raise Refused(f"unreadable {kind}") from e
+    except RecursionError as e:
+        raise Refused(f"{kind} nested too deeply") from e
+    except RuntimeError as e:  # what the archive reader says of a member under a password
+        raise Refused(f"encrypted {kind}" if "password" in str(e) or "encrypted" in str(e) else f"unreadable {kind}") from e
     raise Refused("unknown kind")
 
 

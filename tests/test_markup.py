@@ -120,3 +120,50 @@ def test_archives():
 def test_list_counter():
     c = office.Counter({0: 3})
     assert [c.next(0), c.next(1), c.next(1), c.next(0), c.next(1)] == ["3", "3.1", "3.2", "4", "4.1"]
+
+
+def _damaged(kind):
+    good = office.zipped({"word/document.xml": "<d><body><p><t>hello</t></p></body></d>", "a.txt": "kept"})
+    if kind == "crc":
+        at = good.index(b"kept") if b"kept" in good else good.index(b"PK\x01\x02")
+        return good[: good.index(b"a.txt") + 6] + b"\xff" + good[good.index(b"a.txt") + 7 :], at
+    flagged = bytearray(good)
+    for mark, at in ((b"PK\x03\x04", 6), (b"PK\x01\x02", 8)):  # the flag of encryption in every header
+        i = flagged.find(mark)
+        while i >= 0:
+            flagged[i + at] |= 1
+            i = flagged.find(mark, i + 4)
+    return bytes(flagged), 0
+
+
+@pytest.mark.parametrize("kind", ["crc", "encrypted"])
+def test_damaged_members_are_left_out(kind):
+    data, _ = _damaged(kind)
+    assert "Left out (" in office.convert("zip", data)
+    if kind == "encrypted":
+        with pytest.raises(office.Refused):
+            office.convert("docx", data)
+
+
+def test_huge_cells_and_deep_pages_are_read():
+    cell = "x" * 200_000
+    assert cell in office.convert("csv", f"a,b\n1,{cell}\n".encode())
+    deep = "<div>" * 5000 + "deep *text*" + "</div>" * 5000
+    assert M.text_of(M.parse(deep)) == "deep *text*" and M.markdown(M.parse(deep)) == r"deep \*text\*" and M.raw_text(M.parse(deep)) == "deep *text*"
+    assert M.sanitise(M.parse(deep)) == deep
+    assert "deep" in office.convert("html", deep.encode())
+
+
+def test_bad_records_are_results(spark):
+    rows = [("zip", _damaged("encrypted")[0]), ("docx", _damaged("encrypted")[0]), ("docx", b"PK\x03\x04junk"), ("csv", b"a,b"), ("xlsx", office.zipped({"xl/workbook.xml": "<w><sheet/></w>"})), (None, None)]
+    got = spark.createDataFrame(rows, "kind string, body binary").select(office.converted("kind", "body").alias("r")).select("r.*").collect()
+    assert len(got) == len(rows) and all((r.markdown is None) != (r.error is None) for r in got)
+
+
+@pytest.mark.parametrize("kept", ["shareholders", "unrelated", "sidebars", "related"])
+def test_noise_goes_by_whole_words(kept):
+    from scrivane.functions import selectors
+
+    root = M.parse(f'<body><p class="{kept}">text</p><p class="share-bar">s</p><p class="x sidebar">t</p><div class="a related-posts">u</div></body>')
+    selectors.remove(root, selectors.NOISE, "noise")
+    assert M.text_of(root) == ("text" if kept != "related" else "")
