@@ -27,6 +27,8 @@ from scrivane.llm.common import write_table
 
 LENGTH = 2048
 END_ID = 1
+#: Input partitions whose first places are broadcast.
+MOST_BASES = 2_000_000
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -57,21 +59,13 @@ def make_encoder(path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     special = {t.content: i for i, t in plain.get_added_tokens_decoder().items()}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    return lambda texts: [fast.encode(t, allowed_special="all") for t in texts]
+    # A text without a special token's string is spared the search for them; the ids are the same.
+    return lambda texts: [fast.encode(t, allowed_special="all") if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
 
 
-def planes(values: np.ndarray, wide: bool) -> bytes:
-    """Ids as all their low bytes, then the higher ones, which compresses better."""
-    kind = np.dtype("<u4" if wide else "<u2")
-    return values.astype(kind).view(np.uint8).reshape(-1, kind.itemsize).T.tobytes()
-
-
-def from_planes(data: bytes, wide: bool) -> np.ndarray:
+def _tokenise(path: str, end_id: int, wide: bool):
     kind = np.dtype("<u4" if wide else "<u2")
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1).T).reshape(-1).view(kind)
 
-
-def _tokenise(path: str, end_id: int, wide: bool):
     def run(batches):
         encode = make_encoder(path)
         part, at = TaskContext.get().partitionId(), 0
@@ -84,7 +78,7 @@ def _tokenise(path: str, end_id: int, wide: bool):
                     ids.append(end_id)
                     starts.append(at)
                     at += len(ids)
-                    blobs.append(planes(np.array(ids), wide))
+                    blobs.append(np.array(ids, kind).tobytes())
                 n = len(blobs)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * n, pa.int32()), piece.column(0), pa.array(starts, pa.int64()), pa.array([len(x) for x in encoded], pa.int64()), pa.array(blobs, pa.binary())],
@@ -95,12 +89,14 @@ def _tokenise(path: str, end_id: int, wide: bool):
 
 
 def _cut(length: int, wide: bool, with_ids: bool):
+    kind = np.dtype("<u4" if wide else "<u2")
+
     def run(batches):
         for batch in batches:
             ids, firsts, totals, blobs = (c.to_pylist() for c in batch.columns)
             held, size = [[] for _ in range(8)], 0
             for doc, g, total, blob in zip(ids, firsts, totals, blobs):
-                values, start = from_planes(blob, wide), 0
+                values, start = np.frombuffer(blob, kind), 0
                 while start < total:
                     n = min(total - start, length - g % length)
                     part = values[start : start + n]
@@ -128,7 +124,7 @@ def _cut(length: int, wide: bool, with_ids: bool):
 
 
 def token_table(docs: DataFrame, id: str = "doc_id", text: str = "text", path: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, bool]:
-    """Pass one: (part, id, part_start, doc_tokens, ids as byte planes), written, and whether an id takes 32 bits (16 up to a vocabulary of 65,536)."""
+    """Pass one: (part, id, part_start, doc_tokens, ids), written, and whether an id takes 32 bits (16 up to a vocabulary of 65,536)."""
     from tokenizers import Tokenizer
 
     path = path or tokenizer_path()
@@ -142,9 +138,9 @@ def with_offsets(tokens: DataFrame) -> DataFrame:
     """(id, g, doc_tokens, ids): g is the document's first place in the whole concatenation."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("n"))
-    bases = totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    # One row per input partition; Spark broadcasts it if it is small, and else joins by part.
-    return tokens.join(bases, "part").select("id", (F.col("base") + F.col("part_start")).alias("g"), "doc_tokens", "ids")
+    bases = write_table(totals.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    # One row of 12 bytes per input partition: broadcast up to 24 MB, joined by part beyond.
+    return tokens.join(F.broadcast(bases) if bases.count() <= MOST_BASES else bases, "part").select("id", (F.col("base") + F.col("part_start")).alias("g"), "doc_tokens", "ids")
 
 
 def packed(docs: DataFrame, id: str = "doc_id", text: str = "text", length: int = LENGTH, path: str | None = None, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:

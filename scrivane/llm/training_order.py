@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scrivane.llm.common import new_path
-from scrivane.llm.packing import LENGTH, from_planes, planes, token_table, with_offsets
+from scrivane.llm.packing import LENGTH, token_table, with_offsets
 from scrivane.llm.words import mix
 
 KEY, ROUNDS = 20240229, 6
@@ -73,6 +73,8 @@ class Feistel:
 
 
 def _pieces(length: int, wide: bool, order: Feistel):
+    kind = np.dtype("<u4" if wide else "<u2")
+
     def run(batches):
         pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
@@ -84,10 +86,10 @@ def _pieces(length: int, wide: bool, order: Feistel):
                 return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(offsets, pa.int32()), pa.array(parts, pa.binary())], ["slot", "offset", "ids"])
 
             for g, blob in zip(firsts, blobs):
-                values, at = from_planes(blob, wide), 0
+                values, at = np.frombuffer(blob, kind), 0
                 while at < len(values):
                     n = min(len(values) - at, length - g % length)
-                    parts.append(pack.compress(planes(values[at : at + n], wide)))
+                    parts.append(pack.compress(values[at : at + n].tobytes()))
                     sequences.append(g // length)
                     offsets.append(g % length)
                     size += len(parts[-1])
@@ -111,14 +113,14 @@ def _records(length: int, wide: bool, per_shard: int, pad_id: int, total: int, o
 
         def record():
             body = b"".join(parts)
-            sequence = int(order.apply(np.array([slot]), back=True)[0])
-            if len(body) != min(length, total - sequence * length) * kind.itemsize:
-                raise ValueError(f"sequence {sequence} of slot {slot} is not whole")
-            return slot, body + pad[len(body) :]
+            return slot, len(body), body + pad[len(body) :]
 
         def flush():
-            slots, bodies = zip(*done)
+            slots, sizes, bodies = zip(*done)
             done.clear()
+            want = np.minimum(total - order.apply(np.array(slots, np.int64), back=True) * length, length) * kind.itemsize
+            if (short := np.flatnonzero(want != np.array(sizes))).size:
+                raise ValueError(f"the sequence of slot {slots[short[0]]} is not whole")
             return pa.RecordBatch.from_arrays([pa.array([s // per_shard for s in slots], pa.int64()), pa.array(slots, pa.int64()), pa.array(bodies, pa.binary())], ["shard", "slot", "record"])
 
         for batch in batches:
@@ -131,7 +133,7 @@ def _records(length: int, wide: bool, per_shard: int, pad_id: int, total: int, o
                     slot, parts = s, []
                 if offset * kind.itemsize != sum(map(len, parts)):
                     raise ValueError(f"a piece of slot {s} is missing before {offset}")
-                parts.append(from_planes(unpack.decompress(blob), wide).tobytes())
+                parts.append(unpack.decompress(blob))
         if parts:
             done.append(record())
         if done:
