@@ -233,6 +233,7 @@ def plain_logit(model, ids):
 def test_forward_pass_against_plain_loops():
     model, texts = small_model()
     assert model.logits(texts) == pytest.approx([plain_logit(model, t) for t in texts], abs=1e-4)
+    assert np.maximum(model.pooled(texts)[2], 0) @ model.out == pytest.approx(model.logits(texts), abs=1e-4)
     assert model.logits(texts[::-1])[::-1] == pytest.approx(model.logits(texts), abs=1e-5)
 
 
