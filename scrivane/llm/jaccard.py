@@ -16,7 +16,7 @@ times; what is larger still is cut into blocks, and each block's first member al
 joins the block before it. Such members agree on 16 minima and more.
 
 What can be missed: a pair at the edge of the radius (of those of similarity 0.8 and
-more, measured, 0.4 percent differ in more than 16 bits), and a pair that meets only
+more, sampled on the check tables, up to 0.5 percent differ in more than 16 bits), and a pair that meets only
 in shards that were dealt again. Both usually meet over a third text.
 
 Texts with fewer words than a shingle are one shingle; texts without words are alike;
