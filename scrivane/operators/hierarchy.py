@@ -89,6 +89,30 @@ def index(nodes: DataFrame, outcomes: DataFrame) -> DataFrame:
     return m.select("node_id", "title", F.coalesce("status", F.lit("not-reached")).alias("status"))
 
 
+def captured_directories(nodes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(node_id, directory) of the modules that were captured: a slug for each level below the root, by title and ordinal.
+
+    Only the captured modules are taken apart, and each meets its own ancestors by their ids.
+    """
+    from scrivane.operators.records import ordinal_slug
+
+    captured = nodes.where("level = 'module'").join(outcomes.where("status = 'captured'").select("node_id").distinct(), "node_id", "left_semi")
+    parts = F.split("node_id", "/")
+    prefixes = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    steps = captured.where(F.size(parts) > 1).select("node_id", F.posexplode(prefixes).alias("depth", "at"))
+    slugs = nodes.select(F.col("node_id").alias("at"), ordinal_slug(F.col("title"), F.col("ordinal")).alias("slug"))
+    named = steps.join(slugs, "at").groupBy("node_id").agg(F.array_sort(F.collect_list(F.struct("depth", "slug"))).alias("s"))
+    return named.select("node_id", F.array_join(F.transform("s", lambda x: x.slug), "/").alias("directory"))
+
+
+def refused(nodes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(entry, node_id, title, status): below each entry, and as itself, every module that was not captured."""
+    left = index(nodes, outcomes).where("status <> 'captured'")
+    parts = F.split("node_id", "/")
+    entries = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    return left.select(F.explode(entries).alias("entry"), "node_id", "title", "status")
+
+
 def measured_total(videos: DataFrame, key: str) -> DataFrame:
     """A total only where every video has a duration, of rows (key, duration)."""
     return videos.groupBy(key).agg(F.when(F.count("duration") == F.count(F.lit(1)), F.sum("duration")).alias("total"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivane.functions.text import clean_narration, finite, resolve_corrections, vtt_time
+from scrivane.functions.text import citation_time, clean_narration, finite, resolve_corrections, vtt_time
 
 PLAYBOOK = "id string, title string, duration double, steps array<struct<id:string,kind:string,title:string,description:string,duration:string,audioNote:struct<markdown:string>,subtitles:array<struct<text:string,start:double,end:double>>>>"
+CUES = "array<struct<text:string,start:double,end:double>>"
 READ_BUDGET = 2_000_000
 
 
@@ -41,14 +42,46 @@ def step_rows(playbooks: DataFrame, key: str = "playbook", record: str = "p") ->
     return rows.withColumn("start", F.coalesce(F.sum("duration").over(w), F.lit(0.0)))
 
 
+def _narration() -> Column:
+    return resolve_corrections(clean_narration(F.coalesce("step.audioNote.markdown", F.lit(""))))
+
+
+def _cues() -> Column:
+    """A step's own cues on the step's clock, else one over its length where it is narrated."""
+    stand_in = F.array(F.struct(_narration().alias("text"), F.lit(0.0).alias("start"), F.col("duration").alias("end")))
+    return F.when(F.coalesce(F.size("step.subtitles"), F.lit(0)) > 0, F.col("step.subtitles")).when(_narration() != "", stand_in)
+
+
+def _timed(cue: Column, offset: Column) -> Column:
+    """struct<text, start, end> on the whole's clock; no cue ends before it starts."""
+    start = offset + F.coalesce(cue["start"], F.lit(0.0))
+    return F.struct(resolve_corrections(cue["text"]).alias("text"), start.alias("start"), F.greatest(start, offset + F.coalesce(cue["end"], F.lit(0.0))).alias("end"))
+
+
 def step_cues(steps: DataFrame, key: str = "playbook") -> DataFrame:
     """Cues on the whole's clock; a step with narration and no cue has one over its length."""
-    said = resolve_corrections(clean_narration(F.coalesce("step.audioNote.markdown", F.lit(""))))
-    stand_in = F.array(F.struct(said.alias("text"), F.lit(0.0).alias("start"), F.col("duration").alias("end")))
-    cues = F.when(F.coalesce(F.size("step.subtitles"), F.lit(0)) > 0, F.col("step.subtitles")).when(said != "", stand_in)
-    rows = steps.select(key, "n", F.col("start").alias("offset"), F.posexplode(cues).alias("c", "cue"))
-    start = F.col("offset") + F.coalesce("cue.start", F.lit(0.0))
-    return rows.select(key, "n", "c", resolve_corrections(F.col("cue.text")).alias("text"), start.alias("start"), F.greatest(start, F.col("offset") + F.coalesce("cue.end", F.lit(0.0))).alias("end"))
+    rows = steps.select(key, "n", F.col("start").alias("offset"), F.posexplode(_cues()).alias("c", "cue"))
+    return rows.select(key, "n", "c", _timed(F.col("cue"), F.col("offset")).alias("t")).select(key, "n", "c", "t.*")
+
+
+def steps_payload(steps: DataFrame, key: str = "playbook", header: dict[str, Column] | None = None) -> DataFrame:
+    """(key, payload): the JSON of a walkthrough, its header and a record for each row of step_rows, with the step's cues.
+
+    header: fields by name, functions of the group's rows (such as F.first of a column); the length of all steps is one of them.
+    """
+    seconds = lambda c: F.round(c, 3)
+    cue = lambda c: F.struct(c["text"].alias("text"), seconds(c["start"]).alias("start_seconds"), seconds(c["end"]).alias("end_seconds"), citation_time(c["start"]).alias("timestamp"))
+    cues = F.transform(F.coalesce(_cues(), F.array().cast(CUES)), lambda c: _timed(c, F.col("start")))
+    text = F.trim(F.array_join(F.transform(cues, lambda c: c["text"]), " "))
+    title = F.trim(F.coalesce("step.title", F.lit("")))
+    record = F.struct(
+        (F.col("n") + 1).alias("number"), F.col("step.id").alias("id"), F.col("step.kind").alias("kind"), title.alias("title"), instruction(F.col("step.description"), _narration(), text, title).alias("instruction"),
+        _narration().alias("narration"), ((_narration() == "") & (F.size(cues) == 0)).alias("silent"), seconds(F.col("start")).alias("start_seconds"), seconds(F.col("start") + F.col("duration")).alias("end_seconds"),
+        seconds(F.col("duration")).alias("duration_seconds"), citation_time(F.col("start")).alias("timestamp"), F.transform(cues, cue).alias("transcript"))
+    rows = steps.withColumn("_record", record)
+    whole = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "_record"))).alias("s"), seconds(F.sum("duration")).alias("duration_seconds"), *[c.alias(f"_h_{k}") for k, c in (header or {}).items()])
+    fields = [F.col(f"_h_{k}").alias(k) for k in header or {}]
+    return whole.select(key, F.to_json(F.struct(*fields, "duration_seconds", F.transform("s", lambda x: x["_record"]).alias("steps"))).alias("payload"))
 
 
 def instruction(description: Column, narration: Column, cues: Column, title: Column) -> Column:

@@ -45,11 +45,12 @@ def asset_urls(steps: DataFrame, key: str, clips: bool) -> DataFrame:
 
 
 def _words(text: Column) -> Column:
-    return F.lower(F.regexp_replace(text, "[^A-Za-z0-9]+", "-"))
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-")
 
 
 def ordinal_slug(text: Column, ordinal: Column) -> Column:
-    return F.concat(F.lpad(ordinal.cast("string"), 2, "0"), F.lit("-"), _words(text))
+    """NN-words-of-the-title: two digits at least; the number alone where the title has no word."""
+    return F.concat_ws("-", F.format_string("%02d", ordinal), F.nullif(F.trim(_words(text), F.lit("-")), F.lit("")))
 
 
 def module_directory(root: str, trail: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import datetime
 import io
 import posixpath
 import re
@@ -73,97 +74,470 @@ class Counter:
         return ".".join(str(self.now.get(k, self.starts.get(k, 1))) for k in range(level + 1))
 
 
-def _numbering(z: zipfile.ZipFile) -> dict[str, dict[int, tuple[str, int]]]:
-    """numId -> level -> (format, start)."""
-    if "word/numbering.xml" not in z.namelist():
+def _kids(node, name: str):
+    return (k for k in node if _local(k.tag) == name)
+
+
+def _find(node, *path: str):
+    """The first element down a path of local names, or None."""
+    for name in path:
+        node = next(_kids(node, name), None) if node is not None else None
+    return node
+
+
+def _val(node, *path: str):
+    found = _find(node, *path)
+    return None if found is None else _attr(found, "val", "")
+
+
+def _on(node, name: str) -> bool:
+    """Whether a switch property stands and is not turned off."""
+    found = _find(node, name)
+    return found is not None and _attr(found, "val", "1") not in ("0", "false", "off", "none")
+
+
+def _part(z: zipfile.ZipFile, name: str):
+    return _xml(z.read(name)) if name in z.namelist() else None
+
+
+def _resolved(node):
+    """The children of an element, alternate content by one branch: the first choice with text, else the fallback, else the first."""
+    for k in node:
+        if _local(k.tag) != "AlternateContent":
+            yield k
+            continue
+        branches = [b for b in k if _local(b.tag) in ("Choice", "Fallback")]
+        chosen = next((b for b in branches if _run_text(b).strip()), branches[0] if branches else None)
+        if chosen is not None:
+            yield from _resolved(chosen)
+
+
+def _styles(z: zipfile.ZipFile) -> dict[str, tuple[str, str | None, object]]:
+    """styleId -> (name, the style it is based on, its numPr)."""
+    root = _part(z, "word/styles.xml")
+    return {} if root is None else {_attr(s, "styleId", ""): (_val(s, "name") or "", _val(s, "basedOn"), _find(s, "pPr", "numPr")) for s in _kids(root, "style")}
+
+
+def _lineage(styles, style: str | None):
+    """A style and those it is based on; a cycle ends after 32."""
+    for _ in range(32):
+        if style not in styles:
+            return
+        yield styles[style]
+        style = styles[style][1]
+
+
+def _levels(node) -> dict[int, tuple[str, int]]:
+    return {int(_attr(lvl, "ilvl", 0)): (_val(lvl, "numFmt") or "decimal", int(_val(lvl, "start") or 1)) for lvl in _kids(node, "lvl")}
+
+
+def _numbering(z: zipfile.ZipFile, styles=None) -> dict[str, dict[int, tuple[str, int]]]:
+    """numId -> level -> (format, start), with overrides and lists that a numbering style links to."""
+    root = _part(z, "word/numbering.xml")
+    if root is None:
         return {}
-    root = _xml(z.read("word/numbering.xml"))
-    abstract = {}
-    for a in root:
-        if _local(a.tag) == "abstractNum":
-            levels = {}
-            for lvl in a:
-                if _local(lvl.tag) == "lvl":
-                    kids = {_local(k.tag): _attr(k, "val") for k in lvl}
-                    levels[int(_attr(lvl, "ilvl", 0))] = (kids.get("numFmt", "decimal"), int(kids.get("start") or 1))
-            abstract[_attr(a, "abstractNumId")] = levels
+    abstract = {_attr(a, "abstractNumId"): a for a in _kids(root, "abstractNum")}
+    nums = {_attr(n, "numId"): n for n in _kids(root, "num")}
     out = {}
-    for n in root:
-        if _local(n.tag) == "num":
-            ref = next((_attr(k, "val") for k in n if _local(k.tag) == "abstractNumId"), None)
-            out[_attr(n, "numId")] = abstract.get(ref, {})
+    for number, num in nums.items():
+        found, seen = abstract.get(_val(num, "abstractNumId")), 0
+        while found is not None and (link := _val(found, "numStyleLink")) and seen < 32:
+            target = (styles or {}).get(link)
+            linked = nums.get(_val(target[2], "numId")) if target and target[2] is not None else None
+            found, seen = abstract.get(_val(linked, "abstractNumId")) if linked is not None else None, seen + 1
+        levels = _levels(found) if found is not None else {}
+        for o in _kids(num, "lvlOverride"):
+            at = int(_attr(o, "ilvl", 0))
+            levels |= {k: v for k, v in _levels(o).items()}
+            if (start := _val(o, "startOverride")) is not None:
+                levels[at] = (levels.get(at, ("decimal", 1))[0], int(start or 1))
+        out[number] = levels
     return out
 
 
 def _run_text(node) -> str:
+    """The text below an element, without deleted or phonetic text."""
     out = []
-    for x in node.iter():
-        tag = _local(x.tag)
-        if tag == "t":
-            out.append(x.text or "")
-        elif tag in ("br", "cr"):
-            out.append("\n")
-        elif tag == "tab":
-            out.append("\t")
+
+    def walk(x):
+        for k in x:
+            tag = _local(k.tag)
+            if tag == "t":
+                out.append(k.text or "")
+            elif tag in ("br", "cr"):
+                out.append("\n")
+            elif tag == "tab":
+                out.append("\t")
+            elif tag not in ("rPh", "moveFrom", "del"):
+                walk(k)
+
+    walk(node)
     return "".join(out)
 
 
-def docx(data: bytes) -> str:
-    z = open_archive(data)
-    body = _xml(z.read("word/document.xml"))[0]
-    numbers, counters, parts = _numbering(z), {}, []
-    for node in body:
-        tag = _local(node.tag)
-        if tag == "p":
-            text = _run_text(node).strip()
-            style = next((_attr(x, "val", "") for x in node.iter() if _local(x.tag) == "pStyle"), "")
-            num = next((x for x in node.iter() if _local(x.tag) == "numPr"), None)
-            heading = re.fullmatch(r"[Hh]eading ?([1-6])", style)
-            if not text:
+def _latex(node) -> str:
+    """An equation's tree as LaTeX; what has no rule of its own is read through."""
+    tag = _local(node.tag)
+    inner = lambda name: "".join(_latex(k) for x in _kids(node, name) for k in x)
+    if tag == "t":
+        return node.text or ""
+    if tag == "f":
+        return f"\\frac{{{inner('num')}}}{{{inner('den')}}}"
+    if tag in ("sSup", "sSub", "sSubSup", "nary"):
+        sub, sup = inner("sub"), inner("sup")
+        mark = (_val(node, "naryPr", "chr") or "\u222b") if tag == "nary" else ""
+        return mark + ("" if tag == "nary" else inner("e")) + (f"_{{{sub}}}" if sub else "") + (f"^{{{sup}}}" if sup else "") + (inner("e") if tag == "nary" else "")
+    if tag == "rad":
+        return "\\sqrt" + (f"[{inner('deg')}]" if inner("deg") else "") + f"{{{inner('e')}}}"
+    if tag == "d":
+        opening, closing = _val(node, "dPr", "begChr"), _val(node, "dPr", "endChr")
+        return ("(" if opening is None else opening) + ",".join("".join(_latex(k) for k in e) for e in _kids(node, "e")) + (")" if closing is None else closing)
+    return "".join(_latex(k) for k in node)
+
+
+def _emphasis(text: str, mark: str) -> str:
+    """Marks around a run's text, inside its outer blanks."""
+    body = text.strip()
+    if not mark or not body:
+        return text
+    start = len(text) - len(text.lstrip())
+    return text[:start] + mark + body + mark + text[start + len(body) :]
+
+
+class _Word:
+    """A Word document's parts and what its paragraphs refer to."""
+
+    #: Wrappers that stand around blocks or runs and add nothing.
+    THROUGH = ("sdt", "sdtContent", "ins", "moveTo", "smartTag", "customXml", "fldSimple", "dir", "bdo")
+
+    def __init__(self, data: bytes):
+        self.z = open_archive(data)
+        self.main = _main_part(self.z, "word/document.xml")
+        self.styles = _styles(self.z)
+        self.numbers, self.counters = _numbering(self.z, self.styles), {}
+        self.rels = _relations(self.z, self.main)
+        self.used: list[tuple[str, str]] = []
+
+    def inline(self, node, boxes: list) -> str:
+        """The text of a paragraph or a part of one; runs of equal emphasis stand as one. Text boxes go to boxes."""
+        runs: list[list[str]] = []
+
+        def add(mark: str, text: str) -> None:
+            if runs and runs[-1][0] == mark:
+                runs[-1][1] += text
+            elif text:
+                runs.append([mark, text])
+
+        def walk(x) -> None:
+            for k in _resolved(x):
+                tag = _local(k.tag)
+                if tag == "r":
+                    properties = _find(k, "rPr")
+                    add("" if properties is None else "**" * _on(properties, "b") + "*" * _on(properties, "i"), self.run(k, boxes))
+                elif tag == "hyperlink":
+                    said, target = self.inline(k, boxes), self.rels.get(_attr_ns(k) or "")
+                    add("", f"[{said}]({target})" if said.strip() and target else said)
+                elif tag in ("oMath", "oMathPara"):
+                    add("", f"${_latex(k)}$")
+                elif tag in self.THROUGH:
+                    walk(k)
+                elif tag == "t":
+                    add("", k.text or "")
+
+        walk(node)
+        return "".join(_emphasis(text, mark) for mark, text in runs)
+
+    def run(self, node, boxes: list) -> str:
+        out = []
+        for k in _resolved(node):
+            tag = _local(k.tag)
+            if tag == "t":
+                out.append(k.text or "")
+            elif tag in ("br", "cr"):
+                out.append("\n")
+            elif tag == "tab":
+                out.append("\t")
+            elif tag == "noBreakHyphen":
+                out.append("-")
+            elif tag in ("footnoteReference", "endnoteReference"):
+                self.used.append((tag[: tag.index("Ref")] + "s", _attr(k, "id", "")))
+                out.append(f"[^{len(self.used)}]")
+            elif tag in ("drawing", "pict", "object"):
+                out.append(self.drawing(k, boxes))
+        return "".join(out)
+
+    def drawing(self, node, boxes: list) -> str:
+        """A picture by its part's name; the outermost text boxes are kept for after the paragraph."""
+        name, said, stack = None, "", [node]
+        while stack:
+            x = stack.pop()
+            tag = _local(x.tag)
+            if tag == "txbxContent":
+                boxes.append(x)
                 continue
-            if heading:
-                parts.append("#" * int(heading[1]) + " " + text)
-            elif num is not None:
-                kids = {_local(k.tag): _attr(k, "val") for k in num}
-                level, levels = int(kids.get("ilvl") or 0), numbers.get(kids.get("numId"), {})
-                if levels.get(level, ("bullet", 1))[0] == "bullet":
-                    mark = "-"
-                else:
-                    counter = counters.setdefault(kids.get("numId"), Counter({k: s for k, (_, s) in levels.items()}))
-                    mark = counter.next(level) + "."
-                line = "    " * level + f"{mark} {text}"
-                if parts and re.match(r"\s*([-]|[\d.]+\.) ", parts[-1].split("\n")[-1]):
-                    parts[-1] += "\n" + line
-                else:
-                    parts.append(line)
+            if tag in ("blip", "imagedata") and name is None:
+                name = next((self.rels[v] for a, v in x.attrib.items() if _local(a) in ("embed", "id") and v in self.rels), None)
+            elif tag == "docPr":
+                said = said or _attr(x, "descr", "")
+            stack += reversed(list(_resolved(x)))
+        return f"![{said}]({name})" if name else ""
+
+    def blocks(self, node) -> list[str]:
+        parts: list[str] = []
+        for k in _resolved(node):
+            tag = _local(k.tag)
+            if tag == "p":
+                self.paragraph(k, parts)
+            elif tag == "tbl":
+                parts.append(M.pipe_table(self.table(k)))
+            elif tag in self.THROUGH:
+                parts += self.blocks(k)
+        return parts
+
+    def table(self, node) -> list[list[str]]:
+        """Cells by row; one that spans is followed by empty ones, one that goes on from above is empty."""
+        rows = []
+        for r in self.through(node, "tr"):
+            line: list[str] = []
+            for c in self.through(r, "tc"):
+                span = int(_val(c, "tcPr", "gridSpan") or 1)
+                merged = _find(c, "tcPr", "vMerge")
+                goes_on = merged is not None and _attr(merged, "val", "continue") == "continue"
+                line += ["" if goes_on else "\n".join(self.blocks(c))] + [""] * (span - 1)
+            rows.append(line)
+        return rows
+
+    def through(self, node, name: str):
+        for k in node:
+            if _local(k.tag) == name:
+                yield k
+            elif _local(k.tag) in self.THROUGH:
+                yield from self.through(k, name)
+
+    def paragraph(self, node, parts: list[str]) -> None:
+        boxes: list = []
+        text = self.inline(node, boxes).strip()
+        style = _val(node, "pPr", "pStyle")
+        line = list(_lineage(self.styles, style))
+        names = [style or "", *(n for n, _, _ in line)]
+        heading = next((m for n in names if (m := re.fullmatch(r"[Hh]eading ?([1-6])", n))), None)
+        num = _find(node, "pPr", "numPr")
+        num = num if num is not None else next((n for _, _, n in line if n is not None), None)
+        number = None if num is None else _val(num, "numId")
+        if text and heading:
+            parts.append("#" * int(heading[1]) + " " + text)
+        elif text and number not in (None, "0"):
+            level, levels = int(_val(num, "ilvl") or 0), self.numbers.get(number, {})
+            if levels.get(level, ("bullet", 1))[0] == "bullet":
+                mark = "-"
             else:
-                parts.append(text)
-        elif tag == "tbl":
-            rows = [["\n".join(_run_text(p) for p in c.iter() if _local(p.tag) == "p") for c in r if _local(c.tag) == "tc"] for r in node if _local(r.tag) == "tr"]
-            parts.append(M.pipe_table(rows))
-    return "\n\n".join(parts)
+                counter = self.counters.setdefault(number, Counter({k: s for k, (_, s) in levels.items()}))
+                mark = counter.next(level) + "."
+            item = "    " * level + f"{mark} {text}"
+            if parts and re.match(r"\s*([-]|[\d.]+\.) ", parts[-1].split("\n")[-1]):
+                parts[-1] += "\n" + item
+            else:
+                parts.append(item)
+        elif text:
+            parts.append(text)
+        for box in boxes:
+            parts += self.blocks(box)
+
+    def notes(self) -> list[str]:
+        """The texts of the notes referred to, in order; notes of notes follow."""
+        out, at, read = [], 0, {}
+        while at < len(self.used):
+            kind, key = self.used[at]
+            at += 1
+            if kind not in read:
+                root = _part(self.z, posixpath.join(posixpath.dirname(self.main), f"{kind}.xml"))
+                read[kind] = {} if root is None else {_attr(n, "id", ""): n for n in root}
+            found = read[kind].get(key)
+            out.append(f"[^{at}]: " + ("" if found is None else " ".join(self.blocks(found))))
+        return out
+
+
+def docx(data: bytes) -> str:
+    """Body blocks in order, then the notes they refer to.
+
+    Content controls and inserted text are read, deleted text is not; links, emphasis,
+    pictures by their part's name, equations as LaTeX, text boxes after their paragraph.
+    """
+    w = _Word(data)
+    return "\n\n".join(w.blocks(_xml(w.z.read(w.main))[0]) + w.notes())
 
 
 def _relations(z: zipfile.ZipFile, part: str) -> dict[str, str]:
-    name = posixpath.join(posixpath.dirname(part), "_rels", posixpath.basename(part) + ".rels")
-    if name not in z.namelist():
+    """Id -> member name; targets outside the package stay as they are."""
+    return {key: target for key, _, target in _links(z, part)}
+
+
+def _links(z: zipfile.ZipFile, part: str) -> list[tuple[str, str, str]]:
+    """(id, last word of the kind, target) of a part's relationships."""
+    root = _part(z, posixpath.join(posixpath.dirname(part), "_rels", posixpath.basename(part) + ".rels"))
+    out = []
+    for r in [] if root is None else root:
+        target = _attr(r, "Target", "")
+        if _attr(r, "TargetMode") != "External":
+            target = posixpath.normpath(posixpath.join("/" + posixpath.dirname(part), target)).lstrip("/")
+        out.append((_attr(r, "Id"), _attr(r, "Type", "").rpartition("/")[2], target))
+    return out
+
+
+def _main_part(z: zipfile.ZipFile, usual: str) -> str:
+    """The part that the package names as its document, else the usual one."""
+    return next((t for _, kind, t in _links(z, "") if kind == "officeDocument" and t in z.namelist()), usual)
+
+
+def part_types(z: zipfile.ZipFile) -> dict[str, str]:
+    """Member -> content type: by its own name, else by its suffix."""
+    root = _part(z, "[Content_Types].xml")
+    if root is None:
         return {}
-    return {_attr(r, "Id"): posixpath.normpath(posixpath.join(posixpath.dirname(part), _attr(r, "Target", ""))).lstrip("/") for r in _xml(z.read(name))}
+    named = {_attr(x, "PartName", "").lstrip("/").lower(): _attr(x, "ContentType", "") for x in _kids(root, "Override")}
+    suffixes = {_attr(x, "Extension", "").lower(): _attr(x, "ContentType", "") for x in _kids(root, "Default")}
+    kinds = {n: named.get(n.lower()) or suffixes.get(n.lower().rpartition(".")[2]) for n in z.namelist()}
+    return {n: k for n, k in kinds.items() if k}
+
+
+def rewrite_parts(data: bytes, rewrites: dict) -> bytes:
+    """The package with the parts of some content types edited in place.
+
+    A rewrite takes the part's root and says whether it changed it; every other
+    member keeps its bytes, and a package without a change is returned as it is.
+    """
+    z = open_archive(data)
+    changed = {}
+    for name, kind in part_types(z).items():
+        if kind in rewrites:
+            root = _xml(z.read(name))
+            if rewrites[kind](root):
+                changed[name] = ElementTree.tostring(root, encoding="utf-8", xml_declaration=True)
+    return zipped({i.filename: changed.get(i.filename) or z.read(i) for i in z.infolist()}) if changed else data
+
+
+def _series(node, name: str) -> list[str]:
+    """The cached values of a chart's categories or numbers, by their index."""
+    found = _find(node, name)
+    points = {} if found is None else {int(_attr(p, "idx", 0)): next((v.text or "" for v in _kids(p, "v")), "") for p in found.iter() if _local(p.tag) == "pt"}
+    return [points.get(i, "") for i in range(max(points) + 1)] if points else []
+
+
+def _chart(root) -> str:
+    """A chart as its title and a table: a row for each category, a column for each series."""
+    title = next((t for x in root.iter() if _local(x.tag) == "title" and (t := _run_text(x).strip())), "")
+    series = [x for x in root.iter() if _local(x.tag) == "ser"]
+    names = ["".join(v.text or "" for v in t.iter() if _local(v.tag) == "v") if (t := _find(s, "tx")) is not None else f"Series {i}" for i, s in enumerate(series, 1)]
+    labels = next((c for s in series if (c := _series(s, "cat") or _series(s, "xVal"))), [])
+    values = [_series(s, "val") or _series(s, "yVal") for s in series]
+    n = max([len(labels), *map(len, values)], default=0)
+    cell = lambda row, i: row[i] if i < len(row) else ""
+    table = M.pipe_table([["Category", *names], *([cell(labels, i), *(cell(v, i) for v in values)] for i in range(n))]) if series else ""
+    return "\n\n".join(x for x in ("### Chart" + (f": {title}" if title else ""), table) if x)
+
+
+class _Slide:
+    def __init__(self, z: zipfile.ZipFile, part: str):
+        self.z, self.title, self.rels = z, "", _relations(z, part)
+        self.root = _xml(z.read(part))
+
+    def paragraphs(self, node) -> list[str]:
+        out = []
+        for p in node.iter():
+            if _local(p.tag) == "p" and (text := self.line(p).strip()):
+                out.append(text)
+        return out
+
+    def line(self, node) -> str:
+        out = []
+        for k in _resolved(node):
+            tag = _local(k.tag)
+            if tag == "t":
+                out.append(k.text or "")
+            elif tag == "br":
+                out.append("\n")
+            elif tag == "tab":
+                out.append("\t")
+            elif tag in ("oMath", "oMathPara"):
+                out.append(f"${_latex(k)}$")
+            elif tag not in ("pPr", "rPr", "endParaRPr"):
+                out.append(self.line(k))
+        return "".join(out)
+
+    def shapes(self, node) -> list[str]:
+        out: list[str] = []
+        for k in _resolved(node):
+            tag = _local(k.tag)
+            if tag in ("grpSp", "spTree", "cSld"):
+                out += self.shapes(k)
+            elif tag == "p":
+                out += [t] if (t := self.line(k).strip()) else []
+            elif tag in ("sp", "cxnSp"):
+                said = self.paragraphs(k)
+                kind = next((_attr(x, "type", "") for x in k.iter() if _local(x.tag) == "ph"), "")
+                if kind in ("title", "ctrTitle") and said and not self.title:
+                    self.title = " ".join(said)
+                else:
+                    out += said
+            elif tag == "pic":
+                said = next((_attr(x, "descr", "") or _attr(x, "name", "") for x in k.iter() if _local(x.tag) == "cNvPr"), "")
+                name = next((self.rels.get(_attr(x, "embed", "")) for x in k.iter() if _local(x.tag) == "blip"), None)
+                out.append(f"![{said}]({name or ''})")
+            elif tag == "graphicFrame":
+                out += self.frame(k)
+        return out
+
+    def frame(self, node) -> list[str]:
+        for x in node.iter():
+            tag = _local(x.tag)
+            if tag == "tbl":
+                return [M.pipe_table([["\n".join(self.paragraphs(c)) for c in _kids(r, "tc")] for r in _kids(x, "tr")])]
+            if tag == "chart" and (part := self.rels.get(_attr_ns(x) or "")) in self.z.namelist():
+                return [_chart(_xml(self.z.read(part)))]
+            if tag == "relIds" and (part := self.rels.get(_attr(x, "dm", ""))) in self.z.namelist():
+                return self.diagram(_xml(self.z.read(part)))
+        return self.paragraphs(node)
+
+    def diagram(self, model) -> list[str]:
+        """A diagram's texts as a list, each below the point that it hangs on."""
+        said = {p.get("modelId"): " ".join(self.paragraphs(p)) for p in model.iter() if _local(p.tag) == "pt"}
+        below: dict[str, list] = {}
+        for c in model.iter():
+            if _local(c.tag) == "cxn" and c.get("type", "parOf") == "parOf":
+                below.setdefault(c.get("srcId"), []).append((int(c.get("srcOrd") or 0), c.get("destId")))
+        heads = set(said) - {d for kids in below.values() for _, d in kids}
+        lines, seen = [], set()
+        stack = [(0, p) for p in reversed(said) if p in heads]
+        while stack:
+            depth, point = stack.pop()
+            if point in seen:
+                continue
+            seen.add(point)
+            if said.get(point):
+                lines.append("    " * depth + "- " + said[point])
+            stack += [(depth + bool(said.get(point)), d) for _, d in sorted(below.get(point, ()), reverse=True)]
+        lines += ["- " + t for p, t in said.items() if t and p not in seen]
+        return ["\n".join(lines)] if lines else []
 
 
 def pptx(data: bytes) -> str:
-    """Slides in presentation order, with their notes."""
+    """Slides in presentation order, with their notes: texts, tables, charts, diagrams, pictures and equations in the order of the file."""
     z = open_archive(data)
-    main = "ppt/presentation.xml"
+    main = _main_part(z, "ppt/presentation.xml")
     rels = _relations(z, main)
     order = [rels[_attr_ns(x)] for x in _xml(z.read(main)).iter() if _local(x.tag) == "sldId" and _attr_ns(x) in rels]
     parts = []
-    for n, slide in enumerate(order, 1):
-        texts = [t for p in _xml(z.read(slide)).iter() if _local(p.tag) == "p" and (t := _run_text(p).strip())]
-        parts.append("\n\n".join([f"## Slide {n}" + (f": {texts[0]}" if texts else ""), *texts[1:]]))
-        notes = next((t for t in _relations(z, slide).values() if "notesSlide" in t), None)
-        if notes and (said := [t for p in _xml(z.read(notes)).iter() if _local(p.tag) == "p" and (t := _run_text(p).strip())]):
-            parts.append("### Notes\n\n" + "\n\n".join(said))
+    for n, part in enumerate(order, 1):
+        slide = _Slide(z, part)
+        said = slide.shapes(slide.root)
+        if not slide.title and said and not re.match(r"[|!#-]", said[0]):
+            slide.title = said.pop(0)
+        parts.append("\n\n".join([f"## Slide {n}" + (f": {slide.title}" if slide.title else ""), *said]))
+        notes = next((t for _, kind, t in _links(z, part) if kind == "notesSlide" or "notesSlide" in t), None)
+        if notes in z.namelist():
+            page = _Slide(z, notes)
+            if said := page.shapes(page.root):
+                parts.append("### Notes\n\n" + "\n\n".join(said))
     return "\n\n".join(parts)
 
 
@@ -179,15 +553,64 @@ def _column(ref: str) -> int:
     return n - 1
 
 
+# Built-in number formats that are dates or times.
+DATE_FORMATS = (14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47)
+
+
+def _dated(z: zipfile.ZipFile, part: str) -> list[bool]:
+    """For each cell format, whether it shows a date or a time."""
+    root = _part(z, part)
+    if root is None:
+        return []
+    codes = {int(_attr(f, "numFmtId", 0)): _attr(f, "formatCode", "") for f in root.iter() if _local(f.tag) == "numFmt"}
+    plain = {k: re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?![hms]+\])[^\]]*\]', "", c).split(";")[0].lower() for k, c in codes.items()}
+    dated = lambda k: bool(re.search("[dmyhs]", plain[k])) and "general" not in plain[k] if k in plain else k in DATE_FORMATS
+    formats = _find(root, "cellXfs")
+    return [] if formats is None else [dated(int(_attr(x, "numFmtId", 0))) for x in _kids(formats, "xf")]
+
+
+def _moment(serial: str, from_1904: bool) -> str:
+    """A serial number as a date, a time of day or both; one that is none stays as it is."""
+    try:
+        days = float(serial)
+        whole = days >= 1 or from_1904
+        if days < 0:
+            return serial
+        # Serial 60 is a day that never was; those before it count from a day later.
+        start = datetime.datetime(1904, 1, 1) if from_1904 else datetime.datetime(1899, 12, 31 if days < 60 else 30)
+        at = start + datetime.timedelta(seconds=round(days * 86400, 3))
+    except (ValueError, OverflowError):
+        return serial
+    if at.microsecond:
+        at += datetime.timedelta(microseconds=500_000)
+        at = at.replace(microsecond=0)
+    return str(at) if whole else str(at.time())
+
+
 def xlsx(data: bytes) -> str:
-    """A section and a table for each sheet."""
+    """A section and a table for each sheet; dates and truth values are spelled out, whatever their cells show."""
     z = open_archive(data)
-    shared = []
-    if "xl/sharedStrings.xml" in z.namelist():
-        shared = [_run_text(si) for si in _xml(z.read("xl/sharedStrings.xml")) if _local(si.tag) == "si"]
-    main = "xl/workbook.xml"
-    rels, parts = _relations(z, main), []
-    for sheet in _xml(z.read(main)).iter():
+    main = _main_part(z, "xl/workbook.xml")
+    folder = posixpath.dirname(main)
+    strings = _part(z, posixpath.join(folder, "sharedStrings.xml"))
+    shared = [] if strings is None else [_run_text(si) for si in _kids(strings, "si")]
+    dated = _dated(z, posixpath.join(folder, "styles.xml"))
+    rels, parts, book = _relations(z, main), [], _xml(z.read(main))
+    properties = _find(book, "workbookPr")
+    from_1904 = properties is not None and _attr(properties, "date1904") in ("1", "true")
+
+    def value(c) -> str:
+        v, kind = next((x.text or "" for x in _kids(c, "v")), ""), c.get("t", "n")
+        if kind == "s" and v:
+            return shared[int(v)]
+        if kind == "inlineStr":
+            return _run_text(c)
+        if kind == "b":
+            return {"1": "True", "0": "False"}.get(v, v)
+        style = int(c.get("s") or 0)
+        return _moment(v, from_1904) if kind == "n" and v and style < len(dated) and dated[style] else v.replace("T", " ") if kind == "d" else v
+
+    for sheet in book.iter():
         if _local(sheet.tag) != "sheet" or rels.get(_attr_ns(sheet)) not in z.namelist():
             continue
         rows = []
@@ -195,11 +618,9 @@ def xlsx(data: bytes) -> str:
             if _local(r.tag) != "row":
                 continue
             line: list[str] = []
-            for c in r:
-                v = next((x.text or "" for x in c if _local(x.tag) == "v"), "")
-                value = shared[int(v)] if c.get("t") == "s" and v else _run_text(c) if c.get("t") == "inlineStr" else v
+            for c in _kids(r, "c"):
                 at = _column(c.get("r")) if c.get("r") else len(line)
-                line += [""] * (at - len(line)) + [value]
+                line += [""] * (at - len(line)) + [value(c)]
             rows.append(line)
         parts.append(f"## {_attr(sheet, 'name', '')}\n\n{M.pipe_table(rows)}".rstrip())
     return "\n\n".join(parts)
