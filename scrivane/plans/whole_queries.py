@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from scrivane.functions import text as X
 from scrivane.operators import hierarchy as H
+from scrivane.operators import quality as Q
+from scrivane.operators import records as B
+from scrivane.operators import rules
 from scrivane.plans import chunk_queries, corpus_queries, detail_queries, record_queries
-from scrivane.plans.registry import ORACLES, query
+from scrivane.plans.registry import ORACLES, query, table
 
 
 def _whole(name: str) -> str:
@@ -53,3 +58,39 @@ SELECT source, title, node AS candidate FROM x JOIN n ON contains(text, title) J
 def cross_ref_candidates(spark: SparkSession, d: str) -> DataFrame:
     texts, titles = corpus_queries._named(spark, d)
     return H.cross_reference_candidates(H.cross_references(texts, titles), titles)
+
+
+# The second side of a comparison is every whole text with the last letter of words in e lost.
+_SIDES = r"""s AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS a, regexp_extract_all(lower(replace(coalesce(text, ''), 'e ', ' ')), '[\p{L}\p{N}_]+') AS b FROM documents),
+w AS (SELECT word, sum(x)::BIGINT AS na, sum(y)::BIGINT AS nb FROM (SELECT unnest(a) AS word, 1 AS x, 0 AS y FROM s UNION ALL SELECT unnest(b), 0, 1 FROM s) GROUP BY word)"""
+
+
+def _sides(spark, d):
+    text = F.coalesce("text", F.lit(""))
+    return table(spark, d, "documents").select("doc_id", X.tokens(text).alias("a"), X.tokens(F.replace(text, F.lit("e "), F.lit(" "))).alias("b"))
+
+
+@query(f"""WITH {_SIDES} SELECT 'texts' AS metric, round((SELECT sum(least(na, nb)) / greatest(sum(na), sum(nb)) FROM w), 9) AS score UNION ALL SELECT 'words', round((SELECT sum(least(na, nb)) / sum(na) FROM w), 9)
+UNION ALL SELECT 'chunks', round((SELECT count(*) FILTER (WHERE len([x for x in b if NOT list_contains(a, x)]) = 0) / count(*) FROM s), 9)""")
+def parity_scores_whole(spark: SparkSession, d: str) -> DataFrame:
+    sides = _sides(spark, d)
+    a, b = (sides.select(F.explode(c).alias("word")) for c in ("a", "b"))
+    scores = {"texts": Q.set_score(a, b, ["word"]), "words": Q.coverage(a, b, ["word"]).toDF("score"), "chunks": B.chunk_traceability(sides.select(F.col("b").alias("refs"), F.col("a").alias("known")))}
+    first, *rest = [s.select(F.lit(m).alias("metric"), F.round("score", 9).alias("score")) for m, s in scores.items()]
+    for s in rest:
+        first = first.unionByName(s)
+    return first
+
+
+@query(f"""WITH {_SIDES} SELECT word, na - nb AS missing FROM w WHERE na > nb ORDER BY missing DESC, word LIMIT 15""")
+def worst_tokens_whole(spark: SparkSession, d: str) -> DataFrame:
+    sides = _sides(spark, d)
+    return Q.worst_missing(sides.select(F.explode("a").alias("word")), sides.select(F.explode("b").alias("word")), ["word"])
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 AND regexp_matches(coalesce(text, ''), '\p{L}') THEN 'Sign up to keep reading' END AS words FROM documents""")
+def wall_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts that a wall ends (even ids) or that go on after one."""
+    text, wall = F.coalesce("text", F.lit("")), F.lit("Sign up to keep reading")
+    said = F.when(F.col("doc_id") % 2 == 0, F.concat(text, F.lit("\n"), wall)).otherwise(F.concat(wall, F.lit("\n"), text, F.lit("\n"), text, F.lit(" and so the text goes on")))
+    return table(spark, d, "documents").select("doc_id", rules.wall_words(said).alias("words"))
