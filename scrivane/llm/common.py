@@ -89,6 +89,32 @@ def ranked(df: DataFrame, group: list[str], order: list[str], rank: str, total:
     return joined.withColumn(rank, F.col("_base") + F.col("_row") - F.col("_first")).drop("_base", "_row", "_first", "_part")
 
 
+#: A key is heavy with more rows than this and than one in HEAVY_SHARE of all, so at most HEAVY_SHARE keys are.
+HEAVY_LEAST, HEAVY_SHARE = 1000, 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner", counted: DataFrame | None = None) -> DataFrame:
+    """left joined to right, which has one row for each key, without gathering the rows of a heavy key.
+
+    Keys that hold more than a ten-thousandth of the rows of `counted` (left by default;
+    a written table with the same keys) are at most HEAVY_SHARE, so right's rows of
+    them are broadcast; all others meet in a merge join of small groups. Rows of a
+    null key find nothing and stay where they are.
+    """
+    counted = left if counted is None else counted
+    known = counted.where(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    limit = max(HEAVY_LEAST, counted.count() // HEAVY_SHARE)
+    heavy = write_table(known.groupBy(*keys).count().where(F.col("count") > limit).select(*keys, F.lit(True).alias("_heavy")), "heavy")
+    null = F.lit(False)
+    for k in keys:
+        null = null | F.col(k).isNull()
+    marked = left.join(F.broadcast(heavy), keys, "left")
+    few = right.join(F.broadcast(heavy), keys, "left_semi")
+    hot = marked.where(F.col("_heavy").isNotNull() | null).drop("_heavy").join(F.broadcast(few), keys, how)
+    cold = marked.where(F.col("_heavy").isNull() & ~null).drop("_heavy").join(right.hint("merge"), keys, how)
+    return hot.unionByName(cold)
+
+
 def byte_views(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary Arrow array, nulls as empty."""
     if isinstance(column, pa.ChunkedArray):

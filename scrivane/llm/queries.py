@@ -79,6 +79,24 @@ def op10_simhash_bktree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.trie import rebuilt, trie
+
+    return trie(rebuilt(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+def op12_lexicon_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.lexicon import digests
+
+    return digests(_documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scrivane.llm.audit import interactions
+
+    return interactions(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 ORACLE: dict[str, str] = {}
 
 def _op3_sql() -> str:
@@ -204,6 +222,68 @@ SELECT doc_id, size, source_size, target, ((floor(u + (k + 1) * each) - floor(u
 """
 
 
+ORACLE["op11_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, ''))::VARCHAR || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT i AS b, list_reduce([i] || range(8), lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS v FROM range(256) r(i)
+), table_ AS (
+  SELECT list(v ORDER BY b) AS v FROM crc
+), ids AS (
+  SELECT conv_id, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ord(c)::BIGINT), lambda a, x: xor(a // 256, v[xor(a, x) % 256 + 1])), 4294967295) % 9 AS h
+  FROM (SELECT DISTINCT conv_id FROM t), table_
+), r AS (
+  SELECT i.conv_id, t.k AS p, role, text FROM ids i JOIN t ON t.conv_id = i.conv_id - i.conv_id % 5 AND t.k < i.h
+  UNION ALL SELECT i.conv_id, 100 + t.k, role, text FROM ids i JOIN t ON t.conv_id = i.conv_id AND t.k >= i.h
+), c AS (
+  SELECT i.conv_id, coalesce(list(sha256(strlen(role)::VARCHAR || ':' || role || text) ORDER BY p) FILTER (WHERE p IS NOT NULL), []) AS s, coalesce(list(strlen(text) ORDER BY p) FILTER (WHERE p IS NOT NULL), []) AS b
+  FROM ids i LEFT JOIN r USING (conv_id) GROUP BY i.conv_id
+), m AS (
+  SELECT conv_id, d, array_to_string(s[1:d], '') AS key, CASE WHEN d = 0 THEN 0 ELSE b[d] END AS bytes, len(s) = d AS ends FROM (SELECT *, unnest(range(0, len(s) + 1)) AS d FROM c)
+), n AS (
+  SELECT d, key, min(conv_id) AS conv_id, count(*) AS n, (count(*) - 1) * max(bytes) AS saved, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256 FROM m GROUP BY d, key
+), kids AS (
+  SELECT d - 1 AS d, left(key, 64 * (d - 1)::INT) AS key, count(*) AS k FROM n WHERE d > 0 GROUP BY ALL
+), w AS (
+  SELECT n.*, coalesce(k, 0) AS k FROM n LEFT JOIN kids USING (d, key)
+), below AS (
+  SELECT a AS d, left(key, 64 * a::INT) AS key, sum((k = 0)::INT) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM w) GROUP BY ALL
+)
+SELECT w.conv_id, w.d::BIGINT AS depth, p.conv_id AS parent_conv_id, w.n::BIGINT AS n_convs, w.k::BIGINT AS n_children, below.leaves::BIGINT AS n_leaves, below.saved::BIGINT AS saved_tokens, w.ends_sha256
+FROM w JOIN below USING (d, key) LEFT JOIN n p ON p.d = w.d - 1 AND p.key = left(w.key, 64 * (w.d - 1)::INT)
+"""
+
+ORACLE["op13_filter_audit"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT part, doc_id, (len(w) < 50)::INT + 2 * (100 * len(list_distinct(w)) < 65 * len(w))::INT + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 5 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::INT AS bits
+  FROM d
+), l AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), c AS (
+  SELECT part, bits, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, bits
+), x(f, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)), o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.b, b.b, c.b, d.b, e.b] AS bs
+  FROM x a JOIN x b ON b.f <> a.f JOIN x c ON c.f NOT IN (a.f, b.f) JOIN x d ON d.f NOT IN (a.f, b.f, c.f) JOIN x e ON e.f NOT IN (a.f, b.f, c.f, d.f)
+), s AS (
+  SELECT filter_order, step, bs[step] AS own, coalesce(list_sum(bs[1:step - 1]), 0)::INT AS before FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)
+), r AS (
+  SELECT part, filter_order, step, own,
+    coalesce(sum(n) FILTER (WHERE bits & (before + own) = 0), 0) AS kept, coalesce(sum(n) FILTER (WHERE bits & own > 0 AND bits & before = 0), 0) AS removed,
+    coalesce(sum(n) FILTER (WHERE bits & own > 0 AND bits & before > 0), 0) AS redundant, coalesce(sum(n) FILTER (WHERE bits = own), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE bits & own > 0 AND bits & before = 0), 0) AS good_lost, coalesce(sum(toxic) FILTER (WHERE bits & own > 0 AND bits & before = 0), 0) AS toxic_lost
+  FROM c, s GROUP BY ALL
+)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails,
+  good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM r
+"""
+
+
 def queries() -> dict:
     return {n: f for n, f in globals().items() if n.startswith("op") and callable(f)}
 

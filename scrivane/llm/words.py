@@ -1,4 +1,4 @@
-"""Word spans, word digests and hashes of runs of words (numpy and XXH3 only)."""
+"""Word spans, word digests, exact groups of equal words, and hashes of runs of words (numpy and XXH3 only)."""
 
 from __future__ import annotations
 
@@ -76,3 +76,59 @@ def minimizers(phrases: np.ndarray, width: int) -> np.ndarray:
         return np.zeros(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(phrases, width)
     return windows.argmin(axis=1) + np.arange(len(windows))
+
+
+#: Words of more bytes are hashed and compared one by one.
+LONG = 256
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of data on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded.data, strides=(1,))
+
+
+def word_hashes(view: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word from all its bytes; view is eights(data)."""
+    a, b = map(np.uint64, LANES[0])
+    h = mix((view[starts] & _MASKS[np.minimum(lengths, 8)]) * a + lengths.astype(np.uint64) * b)
+    left, at = np.flatnonzero(lengths > 8), 8
+    while len(left) and at < LONG:
+        rest = lengths[left] - at
+        h[left] = mix(h[left] * a + (view[starts[left] + at] & _MASKS[np.minimum(rest, 8)]))
+        left, at = left[rest > 8], at + 8
+    for i in left.tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[starts[i] : starts[i] + lengths[i]])
+    return h
+
+
+def equal_words(view: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the words a[i] and b[i] have the same bytes."""
+    same = lengths[a] == lengths[b]
+    left, at = np.flatnonzero(same), 0
+    while len(left) and at < LONG:
+        x, y = a[left], b[left]
+        rest = lengths[x] - at
+        equal = (view[starts[x] + at] ^ view[starts[y] + at]) & _MASKS[np.clip(rest, 0, 8)] == 0
+        same[left[~equal]] = False
+        left, at = left[equal & (rest > 8)], at + 8
+    for i in left.tolist():
+        x, y, n = starts[a[i]], starts[b[i]], lengths[a[i]]
+        same[i] = np.array_equal(data[x : x + n], data[y : y + n])
+    return same
+
+
+def grouped_words(keys: np.ndarray, view: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key, whether a word in that order is the first of its key, words whose key equals a different word's).
+
+    Neighbours of one key are compared byte by byte; where the last array is empty,
+    equal keys mean equal words.
+    """
+    order = np.argsort(keys, kind="stable")
+    first = np.ones(len(order), bool)
+    if len(order):
+        first[1:] = keys[order[1:]] != keys[order[:-1]]
+    pairs = np.flatnonzero(~first)
+    clash = ~equal_words(view, data, starts, lengths, order[pairs - 1], order[pairs])
+    return order, first, order[pairs[clash]]
