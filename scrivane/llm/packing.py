@@ -15,6 +15,8 @@ cannot clash. The numbers of sequences follow the order in which the table is re
 from __future__ import annotations
 
 import base64
+import os
+import re
 import zlib
 
 import numpy as np
@@ -29,6 +31,9 @@ LENGTH = 2048
 END_ID = 1
 #: Input partitions whose first places are broadcast.
 MOST_BASES = 2_000_000
+#: Blanks in a row from which a text goes to `tokenizers`, as the pattern of the faster library overflows its stack on some million.
+LONG_BLANK = 50_000
+_BLANKS = re.compile(r"\s+")
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
@@ -37,14 +42,17 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def has_long_blank(text: str) -> bool:
+    return len(text) >= LONG_BLANK and any(m.end() - m.start() >= LONG_BLANK for m in _BLANKS.finditer(text))
+
+
 def make_encoder(path: str):
     """Texts to lists of ids: the ids of the `tokenizers` file at path.
 
-    Where the same vocabulary lies beside it as ranks, the faster library reads that,
-    for all texts; the file's special tokens are its own too.
+    Where the same vocabulary lies beside it as ranks, the faster library reads that, for
+    all texts but those with a blank run of LONG_BLANK; the file's special tokens are its
+    own too. Both give the same ids, so it does not matter for them whether the ranks are there.
     """
-    import os
-
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -59,8 +67,14 @@ def make_encoder(path: str):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     special = {t.content: i for i, t in plain.get_added_tokens_decoder().items()}
     fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-    # A text without a special token's string is spared the search for them; the ids are the same.
-    return lambda texts: [fast.encode(t, allowed_special="all") if any(s in t for s in special) else fast.encode_ordinary(t) for t in texts]
+
+    def ids_of(text: str) -> list[int]:
+        if has_long_blank(text):
+            return plain.encode(text, add_special_tokens=False).ids
+        # A text without a special token's string is spared the search for them; the ids are the same.
+        return fast.encode(text, allowed_special="all") if any(s in text for s in special) else fast.encode_ordinary(text)
+
+    return lambda texts: [ids_of(t) for t in texts]
 
 
 def _tokenise(path: str, end_id: int, wide: bool):
