@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,11 +52,34 @@ def new_column(df: DataFrame, name: str) -> None:
 
 
 def row_hash(df: DataFrame) -> Column:
-    """128 bits of all columns of a row, as hex digits; columns may be of any type that JSON can say."""
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    """128 bits of all columns of a row, as hex digits; columns may be of any type that JSON can say, times to the microsecond."""
+    exact = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS", "ignoreNullFields": "false"}
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), exact)
     return F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(seed), row)), 16, "0") for seed in (1, 2)])
 
 
+def _is_scan(df: DataFrame) -> bool:
+    """Whether df is a file scan under nothing but projections and filters, so that a file's row is one row at most."""
+    plan = df._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") and plan.children().size() == 1:
+        plan = plan.children().head()
+    return plan.getClass().getSimpleName() == "LogicalRelation" and not any(c.lower() == "_metadata" for c in df.columns)
+
+
+def numbered_rows(df: DataFrame, key: str) -> DataFrame:
+    """df with a key that no two rows share and that stays whenever it is read again.
+
+    Rows of a Parquet scan are known by their file and place in it. Anything else is
+    written with numbers first.
+    """
+    if _is_scan(df):
+        try:
+            return df.withColumn(key, F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"))
+        except AnalysisException:  # a format whose rows have no places
+            pass
+    return write_table(df.withColumn(key, F.monotonically_increasing_id().cast("string")), "numbered")
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACES), "")

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import free_name, ranked, row_hash, words_of, write_table
+from scrivane.llm.common import free_name, numbered_rows, ranked, row_hash, words_of, write_table
 
 #: The weights of the sources in order, repeating; copies of a source at most.
 WEIGHTS = (5, 2, 1)
@@ -81,13 +81,14 @@ def mixed(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
 def emitted(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED) -> DataFrame:
     """docs with every row as often as the mix takes it, possibly never; all columns as they were.
 
-    Rows are told apart by 128 bits of all their columns; rows alike in all of them
-    are emitted as often as they are taken together.
+    Rows are told apart by their places in the files that are read, or by numbers they
+    are written with, never by a hash; equal places in the order of sizes and ids fall
+    to the hash of all columns first, so that reruns agree but for rows alike in them.
     """
-    key, copies, copy = (free_name(docs, n) for n in ("_row_key", "_copies", "_copy"))
-    keyed = docs.withColumn(key, row_hash(docs))
-    taken = mixed(keyed, id, text, source, seed, keep=[key])
-    counts = write_table(taken.groupBy(key).agg(F.sum("copies").alias(copies)), "copies")
-    # A merge join at every size, as counts grow with the rows; it leaves them dealt and sorted by key, so that alike ones become one on the spot.
-    joined = keyed.join(counts.where(F.col(copies) > 0).hint("merge"), key).dropDuplicates([key])
+    key, copies, copy, tie = (free_name(docs, n) for n in ("_row_key", "_copies", "_copy", "_tie"))
+    keyed = numbered_rows(docs, key)
+    taken = mixed(keyed.withColumn(tie, row_hash(docs)), id, text, source, seed, keep=[tie, key])
+    counts = write_table(taken.where(F.col("copies") > 0).select(key, F.col("copies").alias(copies)), "copies")
+    # A merge join at every size, as counts grow with the rows.
+    joined = keyed.join(counts.hint("merge"), key)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(docs.columns)
