@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scrivane.functions.text import clock_micros
+from scrivane.operators.titles import cross_references  # noqa: F401
 
-#: Characters by which titles and texts meet.
-GRAM = 8
 LEVELS = ("course", "part", "chapter", "module", "lesson")
 
 
@@ -123,41 +119,6 @@ def reconcile(expected: DataFrame, seen: DataFrame, key: str = "title") -> DataF
     return e.join(s, key, "left_anti").withColumn("state", F.lit("missing")).unionByName(s.join(e, key, "left_anti").withColumn("state", F.lit("extra")))
 
 
-def _short(text: str, q: int) -> list[str]:
-    return list(dict.fromkeys(text[i : i + q] for i in range(len(text) - q + 1)))
-
-
-def _gram_functions(lengths: list[int]):
-    def of_text(values: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else [g for q in lengths for g in _short(t, q)] for t in values.to_pylist()], pa.list_(pa.string()))
-
-    def of_title(values: pa.Array) -> pa.Array:
-        # The run of least checksum, not the first: titles share beginnings more than they share anything else.
-        return pa.array([None if not t else min(_short(t, min(len(t), GRAM)), key=lambda g: zlib.crc32(g.encode())) for t in values.to_pylist()], pa.string())
-
-    return F.arrow_udf(of_text, "array<string>"), F.arrow_udf(of_title, "string")
-
-
-def cross_references(texts: DataFrame, titles: DataFrame) -> DataFrame:
-    """Titles named in other modules' texts: (source, title, target, state).
-
-    texts (node_id, text); titles (node_id, title). Titles and texts meet by an
-    equi-join on one run of GRAM characters of the title (all of it, if it is
-    shorter), which every text that holds the title has; then the whole title is
-    looked for. Titles that several nodes have are ambiguous, and so is a title that
-    the text's own node shares.
-    """
-    clean = titles.select("node_id", F.trim("title").alias("title")).where("title <> ''")
-    lengths = sorted(r[0] for r in clean.select(F.least(F.length("title"), F.lit(GRAM)).alias("q")).distinct().collect())  # GRAM values at most
-    of_text, of_title = _gram_functions(lengths)
-    by_title = clean.groupBy("title").agg(F.count(F.lit(1)).alias("n"), F.min("node_id").alias("target")).withColumn("gram", of_title(F.col("title")))
-    grams = texts.select("node_id", F.explode(of_text(F.col("text"))).alias("gram"))
-    near = grams.join(by_title, "gram").join(texts, "node_id").where(F.contains("text", F.col("title")))
-    own = clean.select("node_id", "title", F.lit(True).alias("own")).distinct()
-    found = near.join(own, ["node_id", "title"], "left").where(F.col("own").isNull() | (F.col("n") > 1))
-    return found.select(F.col("node_id").alias("source"), "title", F.when(F.col("n") == 1, F.col("target")).alias("target"), F.when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("state")).distinct()
-
-
 def cross_reference_candidates(references: DataFrame, titles: DataFrame) -> DataFrame:
     """Every node that a reference may mean, a row each: (source, title, candidate), of cross_references(texts, titles)."""
     clean = titles.select(F.trim("title").alias("title"), F.col("node_id").alias("candidate")).distinct()

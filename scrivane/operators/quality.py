@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from scrivane.functions.arrow import arrow_function
 
 RUN, LEAST_RUNS, LEAST_SHARE = 20, 200, 0.5
+#: Rows of an id whose texts meet in one place, and ids of more rows that are broadcast.
+MOST_TEXTS, MOST_HOT = 1000, 100_000
 
 
 def bad_digests(chunks: DataFrame) -> DataFrame:
@@ -61,11 +64,74 @@ def runs(text: Column, length: int = RUN) -> Column:
     return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, (i + 1).cast("int"), F.lit(length))))).otherwise(F.array().cast("array<string>"))
 
 
+def _fingerprints(texts: list[str | None], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the characters of all texts, each followed by a stop; 64-bit fingerprints of the runs that hold no stop, by place) with places of stops left out."""
+    joined = "\0".join(t or "" for t in texts) + "\0"
+    codes = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+    n = len(codes) - length + 1
+    if n <= 0:
+        return codes, np.zeros((2, 0), np.uint64)
+    h = np.zeros(n, np.uint64)
+    for j in range(length):
+        h = (h ^ codes[j : j + n]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    stops = np.zeros(len(codes) + 1, np.int64)
+    np.cumsum(codes == 0, out=stops[1:])
+    places = np.flatnonzero(stops[length : length + n] == stops[:n])
+    return codes, np.stack([h[places], places.astype(np.uint64)])
+
+
+def _same(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, length: int) -> bool:
+    """Whether all the runs of a at `at` are those of b at `bt`, character by character."""
+    return all((a[at + j] == b[bt + j]).all() for j in range(length))
+
+
+def shared_runs(wanted: list[str | None], held: list[str | None], length: int = RUN) -> tuple[int, int]:
+    """(distinct runs of the wanted texts, how many of them the held texts have), exact: every two runs of one fingerprint are compared."""
+    a, (ha, pa_) = _fingerprints(wanted, length)
+    b, (hb, pb) = _fingerprints(held, length)
+    own, order = np.unique(ha, return_inverse=True)
+    first = np.zeros(len(own), np.int64)
+    first[order] = pa_.astype(np.int64)
+    theirs, where = np.unique(hb, return_index=True)
+    at = np.minimum(np.searchsorted(theirs, own), max(0, len(theirs) - 1))
+    hit = theirs[at] == own if len(theirs) else np.zeros(len(own), bool)
+    exact = _same(a, first[order], a, pa_.astype(np.int64), length) and (not hit.any() or _same(a, first[hit], b, pb[where[at[hit]]].astype(np.int64), length))
+    if exact and len(theirs) < len(hb):
+        back = np.searchsorted(theirs, hb)
+        exact = _same(b, pb[where[back]].astype(np.int64), b, pb.astype(np.int64), length)
+    if not exact:  # different runs of one fingerprint: as sets of strings
+        sets = [{t[i : i + length] for t in ts if t for i in range(len(t) - length + 1)} for ts in (wanted, held)]
+        return len(sets[0]), len(sets[0] & sets[1])
+    return len(own), int(hit.sum())
+
+
+@arrow_function("struct<runs: bigint, found: bigint>")
+def _shares(wanted: pa.Array, held: pa.Array) -> pa.Array:
+    counts = [shared_runs(w or [], h or []) for w, h in zip(wanted.to_pylist(), held.to_pylist())]
+    return pa.StructArray.from_arrays([pa.array([c[i] for c in counts], pa.int64()) for i in (0, 1)], ["runs", "found"])
+
+
 def printed_share(wanted: DataFrame, held: DataFrame, id: str) -> DataFrame:
-    """(id, runs, found, share): runs of each wanted text that the held text of the same id has."""
-    want = wanted.select(id, F.explode(runs(F.col("text"))).alias("run")).distinct()
-    have = held.select(id, F.explode(runs(F.col("text"))).alias("run"), F.lit(1).alias("hit")).distinct()
-    return want.join(have, [id, "run"], "left").groupBy(id).agg(F.count(F.lit(1)).alias("runs"), F.count("hit").alias("found")).withColumn("share", F.col("found") / F.col("runs"))
+    """(id, runs, found, share): runs of each wanted text that the held text of the same id has; ids without a run are left out.
+
+    The texts of an id meet whole, once, and their runs are compared by fingerprints in
+    place. Ids of more than MOST_TEXTS rows are compared run by run over all tasks.
+    """
+    counts = wanted.select(id).unionByName(held.select(id)).groupBy(id).count().where(F.col("count") > MOST_TEXTS).select(id, F.lit(True).alias("_hot"))
+    hot = F.broadcast(counts) if counts.count() <= MOST_HOT else counts
+
+    def parted(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        rows = texts.select(id, "text").join(hot, id, "left")
+        return rows.where("_hot IS NULL").groupBy(id).agg(F.collect_list("text").alias("texts")), rows.where("_hot")
+
+    few_wanted, many_wanted = parted(wanted)
+    few_held, many_held = parted(held)
+    few = few_wanted.join(few_held.withColumnRenamed("texts", "held"), id, "left").select(id, _shares(F.col("texts"), F.col("held")).alias("s")).select(id, "s.*")
+    want = many_wanted.select(id, F.explode(runs(F.col("text"))).alias("run")).distinct()
+    have = many_held.select(id, F.explode(runs(F.col("text"))).alias("run"), F.lit(1).alias("hit")).distinct()
+    many = want.join(have, [id, "run"], "left").groupBy(id).agg(F.count(F.lit(1)).alias("runs"), F.count("hit").alias("found"))
+    return few.where("runs > 0").unionByName(many).withColumn("share", F.col("found") / F.col("runs"))
 
 
 def low_share(shares: DataFrame) -> DataFrame:

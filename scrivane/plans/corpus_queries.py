@@ -100,21 +100,34 @@ def outline_trails(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _named(spark, d):
-    """Texts of customers that name suppliers, and the suppliers' titles."""
+    """Texts of customers that name suppliers, all of them in turn, and the suppliers' titles."""
     s, c = table(spark, d, "supplier"), table(spark, d, "customer")
     names = s.select(F.col("s_suppkey").alias("k"), F.trim("s_name").alias("name"))
-    texts = c.withColumn("k", F.col("c_custkey") % 100).join(names, "k").select(F.col("c_custkey").alias("node_id"), F.concat(F.lit("see "), "name", F.lit(" and more")).alias("text"))
+    texts = c.withColumn("k", F.col("c_custkey") % (s.count() + 1)).join(names, "k").select(F.col("c_custkey").alias("node_id"), F.concat(F.lit("see "), "name", F.lit(" and more")).alias("text"))
     titles = s.select(F.col("s_suppkey").alias("node_id"), F.when(F.col("s_suppkey") % 7 == 0, "more").otherwise(F.col("s_name")).alias("title"))
     return texts, titles
 
 
-@query("""WITH t AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 = 0 THEN 'more' ELSE trim(s_name) END AS title FROM supplier), x AS (SELECT c_custkey AS source, 'see ' || trim(s_name) || ' and more' AS text FROM customer JOIN supplier ON s_suppkey = c_custkey % 100)
+@query("""WITH t AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 = 0 THEN 'more' ELSE trim(s_name) END AS title FROM supplier), x AS (SELECT c_custkey AS source, 'see ' || trim(s_name) || ' and more' AS text FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) + 1 FROM supplier))
 SELECT source, title, CASE n WHEN 1 THEN least_node END AS target, CASE n WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM x JOIN (SELECT title, count(*) AS n, min(node) AS least_node, list(node) AS nodes FROM t GROUP BY title) ON contains(text, title)
 WHERE n > 1 OR source <> least_node""")
 def cross_refs(spark: SparkSession, d: str) -> DataFrame:
     return H.cross_references(*_named(spark, d))
 
 
+_LEAD = r"""'^(?:[^\x20\x09-\x0D]+ ){3}[^\x20\x09-\x0D]+'"""
+
+
+@query(f"""WITH t AS (SELECT item_id AS node, regexp_extract(text, {_LEAD}) AS title FROM benchmark), n AS (SELECT title, count(DISTINCT node) AS n, min(node) AS least_node FROM t WHERE title <> '' GROUP BY title), own AS (SELECT DISTINCT node, title FROM t)
+SELECT doc_id AS source, title, CASE n WHEN 1 THEN least_node END AS target, CASE n WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS state FROM documents JOIN n ON contains(text, title)
+WHERE n > 1 OR NOT EXISTS (SELECT 1 FROM own WHERE own.node = doc_id AND own.title = n.title)""")
+def passage_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents that name passages by their first four words."""
+    lead = F.regexp_extract("text", r"^(?:[^\x20\x09-\x0D]+ ){3}[^\x20\x09-\x0D]+", 0)
+    titles = table(spark, d, "benchmark").select(F.col("item_id").alias("node_id"), lead.alias("title"))
+    return H.cross_references(table(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text"), titles)
+
+
 def _files(spark, d):
     return table(spark, d, "documents").select(F.col("source").alias("node_id"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
 

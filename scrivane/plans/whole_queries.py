@@ -52,7 +52,7 @@ def media_references(spark: SparkSession, d: str) -> DataFrame:
     return H.media_references(corpus_queries._files(spark, d))
 
 
-@query("""WITH t AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 = 0 THEN 'more' ELSE trim(s_name) END AS title FROM supplier), x AS (SELECT c_custkey AS source, 'see ' || trim(s_name) || ' and more' AS text FROM customer JOIN supplier ON s_suppkey = c_custkey % 100),
+@query("""WITH t AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 7 = 0 THEN 'more' ELSE trim(s_name) END AS title FROM supplier), x AS (SELECT c_custkey AS source, 'see ' || trim(s_name) || ' and more' AS text FROM customer JOIN supplier ON s_suppkey = c_custkey % (SELECT count(*) + 1 FROM supplier)),
 n AS (SELECT title, count(*) AS n, min(node) AS least_node FROM t GROUP BY title)
 SELECT source, title, node AS candidate FROM x JOIN n ON contains(text, title) JOIN t USING (title) WHERE n > 1 OR source <> least_node""")
 def cross_ref_candidates(spark: SparkSession, d: str) -> DataFrame:
