@@ -471,17 +471,3 @@ def pipe_table(rows: list[list[str]]) -> str:
     lines = ["| " + " | ".join(r) + " |" for r in full]
     return "\n".join([lines[0], "| " + " | ".join(["---"] * width) + " |", *lines[1:]])
 
-
-def article(root: Node, least: int = 200) -> str | None:
-    """Our article heuristic: the element whose paragraphs' text, less link text, is longest."""
-    best, score = None, 0
-    for n in root.walk():
-        if n.tag in ("article", "main", "section", "div", "body", "td") and not is_chrome(n):
-            own = [c for c in n.walk() if c.tag in ("p", "pre", "blockquote", "ul", "ol") and not is_chrome(c) and next((u for u in c.up() if u.tag in ("article", "main", "section", "div", "body", "td")), None) is n]
-            s = sum(len(text_of(c)) for c in own) - sum(len(text_of(a)) for c in own for a in c.walk() if a.tag == "a")
-            if s > score:
-                best, score = n, s
-    if best is None:
-        return None
-    body = text_of(best, skip=CHROME_TAGS, lines=True)
-    return body if len(body) >= least else None

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from scrivane.functions import declared as D
 from scrivane.functions import markup as M
+from scrivane.functions import regions as R
 from scrivane.functions.arrow import arrow_function
 
 CELL = pa.struct([("text", pa.string()), ("header", pa.bool_()), ("colspan", pa.int32()), ("rowspan", pa.int32())])
@@ -63,7 +64,24 @@ def markdown(html: pa.Array) -> pa.Array:
 
 @arrow_function("string")
 def article_text(html: pa.Array) -> pa.Array:
-    return _each(html, lambda h: M.article(M.parse(h)), pa.string())
+    """The article of a page: the segment of its blocks in which text most outweighs links and chrome."""
+    return _each(html, lambda h: R.article(M.parse(h)), pa.string())
+
+
+_SHARE_DDL = "struct<pre: int, post: int, depth: int, step: string, chars: bigint, distinct_words: int, occurrences: int>"
+_SHARE = pa.struct([("pre", pa.int32()), ("post", pa.int32()), ("depth", pa.int32()), ("step", pa.string()), ("chars", pa.int64()), ("distinct_words", pa.int32()), ("occurrences", pa.int32())])
+
+
+@arrow_function(f"struct<article: string, wanted: int, wanted_all: int, elements: array<{_SHARE_DDL}>>")
+def article_elements(html: pa.Array) -> pa.Array:
+    """The article's text, its different words and all its words, and each element's own part of them."""
+    def of(h):
+        root = M.parse(h)
+        text = R.article(root)
+        words = R.words_of(text or "")
+        return {"article": text, "wanted": len(set(words)), "wanted_all": len(words), "elements": [dict(zip(R.ELEMENT, r)) for r in R.element_shares(root, text)] if text else []}
+
+    return _each(html, of, pa.struct([("article", pa.string()), ("wanted", pa.int32()), ("wanted_all", pa.int32()), ("elements", pa.list_(_SHARE))]))
 
 
 @arrow_function("array<array<string>>")

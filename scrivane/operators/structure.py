@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scrivane.functions.text import fence
 
 # Fixed values of the content rules.
-COVERAGE, LEAST_WORDS, LEAST_TEXT = 0.9, 20, 300
+COVERAGE, LEAST_WORDS, LEAST_TEXT, LEAST_CHARACTERS = 0.9, 20, 300, 200
 
 
 def pipe_table(rows: Column) -> Column:
@@ -69,15 +69,41 @@ def best_region(regions: DataFrame, id: str = "page_id") -> DataFrame:
     return best.select(id, "b.selector", "b.score")
 
 
-def covering_element(counts: DataFrame, id: str = "doc_id") -> DataFrame:
-    """Of rows (id, elem, word, want, have): the smallest element that covers the wanted words."""
-    stats = counts.groupBy(id, "elem").agg(
-        F.count(F.lit(1)).alias("n"), (F.count_if(F.col("have") > 0) / F.count(F.lit(1))).alias("distinct"),
-        (F.sum(F.least("have", "want")) / F.sum("want")).alias("share"), F.sum(F.col("have") * (F.length("word") + 1)).alias("len"),
-    )
-    fit = stats.where((F.col("n") >= LEAST_WORDS) & (F.col("distinct") >= COVERAGE) & (F.col("share") >= COVERAGE))
-    least = fit.groupBy(id).agg(F.min("len").alias("len"))
-    return fit.join(least, [id, "len"]).groupBy(id).agg(F.max("elem").alias("elem"))
+def element_coverage(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
+    """(id, pre, post, depth, step, wanted, wanted_all, chars, held, occurrences): what each element of a page holds of the page's article.
+
+    The DOM stands as rows with pre- and post-order intervals, each with its own part of
+    the sums; an element's sums are the running sums at its interval's end less those
+    before its start.
+    """
+    from scrivane.operators.pages import article_elements
+
+    rows = pages.select(id, article_elements(F.col(html)).alias("a")).select(id, "a.wanted", "a.wanted_all", F.explode("a.elements").alias("e")).select(id, "wanted", "wanted_all", "e.*")
+    upto = Window.partitionBy(id).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)  # a page's elements
+    sums = ("chars", "distinct_words", "occurrences")
+    run = rows.withColumns({f"{c}_upto": F.sum(c).over(upto) for c in sums})
+    ends = run.select(id, F.col("pre").alias("post"), *(F.col(f"{c}_upto").alias(f"{c}_end") for c in sums))
+    held = {c: F.col(f"{c}_end") - F.col(f"{c}_upto") + F.col(c) for c in sums}
+    return run.join(ends, [id, "post"]).select(id, "pre", "post", "depth", "step", "wanted", "wanted_all", held["chars"].alias("chars"), held["distinct_words"].alias("held"), held["occurrences"].alias("occurrences"))
+
+
+def covering_element(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
+    """(id, locator, chars, held, wanted, occurrences, wanted_all): the smallest element that holds the article, of equal ones the deepest.
+
+    It holds COVERAGE of the article's different words, and COVERAGE of all its words,
+    none counted oftener than the article has it. Pages without an article of LEAST_WORDS
+    different words, or without such an element, have no row.
+    """
+    found = element_coverage(pages, id, html)
+    need = F.ceil(F.lit(COVERAGE) * F.col("wanted"))
+    fit = found.where((F.col("wanted") >= LEAST_WORDS) & (F.col("chars") >= F.greatest(F.lit(LEAST_CHARACTERS), 2 * need - 1)) & (F.col("held") >= COVERAGE * F.col("wanted")) & (F.col("occurrences") >= COVERAGE * F.col("wanted_all")))
+    best = fit.groupBy(id).agg(F.max_by(F.struct("pre", "chars", "held", "wanted", "occurrences", "wanted_all"), F.struct(-F.col("chars"), "pre")).alias("b")).select(id, "b.*")
+    # Its ancestors' steps, by the intervals; from the last id on, as a locator needs no more.
+    above = found.select(id, F.col("pre").alias("p"), "post", "step").join(best, id).where((F.col("p") <= F.col("pre")) & (F.col("post") >= F.col("pre")))
+    steps = above.groupBy(id).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "step"))), lambda x: x.step).alias("steps"))
+    last = F.greatest(F.lit(1), F.size("steps") - F.array_position(F.reverse(F.transform("steps", lambda s: F.startswith(s, F.lit("#")))), True).cast("int") + 1)
+    used = F.when(F.exists("steps", lambda s: F.startswith(s, F.lit("#"))), F.slice("steps", last, F.size("steps"))).otherwise(F.filter("steps", lambda s: s != "html"))
+    return best.join(steps, id).select(id, F.array_join(used, " > ").alias("locator"), "chars", "held", "wanted", "occurrences", "wanted_all")
 
 
 def selection(explicit: Column, article: Column, static: Column) -> Column:

@@ -79,7 +79,25 @@ def sanitised_pages(spark: SparkSession, d: str) -> DataFrame:
     return s.select("page_id", F.contains("s", F.lit("<script")).alias("has_script"), F.contains("s", F.lit("onclick")).alias("has_handler"), F.size(F.regexp_extract_all("s", F.lit(r"(<a[ >])"), F.lit(1))).alias("anchors"))
 
 
-@query(None)
+_ARTICLE = r"""WITH m AS (
+  SELECT page_id, regexp_replace(regexp_extract(html, '(?s)</nav>(.*?)<footer>', 1), '(?s)<!--.*?-->|</?b>', '', 'g') AS h FROM pages
+), x AS (
+  SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(h, '<h1>', chr(1) || chr(2), 'g'), '</?(?:div|article|h1|p)[^>]*>', chr(1), 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n\f\x0b\x{00a0}]+', ' ', 'g') AS h FROM m
+), l AS (
+  SELECT page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(h, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(1)), lambda t: CASE WHEN starts_with(t, chr(2)) THEN chr(2) || trim(substr(t, 2)) ELSE trim(t) END), lambda t: ltrim(t, chr(2)) <> '') AS l FROM x
+), b AS (
+  SELECT page_id, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS t FROM l
+), s AS (
+  SELECT page_id, i, sum(len(string_split(ltrim(t, chr(2)), ' ')) - CASE WHEN starts_with(t, chr(2)) THEN 0 ELSE 10 END) OVER (PARTITION BY page_id ORDER BY i) AS p FROM b
+  UNION ALL SELECT page_id, 0, 0 FROM pages
+), g AS (
+  SELECT a.page_id, a.i AS k, z.i AS j, row_number() OVER (PARTITION BY a.page_id ORDER BY z.p - a.p DESC, a.i, z.i) AS n, z.p - a.p AS best FROM s a JOIN s z ON a.page_id = z.page_id AND a.i < z.i
+), a AS (
+  SELECT page_id, string_agg(ltrim(t, chr(2)), chr(10) ORDER BY i) AS text FROM b JOIN (SELECT page_id, k, j FROM g WHERE n = 1 AND best > 0) USING (page_id) WHERE i > k AND i <= j GROUP BY page_id
+)"""
+
+
+@query(_ARTICLE + """ SELECT page_id, length(text)::INT AS characters, sha256(text) AS text_sha FROM pages LEFT JOIN (SELECT * FROM a WHERE length(text) >= 200) USING (page_id)""")
 def article_regions(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", P.article_text(F.col("html")).alias("article")).select("page_id", F.length("article").alias("characters"), F.sha2("article", 256).alias("text_sha"))
 
@@ -206,16 +224,10 @@ def content_regions(spark: SparkSession, d: str) -> DataFrame:
     return S.best_region(regions).select("page_id", "selector", F.round("score", 6).alias("score"))
 
 
-@query(r"""WITH w AS (SELECT doc_id, word, count(*) AS want FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS word FROM documents) GROUP BY ALL), e(elem, keep) AS (VALUES ('whole', 100), ('most', 95), ('half', 50)),
-x AS (SELECT doc_id, elem, word, want, CASE WHEN hash_ < keep THEN want ELSE 0 END AS have FROM (SELECT *, (length(word) * 37 + want * 11) % 100 AS hash_ FROM w), e),
-s AS (SELECT doc_id, elem, count(*) AS n, sum(CASE WHEN have > 0 THEN 1 ELSE 0 END) / count(*) AS distinct_share, sum(least(have, want)) / sum(want) AS share, sum(have * (length(word) + 1)) AS len FROM x GROUP BY ALL)
-SELECT doc_id, elem FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY len, elem DESC) AS k FROM s WHERE n >= 20 AND distinct_share >= 0.9 AND share >= 0.9) WHERE k = 1""")
+@query()
 def article_coverage(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
-    want = docs.select("doc_id", F.explode(X.tokens(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("want"))
-    keeps = F.explode(F.array(*[F.struct(F.lit(a).alias("elem"), F.lit(b).alias("keep")) for a, b in (("whole", 100), ("most", 95), ("half", 50))]))
-    have = want.withColumn("e", keeps).select("doc_id", "e.elem", "word", "want", F.when((F.length("word") * 37 + F.col("want") * 11) % 100 < F.col("e.keep"), F.col("want")).otherwise(0).alias("have"))
-    return S.covering_element(have)
+    """Whole pages: the element that holds the page's article."""
+    return S.covering_element(table(spark, d, "pages"))
 
 
 @query("""SELECT n_nationkey, r_name || ' > ' || n_name AS path, n_name AS nearest FROM nation JOIN region ON n_regionkey = r_regionkey""")
