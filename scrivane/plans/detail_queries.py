@@ -49,6 +49,20 @@ def markdown_pages(spark: SparkSession, d: str) -> DataFrame:
     return p.select("p_partkey", R.markdown_html(F.col("md")).alias("html"), F.regexp_extract(R.markdown_document(F.col("md"), F.lit("f"), F.lit("md")), "<title>(.*?)</title>", 1).alias("title"))
 
 
+_ESCAPED = "replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+@query(f"""SELECT doc_id, sha256('<blockquote><p><em>by <strong>' || source || '</strong> in <a title="No. ' || doc_id || '" href="/d/' || doc_id || '">' || lang || '</a></em></p></blockquote><ul><li>as it is:<pre><code>'
+|| {_ESCAPED.format("text")} || chr(10) || '</code></pre></li></ul>') AS html_sha FROM documents""")
+def markdown_references(spark: SparkSession, d: str) -> DataFrame:
+    """Whole documents in Markdown with nested marks, a link whose definition follows, and their text as code in a list."""
+    from scrivane.functions.text import fence
+
+    code = F.concat(F.lit("  "), F.replace(fence(F.col("text")), F.lit("\n"), F.lit("\n  ")))
+    md = C("> *by **", F.col("source"), "** in [", F.col("lang"), "][Doc  ", F.col("doc_id"), "]*\n\n- as it is:\n", code, "\n\n[doc ", F.col("doc_id"), "]: </d/", F.col("doc_id"), "> 'No. ", F.col("doc_id"), "'")
+    return table(spark, d, "documents").select("doc_id", F.sha2(R.markdown_html(md), 256).alias("html_sha"))
+
+
 @query("""SELECT s_suppkey, 'a.css,b.css' AS imports, CASE s_suppkey % 2 WHEN 0 THEN 'More' ELSE '' END AS collapsed, CASE s_suppkey % 2 WHEN 0 THEN 'More' ELSE '' END AS warned FROM supplier""")
 def css_and_collapsed(spark: SparkSession, d: str) -> DataFrame:
     css = C("/* @import 'no.css'; */ @import url(a.css); @import \"b.css\" print; p{color:", F.col("s_suppkey"), "} @import 'late.css';")

@@ -32,7 +32,7 @@ def test_isolate_and_remove():
 @pytest.mark.parametrize("text, html", [
     ("", ""), ("# A #", "<h1>A</h1>"), ("a\nb", "<p>a\nb</p>"), ("a  \nb", "<p>a<br>\nb</p>"), ("T\n-", "<h2>T</h2>"), ("- a\n- b", "<ul><li>a</li><li>b</li></ul>"), ("- a\n\n- b", "<ul><li><p>a</p></li><li><p>b</p></li></ul>"),
     ("2) x\n3) y", '<ol start="2"><li>x</li><li>y</li></ol>'), ("- a\n  - b\n\n1. c", "<ul><li>a<ul><li>b</li></ul></li></ul><ol><li>c</li></ol>"), ("> a\n> > b", "<blockquote><p>a</p><blockquote><p>b</p></blockquote></blockquote>"),
-    ("`a*b*` *c* **d** \\*e", "<p><code>a*b*</code> <em>c</em> <strong>d</strong> *e</p>"), ("<b>", "<p>&lt;b&gt;</p>"), ("[a](b \"t\") ![c](d)", '<p><a href="b">a</a> <img src="d" alt="c"></p>'),
+    ("`a*b*` *c* **d** \\*e", "<p><code>a*b*</code> <em>c</em> <strong>d</strong> *e</p>"), ("<b>", "<b>"), ("x <b>y</b>", "<p>x <b>y</b></p>"), ("[a](b \"t\") ![c](d)", '<p><a href="b" title="t">a</a> <img src="d" alt="c"></p>'),
     ("~~~\n```\n~~~", "<pre><code>```\n</code></pre>"), ("|a|b|\n|-|-|\n|1|", '<table><thead><tr><th scope="col">a</th><th scope="col">b</th></tr></thead><tbody><tr><td>1</td><td></td></tr></tbody></table>'), ("***", "<hr>"), ("snake_case_word", "<p>snake_case_word</p>"),
 ])
 def test_markdown(text, html):
