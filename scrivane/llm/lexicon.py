@@ -37,7 +37,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivane.llm.common import byte_views, shared_folder
+from scrivane.llm.common import byte_views, drop_table, shared_folder, write_table
 from scrivane.llm.packing import tokenizer_path
 from scrivane.llm.words import eights, grouped_words, word_hashes
 
@@ -457,11 +457,28 @@ def share_file(spark: SparkSession, content: bytes, name: str) -> str:
     return name
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The words of (word, n) from a count on, `most` or fewer: as many of the sixteenths of powers of two, from the highest down, as fit.
+
+    Only the sizes of these classes come to the driver, so no task sends it words that are left out.
+    """
+    of = F.floor(F.log2("n") * 16)
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(of.alias("class")).count().collect()), reverse=True)  # 16 classes for each bit of a count
+    least, held = None, 0
+    for c, n in sizes:
+        if (held := held + n) > most:
+            break
+        least = c
+    return counts.where(of >= least if least is not None else F.lit(False))
+
+
 def build_lexicon(docs: DataFrame, text: str = "text", path: str | None = None, most: int = MOST_WORDS) -> str:
-    """Compile the `most` most frequent words of all texts (ties by their bytes); the name of the shared file."""
+    """Compile the most frequent words of all texts, `most` at the most; the name of the shared file."""
     path = path or tokenizer_path("word_bpe_49k.json")
-    top = word_counts(docs, text, path).orderBy(F.desc("n"), "word").limit(most)  # `most` words of MOST_LETTERS bytes: a proven bound
-    words = sorted(bytes(r[0]) for r in top.select("word").collect())
+    counts = write_table(word_counts(docs, text, path), "word-counts")
+    top = most_frequent(counts, most).select("word").collect()  # `most` words of MOST_LETTERS bytes: a proven bound
+    drop_table(counts)
+    words = sorted(bytes(r[0]) for r in top)
     return share_file(docs.sparkSession, compiled(words, *Encoder(path).word_ids(words)), "lexicon")
 
 

@@ -187,6 +187,8 @@ def test_encoding_tables(spark, monkeypatch):
     counted = {bytes(r["word"]): r["n"] for r in lexicon.word_counts(spark.createDataFrame([(" ab it's AB",), ("ab",), (None,)], "text string")).collect()}
     assert counted == {b"ab": 3, b"it": 1, b"'s": 1}
     assert lexicon.digests(spark.createDataFrame([], "doc_id string, text string")).collect() == []
+    some = spark.createDataFrame([(w.encode(), n) for w, n in [("a", 900), ("b", 800), ("c", 3), ("d", 3), ("e", 1)]], "word binary, n bigint")
+    assert [sorted(bytes(r[0]).decode() for r in lexicon.most_frequent(some, k).collect()) for k in (0, 1, 3, 4, 9)] == [[], ["a"], ["a", "b"], ["a", "b", "c", "d"], list("abcde")]
 
 
 # Filter audit ---------------------------------------------------------------------------------------------------------------------
