@@ -111,11 +111,11 @@ def section_splice(spark: SparkSession, d: str) -> DataFrame:
     return S.spliced(md.select("c_custkey", F.posexplode(F.split("text", "\n")).alias("pos", "line")), ends, inserts, "c_custkey")
 
 
-def _playbooks(spark, d, whole=False):
+def _playbooks(spark, d):
     """Each conversation as a walkthrough: a step per turn."""
     c = table(spark, d, "conversations")
-    step = F.struct(F.col("turn").cast("string").alias("id"), F.lit("step").alias("kind"), F.col("role").alias("title"), (F.col("text") if whole else F.substring("text", 1, 20)).alias("description"),
-                    F.when(F.col("turn") % 4 == 3, F.lit("NaN")).otherwise((F.length("text") / 16).cast("string")).alias("duration"), F.struct(F.concat(F.col("text") if whole else F.substring("text", 1, 30), F.lit(" /pause-2/ {a||||alt=b}")).alias("markdown")).alias("audioNote"),
+    step = F.struct(F.col("turn").cast("string").alias("id"), F.lit("step").alias("kind"), F.col("role").alias("title"), F.col("text").alias("description"),
+                    F.when(F.col("turn") % 4 == 3, F.lit("NaN")).otherwise((F.length("text") / 16).cast("string")).alias("duration"), F.struct(F.concat("text", F.lit(" /pause-2/ {a||||alt=b}")).alias("markdown")).alias("audioNote"),
                     F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.col("role").alias("text"), F.lit(0.5).alias("start"), F.lit(0.25).alias("end")))).otherwise(F.array().cast("array<struct<text:string,start:double,end:double>>")).alias("subtitles"))
     whole = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text", step.alias("s")))).alias("t"))
     payload = F.to_json(F.struct(F.concat(F.lit("pb"), F.col("conv_id").cast("string")).alias("id"), F.transform("t", lambda x: x.s).alias("steps")))
@@ -131,9 +131,9 @@ def step_timeline(spark: SparkSession, d: str) -> DataFrame:
     return V.step_rows(_playbooks(spark, d), "conv_id").select("conv_id", "n", "duration", "start")
 
 
-@query(f"""SELECT conv_id, n::INT AS n, CASE WHEN turn % 2 = 0 THEN role ELSE trim(regexp_replace(left(text, 30), '\\s+', ' ', 'g')) || ' a' END AS text, CASE WHEN turn % 2 = 0 THEN start + 0.5 ELSE start END AS start, CASE WHEN turn % 2 = 0 THEN start + 0.5 ELSE start + duration END AS stop FROM ({_STARTS})""".replace("\\\\", "\\"))
-def step_cues(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    return V.step_cues(V.step_rows(_playbooks(spark, d, whole), "conv_id"), "conv_id").select("conv_id", "n", "text", "start", F.col("end").alias("stop"))
+@query(f"""SELECT conv_id, n::INT AS n, CASE WHEN turn % 2 = 0 THEN role ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' a' END AS text, CASE WHEN turn % 2 = 0 THEN start + 0.5 ELSE start END AS start, CASE WHEN turn % 2 = 0 THEN start + 0.5 ELSE start + duration END AS stop FROM ({_STARTS})""".replace("\\\\", "\\"))
+def step_cues(spark: SparkSession, d: str) -> DataFrame:
+    return V.step_cues(V.step_rows(_playbooks(spark, d), "conv_id"), "conv_id").select("conv_id", "n", "text", "start", F.col("end").alias("stop"))
 
 
 @query("""SELECT conv_id, count(*) AS cues, sha256('WEBVTT' || chr(10) || chr(10) || string_agg(k || chr(10) || printf('00:%02d:%02d.000', (turn * 5) // 60, (turn * 5) % 60) || ' --> ' || printf('00:%02d:%02d.000', (turn * 5 + 5) // 60, (turn * 5 + 5) % 60) || chr(10) || text, chr(10) || chr(10) ORDER BY k) || chr(10)) AS vtt_sha

@@ -229,10 +229,10 @@ def media_chunks(spark: SparkSession, d: str) -> DataFrame:
     return B.media_records(c.select("conv_id", F.col("turn").alias("at"), "text", (F.col("turn") % 3 != 2).alias("transcribed")), 100).groupBy("conv_id").agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("kind") == "gap").alias("gaps"), F.min("chunk_id").alias("first_id"))
 
 
-@query("""SELECT conv_id, sha256('# Walkthrough' || chr(10) || chr(10) || string_agg('## ' || k || '. ' || role || ' (' || t || ')' || chr(10) || chr(10) || left(text, 12), chr(10) || chr(10) ORDER BY k)) AS markdown_sha, sha256(string_agg('[' || t || '] ' || left(text, 12), chr(10) ORDER BY k)) AS transcript_sha FROM (
+@query("""SELECT conv_id, sha256('# Walkthrough' || chr(10) || chr(10) || string_agg('## ' || k || '. ' || role || ' (' || t || ')' || chr(10) || chr(10) || text, chr(10) || chr(10) ORDER BY k)) AS markdown_sha, sha256(string_agg('[' || t || '] ' || text, chr(10) ORDER BY k)) AS transcript_sha FROM (
   SELECT *, printf('%d:%02d', turn * 7 // 60, turn * 7 % 60) AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations) GROUP BY conv_id""")
-def walkthrough_texts(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = table(spark, d, "conversations").select("conv_id", F.struct("turn", "text").alias("n"), (F.col("turn") * 7.0).alias("start"), F.col("role").alias("title"), (F.col("text") if whole else F.substring("text", 1, 12)).alias("said"))
+def walkthrough_texts(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").select("conv_id", F.struct("turn", "text").alias("n"), (F.col("turn") * 7.0).alias("start"), F.col("role").alias("title"), F.col("text").alias("said"))
     w = B.walkthrough(c, "conv_id")
     return w.select("conv_id", F.sha2("markdown", 256).alias("markdown_sha"), F.sha2("transcript", 256).alias("transcript_sha"))
 

@@ -137,7 +137,7 @@ CASE WHEN start >= 3600 THEN printf('%d:%02d:%02d', floor(start)::BIGINT // 3600
 1::BIGINT AS cues, CASE WHEN turn % 2 = 0 THEN role ELSE trim(regexp_replace(text, '\\s+', ' ', 'g')) || ' a' END AS cue_text, round(CASE WHEN turn % 2 = 0 THEN start + 0.5 ELSE start END, 3) AS cue_start, round(sum(duration) OVER (PARTITION BY conv_id), 3)::DOUBLE AS whole_seconds, 'pb' || conv_id AS playbook
 FROM ({chunk_queries._STARTS})""")
 def steps_payloads(spark: SparkSession, d: str) -> DataFrame:
-    playbooks = chunk_queries._playbooks(spark, d, whole=True)
+    playbooks = chunk_queries._playbooks(spark, d)
     ids = playbooks.select("conv_id", F.col("p.id").alias("playbook"))
     made = V.steps_payload(V.step_rows(playbooks, "conv_id").join(ids, "conv_id"), "conv_id", {"playbook_id": F.first("playbook")})
     cue = "struct<text: string, start_seconds: double, end_seconds: double, timestamp: string>"

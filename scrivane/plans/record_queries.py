@@ -19,14 +19,14 @@ def figure_chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", B.figure_seed(F.col("p_name"), F.concat(F.lit(" "), "p_name"), brand, F.lit("")).alias("text"))
 
 
-def _steps(spark, d, whole=False):
+def _steps(spark, d):
     c = table(spark, d, "conversations")
-    return c.select("conv_id", F.struct("turn", "text").alias("k"), F.col("role").alias("title"), (F.col("text") if whole else F.substring("text", 1, 20)).alias("said"), (F.col("turn") * 7.0).alias("start"), F.lit(7.0).alias("duration"), F.col("turn").alias("n"))
+    return c.select("conv_id", F.struct("turn", "text").alias("k"), F.col("role").alias("title"), F.col("text").alias("said"), (F.col("turn") * 7.0).alias("start"), F.lit(7.0).alias("duration"), F.col("turn").alias("n"))
 
 
-@query("""SELECT conv_id, printf('ch_%06d', row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) + 10) AS chunk_id, role || chr(10) || left(text, 20) AS text, turn::INT AS step, printf('%d:%02d', turn * 7 // 60, turn * 7 % 60) AS at FROM conversations""")
-def step_chunks(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    c = B.step_records(_steps(spark, d, whole).drop("k"), "conv_id", 10)
+@query("""SELECT conv_id, printf('ch_%06d', row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) + 10) AS chunk_id, role || chr(10) || text AS text, turn::INT AS step, printf('%d:%02d', turn * 7 // 60, turn * 7 % 60) AS at FROM conversations""")
+def step_chunks(spark: SparkSession, d: str) -> DataFrame:
+    c = B.step_records(_steps(spark, d).drop("k"), "conv_id", 10)
     return c.select("conv_id", "chunk_id", "text", "video.step", "video.at")
 
 
@@ -52,10 +52,10 @@ def page_exports(spark: SparkSession, d: str) -> DataFrame:
     return B.doctags(P.block_rows(table(spark, d, "nation").select("n_nationkey", html.alias("html")), "n_nationkey"), "n_nationkey")
 
 
-@query("""SELECT conv_id, sha256('WEBVTT' || chr(10) || chr(10) || 'NOTE t' || conv_id || chr(10) || 'https://s/' || CASE WHEN conv_id % 2 = 0 THEN chr(10) || 'PARTIAL: the track was cut' ELSE '' END || chr(10) || chr(10) || string_agg(k || chr(10) || printf('00:%02d:%02d.000', (turn * 7) // 60, (turn * 7) % 60) || ' --> ' || printf('00:%02d:%02d.000', (turn * 7 + 7) // 60, (turn * 7 + 7) % 60) || chr(10) || left(text, 20), chr(10) || chr(10) ORDER BY k) || chr(10)) AS vtt_sha
-FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, left(text, 20)) AS k FROM conversations) GROUP BY conv_id""")
-def track_files(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    s = _steps(spark, d, whole)
+@query("""SELECT conv_id, sha256('WEBVTT' || chr(10) || chr(10) || 'NOTE t' || conv_id || chr(10) || 'https://s/' || CASE WHEN conv_id % 2 = 0 THEN chr(10) || 'PARTIAL: the track was cut' ELSE '' END || chr(10) || chr(10) || string_agg(k || chr(10) || printf('00:%02d:%02d.000', (turn * 7) // 60, (turn * 7) % 60) || ' --> ' || printf('00:%02d:%02d.000', (turn * 7 + 7) // 60, (turn * 7 + 7) % 60) || chr(10) || text, chr(10) || chr(10) ORDER BY k) || chr(10)) AS vtt_sha
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, text) AS k FROM conversations) GROUP BY conv_id""")
+def track_files(spark: SparkSession, d: str) -> DataFrame:
+    s = _steps(spark, d)
     cues = s.select("conv_id", "start", (F.col("start") + 7).alias("end"), F.col("said").alias("text"))
     tracks = s.select("conv_id").distinct().select("conv_id", C("t", F.col("conv_id")).alias("title"), F.lit("https://s/").alias("source"), (F.col("conv_id") % 2 == 0).alias("truncated"))
     return B.track_vtt(cues, tracks, "conv_id").select("conv_id", F.sha2("vtt", 256).alias("vtt_sha"))
@@ -86,9 +86,9 @@ def inline_rules(spark: SparkSession, d: str) -> DataFrame:
     return n.select("n_nationkey", B.line_breaks(t, True).alias("lines"), B.line_breaks(t, False).alias("one_line"), P.math(math).alias("math")).join(code, "n_nationkey")
 
 
-@query("""SELECT conv_id, sha256(string_agg('<h2>' || role || '</h2><p>' || replace(replace(replace(replace(replace(left(text, 20), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>', '' ORDER BY turn, left(text, 20))) AS html_sha FROM conversations GROUP BY conv_id""")
-def appendix_pages(spark: SparkSession, d: str, whole: bool = False) -> DataFrame:
-    s = _steps(spark, d, whole).withColumn("n", F.struct("n", "said"))
+@query("""SELECT conv_id, sha256(string_agg('<h2>' || role || '</h2><p>' || replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;') || '</p>', '' ORDER BY turn, text)) AS html_sha FROM conversations GROUP BY conv_id""")
+def appendix_pages(spark: SparkSession, d: str) -> DataFrame:
+    s = _steps(spark, d).withColumn("n", F.struct("n", "said"))
     return B.appendix_html(s, "conv_id").select("conv_id", F.sha2("html", 256).alias("html_sha"))
 
 

@@ -1,4 +1,4 @@
-"""Queries that hand whole texts, all referrers and all candidates to the operators; the shorter ones beside them keep their SQL."""
+"""All referrers and all candidates, both sides of a comparison from whole texts, and second names of queries over whole texts."""
 
 from __future__ import annotations
 
@@ -14,37 +14,29 @@ from scrivane.plans import chunk_queries, corpus_queries, detail_queries, record
 from scrivane.plans.registry import ORACLES, query, table
 
 
-def _whole(name: str) -> str:
-    """The SQL of a query with the texts uncut."""
-    sql = ORACLES[name]
-    for n in (12, 20, 30):
-        sql = sql.replace(f"left(text, {n})", "text")
-    return sql
-
-
-@query(_whole("step_chunks"))
+@query(ORACLES["step_chunks"])
 def step_chunks_whole(spark: SparkSession, d: str) -> DataFrame:
-    return record_queries.step_chunks(spark, d, whole=True)
+    return record_queries.step_chunks(spark, d)
 
 
-@query(_whole("track_files"))
+@query(ORACLES["track_files"])
 def track_files_whole(spark: SparkSession, d: str) -> DataFrame:
-    return record_queries.track_files(spark, d, whole=True)
+    return record_queries.track_files(spark, d)
 
 
-@query(_whole("appendix_pages"))
+@query(ORACLES["appendix_pages"])
 def appendix_pages_whole(spark: SparkSession, d: str) -> DataFrame:
-    return record_queries.appendix_pages(spark, d, whole=True)
+    return record_queries.appendix_pages(spark, d)
 
 
-@query(_whole("step_cues"))
+@query(ORACLES["step_cues"])
 def step_cues_whole(spark: SparkSession, d: str) -> DataFrame:
-    return chunk_queries.step_cues(spark, d, whole=True)
+    return chunk_queries.step_cues(spark, d)
 
 
-@query(_whole("walkthrough_texts"))
+@query(ORACLES["walkthrough_texts"])
 def walkthrough_texts_whole(spark: SparkSession, d: str) -> DataFrame:
-    return detail_queries.walkthrough_texts(spark, d, whole=True)
+    return detail_queries.walkthrough_texts(spark, d)
 
 
 @query("""SELECT sha256(text) AS sha256, source AS node_id, concat_ws('/', source, doc_id::VARCHAR) AS path FROM documents""")
