@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,3 +68,41 @@ def register_functions(spark: SparkSession) -> None:
                 yield link["text"], link["url"]
 
     spark.udtf.register("link_table", LinkTable)
+    spark.udtf.register("with_gaps", _gap_table())
+    spark.udf.register("count_entropy", F.arrow_udf(count_entropy, "double"))
+
+
+def count_entropy(counts: pa.Array, of_each: pa.Array) -> float:
+    """An aggregate: the entropy in bits of a group's counts, of rows (count, how many have it). Different counts are few, whatever the group's size."""
+    n = counts.to_numpy(zero_copy_only=False).astype(float)
+    m = of_each.to_numpy(zero_copy_only=False).astype(float)
+    use = (n > 0) & (m > 0)
+    total = float((n * m)[use].sum())
+    return float(np.log2(total) - (m * n * np.log2(np.where(use, n, 1)))[use].sum() / total) if total else 0.0
+
+
+def _gap_table():
+    """A polymorphic table function: its argument's rows, in order within each partition, with their number and the distance of a column to the row before."""
+    from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+    from pyspark.sql.types import DoubleType, LongType, StructType
+
+    @udtf
+    class WithGaps:
+        def __init__(self):
+            self.n, self.before = 0, None
+
+        @staticmethod
+        def analyze(rows: AnalyzeArgument, column: AnalyzeArgument) -> AnalyzeResult:
+            if not rows.isTable or column.value not in rows.dataType.names:
+                raise Exception("with_gaps(TABLE(...) PARTITION BY (...) ORDER BY (...), 'column of the table')")
+            schema = StructType(list(rows.dataType.fields))
+            return AnalyzeResult(schema.add("n", LongType()).add("gap", DoubleType()))
+
+        def eval(self, row, column):
+            value = row[column]
+            gap = None if self.before is None or value is None else float(value - self.before)
+            self.n += 1
+            self.before = value
+            yield *row, self.n, gap
+
+    return WithGaps
