@@ -595,7 +595,7 @@ def xlsx(data: bytes) -> str:
     strings = _part(z, posixpath.join(folder, "sharedStrings.xml"))
     shared = [] if strings is None else [_run_text(si) for si in _kids(strings, "si")]
     dated = _dated(z, posixpath.join(folder, "styles.xml"))
-    rels, parts, book = _relations(z, main), [], _xml(z.read(main))
+    rels, parts, missing, book = _relations(z, main), [], [], _xml(z.read(main))
     properties = _find(book, "workbookPr")
     from_1904 = properties is not None and _attr(properties, "date1904") in ("1", "true")
 
@@ -611,7 +611,10 @@ def xlsx(data: bytes) -> str:
         return _moment(v, from_1904) if kind == "n" and v and style < len(dated) and dated[style] else v.replace("T", " ") if kind == "d" else v
 
     for sheet in book.iter():
-        if _local(sheet.tag) != "sheet" or rels.get(_attr_ns(sheet)) not in z.namelist():
+        if _local(sheet.tag) != "sheet":
+            continue
+        if rels.get(_attr_ns(sheet)) not in z.namelist():
+            missing.append(_attr(sheet, "name", ""))
             continue
         rows = []
         for r in _xml(z.read(rels[_attr_ns(sheet)])).iter():
@@ -623,6 +626,10 @@ def xlsx(data: bytes) -> str:
                 line += [""] * (at - len(line)) + [value(c)]
             rows.append(line)
         parts.append(f"## {_attr(sheet, 'name', '')}\n\n{M.pipe_table(rows)}".rstrip())
+    if not parts:
+        raise Refused("workbook without a sheet that can be read")
+    if missing:
+        parts.append(f"Left out (no part of that sheet): {', '.join(missing)}")
     return "\n\n".join(parts)
 
 
