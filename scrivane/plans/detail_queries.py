@@ -273,14 +273,6 @@ def report_counts(spark: SparkSession, d: str) -> DataFrame:
     return B.report(t, "lang")
 
 
-@query("""SELECT metric, score >= threshold AS passed FROM (VALUES ('texts', 1.0, 1.0), ('words', 0.5, 0.99), ('chunks', 0.0, 1.0)) AS m(metric, score, threshold)""")
-def parity_report(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id")
-    half = docs.where("false")
-    metrics = Q.set_score(docs, docs, ["doc_id"]).withColumn("metric", F.lit("texts")).unionByName(Q.coverage(docs, half, ["doc_id"]).select(F.col("coverage").alias("score"), F.lit("words").alias("metric"))).unionByName(B.chunk_traceability(half.select(F.array("doc_id").alias("refs"), F.array("doc_id").alias("known"))).withColumn("metric", F.lit("chunks")))
-    return B.judged(metrics, {"texts": 1.0, "words": 0.99, "chunks": 1.0})
-
-
 @query("""SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'record' WHEN 1 THEN 'texts' ELSE 'missing' END AS held FROM nation""")
 def definitions_held(spark: SparkSession, d: str) -> DataFrame:
     n, m = table(spark, d, "nation"), F.col("n_nationkey") % 3

@@ -74,6 +74,12 @@ def parity_scores_whole(spark: SparkSession, d: str) -> DataFrame:
     return first
 
 
+@query(f"""SELECT metric, score >= CASE metric WHEN 'words' THEN 0.99 ELSE 1.0 END AS passed FROM ({ORACLES["parity_scores_whole"]})""")
+def parity_report(spark: SparkSession, d: str) -> DataFrame:
+    """The scores of whole texts against their changed form, held to thresholds."""
+    return B.judged(parity_scores_whole(spark, d), {"texts": 1.0, "words": 0.99, "chunks": 1.0})
+
+
 @query(f"""WITH {_SIDES} SELECT word, na - nb AS missing FROM w WHERE na > nb ORDER BY missing DESC, word LIMIT 15""")
 def worst_tokens_whole(spark: SparkSession, d: str) -> DataFrame:
     sides = _sides(spark, d)
