@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scrivane.operators import rules
+from scrivane.operators import structure as S
 from scrivane.plans.registry import query, table
 from scrivane.sources import bundles
 from scrivane.sources.readers import register_functions
@@ -70,3 +72,26 @@ def value_gaps(spark: SparkSession, d: str) -> DataFrame:
     register_functions(spark)
     table(spark, d, "events").select("user_id", "event_id", "value").createOrReplaceTempView("gap_events")
     return spark.sql("SELECT user_id, event_id, value, n, round(gap, 6) AS gap FROM with_gaps(TABLE(gap_events) PARTITION BY user_id ORDER BY (event_id), 'value')")
+
+
+# The lines of a part of each page: blocks apart, inline tags and comments away, entities as characters.
+_LINES = r"""SELECT page_id, list_filter(list_transform(string_split(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
+  regexp_extract(html, '{part}', 1), '(?s)<!--.*?-->|</?b>', '', 'g'), '</?(?:div|article|h1|p|br)[^>]*>', chr(1), 'g'), '<[^>]*>', '', 'g'), '[ \t\r\n\f\x0b\x{{00a0}}]+', ' ', 'g'), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(1)), lambda t: trim(t)), lambda t: t <> '') AS l FROM pages"""
+
+
+@query(f"""SELECT page_id, sha256(array_to_string(l, chr(10))) AS text_sha, 2 AS removed FROM ({_LINES.format(part="(?s)</nav>(.*?)<footer>")})""")
+def page_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Whole pages without menus and footers."""
+    clean = table(spark, d, "pages").select("page_id", rules.cleaned(F.col("html")).alias("c"))
+    return clean.select("page_id", F.sha2("c.text", 256).alias("text_sha"), F.col("c.removed").alias("removed"))
+
+
+@query(f"""SELECT page_id, CASE WHEN n >= 300 THEN 'article' END AS selector, CASE WHEN n >= 300 THEN 'static' ELSE 'full-page' END AS strategy, CASE WHEN n >= 300 THEN n::DOUBLE END AS score
+FROM (SELECT page_id, length(array_to_string(l, ' ')) AS n FROM ({_LINES.format(part="(?s)<article>(.*?)</article>")}))""")
+def page_choice(spark: SparkSession, d: str) -> DataFrame:
+    """The content root of whole pages, by the selectors that match them."""
+    p = table(spark, d, "pages")
+    found = p.select("page_id", F.explode(rules.content_candidates(F.col("html"))).alias("c")).select("page_id", "c.*")
+    best = S.best_region(found).select("page_id", F.col("selector").alias("static"), "score")
+    none = F.lit(None).cast("string")
+    return p.select("page_id").join(best, "page_id", "left").select("page_id", S.selection(none, none, F.col("static")).alias("s"), "score").select("page_id", F.col("s.root").alias("selector"), "s.strategy", F.round("score", 6).alias("score"))
