@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from scrivane.functions import text as X
 from scrivane.operators import hierarchy as H
 from scrivane.operators import ocr as O
-from scrivane.operators import quality as Q
 from scrivane.operators import records as B
 from scrivane.operators import rules as R
 from scrivane.operators import structure as S

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scrivane.functions import text as X
 from scrivane.operators import pages as P
 from scrivane.operators import structure as S
 from scrivane.plans.registry import query, table
