@@ -109,6 +109,11 @@ def block_rows(pages: DataFrame, id: str = "page_id", html: str = "html") -> Dat
     return pages.select(id, F.posexplode(blocks(F.col(html))).alias("pos", "block")).select(id, "pos", "block.*")
 
 
+def terminated(html: Column) -> Column:
+    """Markup whose character references all end in a semicolon: any other `&` stands for itself, where the HTML reader would take `&amp` and its like for references too."""
+    return F.regexp_replace(html, r"&(?!(?:[A-Za-z][A-Za-z0-9]{0,31}|#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6});)", "&amp;")
+
+
 # Native forms where a pattern says the same.
 def title(html: Column) -> Column:
     return F.trim(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1))
