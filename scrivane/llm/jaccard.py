@@ -13,11 +13,15 @@ components, and the next round allows more partners; the last one allows all.
 
 A shard of more than SHARD_MOST members is dealt again by its next band, up to FINER
 times; what is larger still is cut into blocks, and each block's first member also
-joins the block before it. Such members agree on 16 minima and more.
+joins the block before it. Such members agree on 16 minima and more. This joins most
+of a large shard's copies soon, but may lose a pair, so what is left of it is searched
+whole: its members are put into blocks by their component, and every two blocks that
+are not of one component meet in a task of their own. That is quadratic in the members
+that are still apart, and in bounded memory.
 
 What can be missed: a pair at the edge of the radius (of those of similarity 0.8 and
-more, sampled on the check tables, up to 0.5 percent differ in more than 16 bits), and a pair that meets only
-in shards that were dealt again. Both usually meet over a third text.
+more, sampled on the check tables, up to 0.5 percent differ in more than 16 bits). It
+usually meets over a third text.
 
 Texts with fewer words than a shingle are one shingle; texts without words are alike;
 words are lower-cased in ASCII, as for the fingerprints. Rows of one id with different
@@ -42,8 +46,8 @@ BANDS, ROWS = 32, 4
 RADIUS = 16
 #: Members of a shard's tree, and how often a fuller shard is dealt again.
 SHARD_MOST, FINER = 1024, 3
-#: Partners that a member names in a shard in each round; the last number is that of all.
-PARTNERS = (2, 16, SHARD_MOST)
+#: Partners that a member names in a shard in each round; None is all.
+PARTNERS = (2, 16, None)
 #: Least shingle hashes that travel with a text; up to so many shingles they are the whole set.
 BOTTOM = 256
 #: Standard deviations of an estimate below which a pair is ruled out (a chance of 3e-5).
@@ -125,10 +129,18 @@ def _prints(size: int):
     return prints
 
 
-def _rounds(least: float, radius: int, partners: int):
-    """(u, v): each member's nearest partners, at most so many, in other components of its shard; rows come by shard."""
+def _rounds(least: float, radius: int, partners: int | None):
+    """(u, v): each member's nearest partners, at most so many, in other components of its shard; rows come by shard.
+
+    Rows of two blocks of a larger shard also tell that shard (home) and their block's
+    side: 0 is searched by 1, a block by itself has side 2; side 0 comes first.
+    """
 
     def pairs(shard, group):
+        sides = None
+        if len(group[0]) > 7:
+            *group, homes, sides = zip(*group)
+            shard, group = homes[0], zip(*group)
         *columns, sketches, bottoms, places = zip(*group)
         nodes, parts, ns, fps = (np.array(c, np.int64) for c in columns)
         if (parts == parts[0]).all():
@@ -141,8 +153,9 @@ def _rounds(least: float, radius: int, partners: int):
         doubt = doubtful(least, sketch.shape[1]) * sketch.shape[1]
         tree = BKTree(radius)
         for i, fp in enumerate(x & 0xFFFFFFFFFFFFFFFF for x in fps.tolist()):
-            near = np.array(tree.near(fp), np.int64)
-            tree.add(fp)
+            near = np.array(tree.near(fp) if sides is None or sides[i] else (), np.int64)
+            if sides is None or sides[i] != 1:
+                tree.add(fp)
             if not len(near):
                 continue
             near = near[(parts[near] != parts[i]) & (np.minimum(ns[near], ns[i]) >= least * np.maximum(ns[near], ns[i]))]
@@ -179,27 +192,50 @@ def _rounds(least: float, radius: int, partners: int):
     return run
 
 
-def _shards(classes: DataFrame) -> DataFrame:
-    """(shard, node): members of shards of two to SHARD_MOST members."""
+def _shards(classes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(shard, node): members of shards of two to SHARD_MOST members, and those of the shards that held more at first, if any did."""
     rows = classes.select("node", F.posexplode("bands").alias("band", "shard"))
-    done = None
+    done = rest = None
     for again in range(FINER + 1):
         sizes = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
         sized = write_table(rows.join(sizes, "shard"), "buckets")
         small = sized.where(F.col("members") <= SHARD_MOST).select("shard", "node")
         done = small if done is None else done.union(small)
         large = sized.where(F.col("members") > SHARD_MOST).select("node", "band", "shard")
-        if again == FINER or large.isEmpty():
+        if large.isEmpty():
+            return done, rest
+        if not again:
+            rest = large.select("shard", "node")
+        if again == FINER:
             break
         next_band = F.element_at("bands", F.pmod(F.col("band") + again + 1, F.lit(BANDS)) + 1)
         rows = large.join(classes.select("node", "bands"), "node").select("node", "band", F.xxhash64("shard", next_band).alias("shard"))
-    else:
-        return done
     # Blocks of what is larger still: a place by the node's hash, and the first of each block twice.
     blocks = F.ceil(F.col("members") / SHARD_MOST).cast("int")
     cut = sized.where(F.col("members") > SHARD_MOST).select("shard", "node", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     firsts = cut.groupBy("shard", "block").agg(F.min("node").alias("node")).select("shard", (F.col("block") - 1).alias("block"), "node").where("block >= 0")
-    return done.union(cut.select("shard", "block", "node").union(firsts).select(F.xxhash64("shard", "block").alias("shard"), "node"))
+    return done.union(cut.select("shard", "block", "node").union(firsts).select(F.xxhash64("shard", "block").alias("shard"), "node")), rest
+
+
+def _block_pairs(rest: DataFrame) -> DataFrame:
+    """(shard, node, part, home, side) of rest (shard, node, part): every two blocks of a shard whose members are not all of one component.
+
+    A part of more than half of SHARD_MOST has blocks of its own, the others share blocks.
+    """
+    half = max(1, SHARD_MOST // 2)
+    parts = rest.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    small = F.when(F.col("n") <= half, F.col("n"))
+    shards = parts.groupBy("shard").agg(F.count(F.lit(1)).alias("parts"), F.coalesce(F.sum(small), F.lit(0)).alias("few")).where("parts > 1")
+    known = parts.join(shards, "shard").select("shard", "part", F.when(F.col("n") > half, F.col("part")).alias("own"), F.ceil(F.when(F.col("n") > half, F.col("n")).otherwise(F.col("few")) / half).alias("blocks"))
+    at = F.pmod(F.when(F.col("own").isNull(), F.xxhash64("part")).otherwise(F.xxhash64("node")), F.col("blocks"))
+    placed = write_table(rest.join(known, ["shard", "part"]).select("shard", "node", "part", "own", F.struct(F.coalesce("own", F.lit(-1)).alias("own"), at.alias("at")).alias("block")), "rest-blocks")
+    blocks = placed.select("shard", "own", "block").distinct()
+    a, b = (blocks.select("shard", F.col("own").alias(f"own_{x}"), F.col("block").alias(x)) for x in "ab")
+    met = a.join(b, "shard").where("a <= b AND (own_a IS NULL OR own_b IS NULL OR own_a <> own_b)").select("shard", "a", "b", F.xxhash64("shard", "a", "b").alias("key"))
+    alone = F.col("a") == F.col("b")
+    first = met.select("shard", F.col("a").alias("block"), "key", F.when(alone, 2).otherwise(0).alias("side"))
+    ends = first.union(met.where(~alone).select("shard", "b", "key", F.lit(1)))
+    return placed.join(ends, ["shard", "block"]).select(F.col("key").alias("shard"), "node", "part", F.col("shard").alias("home"), "side")
 
 
 def _alike(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataFrame:
@@ -225,19 +261,31 @@ def placed(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float
     parts = [F.first(c).alias(c) for c in ("n", "fp", "bands", "sketch", "bottom")]
     classes = prints.groupBy("c1", "c2").agg(F.min(F.struct("id", "t")).alias("first"), *parts)
     classes = write_table(classes.withColumn("node", F.monotonically_increasing_id()), "minhash-classes")
-    shards = _shards(classes)
+    shards, rest = _shards(classes)
     of_node = classes.select("node", "n", "fp", "sketch", "bottom").join(shards.groupBy("node").agg(F.collect_set("shard").alias("shards")), "node")
     members = write_table(shards.join(of_node, "node"), "members")
-    asked = classes.join(members.select("node").distinct(), "node", "left_semi").select("node", "first.*")
+    of_rest = None if rest is None else write_table(classes.select("node", "n", "fp", "sketch", "bottom").join(rest.groupBy("node").agg(F.collect_set("shard").alias("shards")), "node"), "rest-members")
+    searched = members.select("node") if rest is None else members.select("node").union(rest.select("node"))
+    asked = classes.join(searched.distinct(), "node", "left_semi").select("node", "first.*")
     texts = write_table(named.join(asked.hint("merge"), ["id", "t"]).select("node", "text").dropDuplicates(["node"]), "member-texts")
     tried = links = roots = None
-    for partners in PARTNERS:
-        apart = members.withColumn("part", F.col("node")) if roots is None else members.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
-        near = apart.select("shard", "node", "part", "n", "fp", "sketch", "bottom", "shards").repartition("shard").sortWithinPartitions("shard", "node")
+    done = set()
+    for whole, partners in [(False, n) for n in PARTNERS] + [(True, n) for n in PARTNERS if rest is not None]:
+        if whole in done:
+            continue
+        given = rest if whole else members
+        apart = given.withColumn("part", F.col("node")) if roots is None else given.join(roots, "node", "left").withColumn("part", F.coalesce("root", "node"))
+        columns = ["shard", "node", "part", "n", "fp", "sketch", "bottom", "shards"]
+        if whole:
+            apart = _block_pairs(apart.select("shard", "node", "part")).join(of_rest, "node")
+            near = apart.select(*columns, "home", "side").repartition("shard").sortWithinPartitions("shard", "side", "node")
+        else:
+            near = apart.select(columns).repartition("shard").sortWithinPartitions("shard", "node")
         pairs = near.mapInArrow(_rounds(least, radius, partners), "u bigint, v bigint").distinct()
         pairs = write_table(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"), "pairs")
         if pairs.isEmpty():
-            break
+            done.add(whole)
+            continue
         more = write_table(_alike(pairs, texts, least, size), "links")
         tried = pairs if tried is None else tried.union(pairs)
         links = more if links is None else links.union(more)

@@ -113,3 +113,14 @@ def test_rows_of_one_id_are_told_apart(spark):
     for options in ({}, {"shingle": 5, "radius": 16, "least": 0.8}):
         once, again = (sorted((r.doc_id, r.text, r._one_id) for r in simhash.keep_one(d, **options).collect()) for d in (docs, docs.repartition(7)))
         assert once == again and [r[:2] for r in once] == [(1, "a b c d e f"), (1, long), (3, "q r s t u v")]
+
+
+def test_shards_over_the_limit_lose_no_pair(spark, monkeypatch):
+    """Texts that share one beginning fill every shard; each is alike to the one short text alone, and none is lost."""
+    monkeypatch.setattr(jaccard, "SHARD_MOST", 4)
+    monkeypatch.setattr(jaccard, "FINER", 0)
+    base = [f"b{i}" for i in range(160)]
+    rows = [(k, " ".join(base + [f"p{k}_{i}" for i in range(30 if k else 1)])) for k in range(90)]
+    assert set(brute(rows).values()) == {0} and len(set(brute(rows[1:]).values())) == 89
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    assert {r.component_id for r in jaccard.near_duplicates(docs).collect()} == {0}
