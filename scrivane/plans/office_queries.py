@@ -99,7 +99,7 @@ def office_words(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT c_custkey, sha256('## Slide 1: ' || trim(c_name) || gap || '- ' || trim(c_mktsegment) || chr(10) || '    - ' || c_custkey || gap || '### Chart' || gap || '| Category | balance |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || trim(c_mktsegment) || ' | ' || c_custkey || ' |') AS sha, '' AS error
 FROM (SELECT *, chr(10) || chr(10) AS gap FROM customer)""")
 def office_slides(spark: SparkSession, d: str) -> DataFrame:
-    return _read(table(spark, d, "customer"), "c_custkey", "pptx", slide_files, F.trim("c_name"), F.trim("c_mktsegment"), F.col("c_custkey"), F.col("c_custkey"))
+    return _read(table(spark, d, "customer", heavy=True), "c_custkey", "pptx", slide_files, F.trim("c_name"), F.trim("c_mktsegment"), F.col("c_custkey"), F.col("c_custkey"))
 
 
 @query("""SELECT o_orderkey, sha256('## Orders' || chr(10) || chr(10) || '| ' || strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00 | ' || CASE o_orderkey % 2 WHEN 1 THEN 'True' ELSE 'False' END || ' | ' || trim(o_orderpriority) || ' | ' || (o_orderdate::DATE - DATE '1899-12-30') || ' |' || chr(10) || '| --- | --- | --- | --- |') AS sha, '' AS error FROM orders""")
