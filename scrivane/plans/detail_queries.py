@@ -44,7 +44,7 @@ def content_choice(spark: SparkSession, d: str) -> DataFrame:
 def markdown_pages(spark: SparkSession, d: str) -> DataFrame:
     md = C("# ", F.col("p_name"), "\n\nx **b** ", F.col("p_size"), "\n\n- a\n- c\n\n| k |\n| --- |\n| ", F.col("p_partkey"), " |\n\n<script>x</script>")
     md = F.replace(md, F.lit("\n\n<script>x</script>"), F.lit(""))
-    p = table(spark, d, "part").select("p_partkey", md.alias("md"))
+    p = table(spark, d, "part", heavy=True).select("p_partkey", md.alias("md"))
     return p.select("p_partkey", R.markdown_html(F.col("md")).alias("html"), F.regexp_extract(R.markdown_document(F.col("md"), F.lit("f"), F.lit("md")), "<title>(.*?)</title>", 1).alias("title"))
 
 
