@@ -105,7 +105,7 @@ def office_slides(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT o_orderkey, sha256('## Orders' || chr(10) || chr(10) || '| ' || strftime(o_orderdate, '%Y-%m-%d') || ' 00:00:00 | ' || CASE o_orderkey % 2 WHEN 1 THEN 'True' ELSE 'False' END || ' | ' || trim(o_orderpriority) || ' | ' || (o_orderdate::DATE - DATE '1899-12-30') || ' |' || chr(10) || '| --- | --- | --- | --- |') AS sha, '' AS error FROM orders""")
 def office_sheets(spark: SparkSession, d: str) -> DataFrame:
     serial = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1899-12-30").cast("date"))
-    return _read(table(spark, d, "orders"), "o_orderkey", "xlsx", sheet_files, F.lit("Orders"), serial, F.col("o_orderkey") % 2, F.trim("o_orderpriority"))
+    return _read(table(spark, d, "orders", heavy=True), "o_orderkey", "xlsx", sheet_files, F.lit("Orders"), serial, F.col("o_orderkey") % 2, F.trim("o_orderpriority"))
 
 
 def _journey(spark, d):
