@@ -9,7 +9,8 @@ rule out is held to the shingle sets themselves, so no link is an estimate.
 
 A large group of near copies is not crossed with itself. In each round a member names
 its nearest partners that stand in other components yet, the checked links join the
-components, and the next round allows more partners; the last one allows all.
+components, and the next round allows more partners; the last one allows all. A round's
+links join the components found so far; links of earlier rounds are not met again.
 
 A shard of more than SHARD_MOST members is dealt again by its next band, up to FINER
 times; what is larger still is cut into blocks, and each block's first member also
@@ -253,6 +254,18 @@ def _alike(pairs: DataFrame, texts: DataFrame, least: float, size: int) -> DataF
     return dealt.join(left, ["u", "s"]).join(right, ["v", "t"]).where(alike("a", "b")).select("u", "v").distinct()
 
 
+def _rooted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root) after new links (u, v). Only the links themselves meet again: each stands for the roots of its ends so far."""
+    if roots is None:
+        return connected_components(links)
+    of_u, of_v = (roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "uv")
+    ends = links.join(of_u, "u", "left").join(of_v, "v", "left").select(F.coalesce("root_u", "u").alias("u"), F.coalesce("root_v", "v").alias("v"))
+    moved = connected_components(ends)
+    after = moved.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    kept = roots.join(after, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return write_table(kept.union(moved.join(roots, "node", "left_anti")), "roots")
+
+
 def placed(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float = 0.8, size: int = 5, radius: int = RADIUS) -> DataFrame:
     """(id, t, component_id) for every row with an id: components of linked texts, named by their smallest id; t is the text's hash."""
     body = F.coalesce(F.col(text), F.lit(""))
@@ -268,7 +281,7 @@ def placed(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float
     searched = members.select("node") if rest is None else members.select("node").union(rest.select("node"))
     asked = classes.join(searched.distinct(), "node", "left_semi").select("node", "first.*")
     texts = write_table(named.join(asked.hint("merge"), ["id", "t"]).select("node", "text").dropDuplicates(["node"]), "member-texts")
-    tried = links = roots = None
+    tried = roots = None
     done = set()
     for whole, partners in [(False, n) for n in PARTNERS] + [(True, n) for n in PARTNERS if rest is not None]:
         if whole in done:
@@ -288,8 +301,8 @@ def placed(docs: DataFrame, id: str = "doc_id", text: str = "text", least: float
             continue
         more = write_table(_alike(pairs, texts, least, size), "links")
         tried = pairs if tried is None else tried.union(pairs)
-        links = more if links is None else links.union(more)
-        roots = connected_components(links)
+        if not more.isEmpty():
+            roots = _rooted(more, roots)
     drop_table(members)
     drop_table(texts)
     nodes = classes.select("c1", "c2", "first", F.col("node").alias("part")) if roots is None else classes.join(roots, "node", "left").select("c1", "c2", "first", F.coalesce("root", "node").alias("part"))

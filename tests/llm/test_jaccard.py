@@ -124,3 +124,24 @@ def test_shards_over_the_limit_lose_no_pair(spark, monkeypatch):
     assert set(brute(rows).values()) == {0} and len(set(brute(rows[1:]).values())) == 89
     docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
     assert {r.component_id for r in jaccard.near_duplicates(docs).collect()} == {0}
+
+
+def test_links_of_earlier_rounds_are_not_met_again(spark, monkeypatch):
+    """Each round's components are made of its own links, on top of those before; a round without links makes none."""
+    met = []
+    real = jaccard.connected_components
+    monkeypatch.setattr(jaccard, "connected_components", lambda links: met.append(links.count()) or real(links))
+    edges = lambda rows: spark.createDataFrame(rows, "u bigint, v bigint")
+    roots = jaccard._rooted(edges([(1, 2), (2, 3), (5, 6), (8, 9)]), None)
+    roots = jaccard._rooted(edges([(3, 6), (9, 11), (20, 21), (2, 5)]), roots)
+    assert {r.node: r.root for r in roots.collect() if r.node != r.root} == {2: 1, 3: 1, 5: 1, 6: 1, 9: 8, 11: 8, 21: 20}
+    assert met == [4, 4] and roots.count() == len({r.node for r in roots.collect()})
+    met.clear()
+    monkeypatch.setattr(jaccard, "PARTNERS", (2, 3, None))
+    written = []
+    write = jaccard.write_table
+    monkeypatch.setattr(jaccard, "write_table", lambda df, name: written.append((name, out := write(df, name))) or out)
+    rows = corpus()
+    jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).count()
+    links = [t.count() for name, t in written if name == "links"]
+    assert met == [n for n in links if n] and len(links) > 1
