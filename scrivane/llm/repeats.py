@@ -322,21 +322,29 @@ class _Automaton:
         a = run_hashes(hashes[0], size)
         known = self.low[np.minimum(np.searchsorted(self.low, a), len(self.low) - 1)] == a
         n = len(a) - (count - 1) * size
-        # No key has an unknown letter, so only stretches of known ones need to stream.
+        # No key has an unknown letter, so only letters of windows of known ones need to stream.
         spelt = known[:n].copy()
         for k in range(1, count):
             spelt &= known[k * size : k * size + n]
+        if not spelt.any():
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        needed = np.zeros(len(a) + 1, bool)
+        for k in range(count):
+            needed[k * size : k * size + n] |= spelt
+        # All phases stream as one: letters `size` words apart follow each other, and a letter of no key parts what does not.
+        at = np.arange(size)[:, None] + size * np.arange(len(a) // size + 2)
+        at = np.minimum(at, len(a)).reshape(-1)
+        keep = needed[at]
+        keep[1:] |= needed[at[:-1]]
+        at = at[keep]
+        digits = np.full((len(a) + 1, DIGITS), self.base * DIGITS)
+        some = np.flatnonzero(needed)
+        digits[some] = self.spelled(a[some], run_hashes(hashes[1], size, 1)[some])
         starts, owners = [], []
-        if spelt.any():
-            b = run_hashes(hashes[1], size, 1)
-            for phase in range(size):
-                at = np.flatnonzero(spelt[phase::size])
-                if len(at):
-                    stretch = slice(phase + size * int(at[0]), phase + size * (int(at[-1]) + count), size)
-                    for end, owner in self.machine.iter(tuple(self.spelled(a[stretch], b[stretch]).reshape(-1).tolist())):
-                        starts.append(stretch.start + size * (end // DIGITS - count + 1))
-                        owners.append(owner)
-        return np.array(starts, np.int64), self.owners[owners]
+        for end, owner in self.machine.iter(tuple(digits[at].reshape(-1).tolist())):
+            starts.append(end // DIGITS - count + 1)
+            owners.append(owner)
+        return at[starts].astype(np.int64) if starts else np.zeros(0, np.int64), self.owners[owners]
 
 
 def merged(docs: np.ndarray, ts: np.ndarray, starts: np.ndarray, window: int) -> tuple[np.ndarray, ...]:

@@ -74,8 +74,14 @@ def minimizers(phrases: np.ndarray, width: int) -> np.ndarray:
     """For each window of `width` consecutive phrases, the position of its least hash (the leftmost of equal ones)."""
     if len(phrases) < width:
         return np.zeros(0, np.int64)
-    windows = np.lib.stride_tricks.sliding_window_view(phrases, width)
-    return windows.argmin(axis=1) + np.arange(len(windows))
+    least, at, size = phrases, np.arange(len(phrases)), 1
+    while size < width:  # windows of doubled length, the last step from two that overlap
+        step = min(size, width - size)
+        later = least[step:] < least[:-step]
+        at = np.where(later, at[step:], at[:-step])
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    return at
 
 
 #: Words of more bytes are hashed and compared one by one.

@@ -287,3 +287,44 @@ def test_phrases_count_the_windows_they_stand_for():
     (out,) = repeats._phrases(50, 8)([batch])
     rows = out.to_pylist()
     assert sum(r["n"] for r in rows if r["doc_id"] == 1) == 50 * 400 - 49 and sum(r["n"] for r in rows if r["doc_id"] == 2) == 11
+
+
+def test_minimizers_cost_little_more_in_wide_windows():
+    """Equal to looking at every phrase of every window, and not dearer by the window's width."""
+    import time
+
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 9, 60):
+        for width in (1, 2, 7, 43):
+            for most in (3, 1 << 60):
+                h = rng.integers(0, most, n).astype(np.uint64)
+                assert words.minimizers(h, width).tolist() == [i + int(h[i : i + width].argmin()) for i in range(n - width + 1)]
+
+    def spent(width):
+        best = 9.0
+        for _ in range(3):
+            t = time.process_time()
+            words.minimizers(h, width)
+            best = min(best, time.process_time() - t)
+        return best
+
+    h = rng.integers(0, 1 << 60, 60_000).astype(np.uint64)
+    assert spent(16_000) < 10 * spent(64)
+
+
+def test_automaton_streams_all_phases_at_once(monkeypatch):
+    """Hits in every phase, in unknown words and across passages, by one spelling for a chunk."""
+    words_ = [b"w%d" % i for i in range(400)]
+    machine = repeats._Automaton(50)
+    machine.add(3, 1, 0, b" ".join(words_[:120]))
+    machine.add(7, 1, 0, b" ".join(words_[200:260]))
+    machine.hits(b"a")
+    calls = []
+    spelled = repeats._Automaton.spelled
+    monkeypatch.setattr(repeats._Automaton, "spelled", lambda self, a, b: calls.append(len(a)) or spelled(self, a, b))
+    chunk = [b"x", *words_[10:90], b"y", *words_[200:260], *words_[:50], *words_[230:255], *words_[60:85], b"z"]
+    starts, owners = machine.hits(b" ".join(chunk))
+    keys = {tuple(words_[i : i + 50]): 3 for i in range(71)} | {tuple(words_[i : i + 50]): 7 for i in range(200, 211)}
+    want = [(i, keys[tuple(chunk[i : i + 50])]) for i in range(len(chunk) - 49) if tuple(chunk[i : i + 50]) in keys]
+    assert sorted(zip(starts.tolist(), owners.tolist())) == want and len(want) == 31 + 11 + 1
+    assert len(calls) == 1
