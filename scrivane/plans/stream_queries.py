@@ -51,7 +51,9 @@ def broken_files(spark: SparkSession, d: str) -> DataFrame:
 def sql_surface(spark: SparkSession, d: str) -> DataFrame:
     register_functions(spark)
     table(spark, d, "pages").createOrReplaceTempView("scrivane_pages")
-    return spark.sql("SELECT p.page_id, count(t.url) AS links, any_value(page_metadata(p.html).language) AS language FROM scrivane_pages p LEFT JOIN LATERAL link_table(p.html) t GROUP BY p.page_id")
+    # Pages and links are counted apart: the metadata are read once a page, and a page without links keeps its row.
+    return spark.sql("""SELECT page_id, sum(links) AS links, any_value(language, true) AS language FROM (SELECT page_id, 0 AS links, page_metadata(html).language AS language FROM scrivane_pages
+ UNION ALL SELECT p.page_id, 1, NULL FROM scrivane_pages p, LATERAL link_table(p.html) t WHERE t.url IS NOT NULL) GROUP BY page_id""")
 
 
 @query("""SELECT n_nationkey, CASE k WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN NULL WHEN 4 THEN true ELSE true END AS internal, CASE k WHEN 2 THEN '127.0.0.1' WHEN 3 THEN '' ELSE host END AS readings
