@@ -95,3 +95,42 @@ def test_progress_of_a_stream(spark, tmp_path):
 
     result, seen = timers.with_progress(spark, lambda: jobs.budgets(spark, path))
     assert result.count() == 3 and seen.agg({"rows": "sum"}).first()[0] == 30
+
+
+def test_state_is_touched_few_times_for_a_key():
+    """A key's rows cost one read, one write and at most two timer calls, each a message to the JVM, however many sessions are open."""
+    calls = []
+
+    class Handle:
+        def getValueState(self, name, schema):
+            return self
+
+        def get(self):
+            calls.append("get")
+            return getattr(self, "held", None)
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+        def registerTimer(self, at):
+            calls.append(("register", at))
+
+        def deleteTimer(self, at):
+            calls.append(("delete", at))
+
+    class Now:
+        def getCurrentWatermarkInMs(self):
+            return 7_500
+
+    p = timers.Sessions(1_000_000)
+    p.init(Handle())
+    rows = [{"us": us, "value": v} for us, v in [(9_000_000, 1.0), (1_000_000, None), (2_000_000, None), (5_000_000, 3.0), (5_500_000, None)]]
+    assert list(p.handleInputRows((1,), iter(rows), None)) == []
+    assert calls == ["get", ("register", 3001), "update"]
+    calls.clear()
+    assert list(p.handleInputRows((1,), iter([{"us": 0, "value": None}]), None)) == []
+    assert calls == ["get", "update"]
+    calls.clear()
+    assert [tuple(r) for r in p.handleExpiredTimer((1,), Now(), None)] == [(1, 1, 0, 2_000_000, 3, None), (1, 2, 5_000_000, 5_500_000, 2, 3.0)]
+    assert calls == ["get", ("register", 10_001), "update"]
