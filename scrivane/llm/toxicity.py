@@ -10,8 +10,8 @@ All labelled rows outside the held-out fold are learned from, in shards of about
 SHARD_ROWS that Spark deals by a hash of the id. In a round each task streams its shard
 once, starting from the weights and Adagrad sums of the round before, and sends what it
 changed; a weight becomes the mean over the tasks that touched it. The sums are of whole
-numbers (2**-POINT is one), so their order does not matter and reruns agree. The weights,
-of fixed size, are all that passes through the driver.
+numbers (2**-POINT is one), so their order does not matter. The weights, of fixed size,
+and a bitmap of 2 bytes for each labelled id pass through the driver.
 Every document is scored from its whole text, by the mean logit of CROSS models, each
 trained on the rows of the other folds. A row's own fold gives it a score that did not
 see it; by these, counted in steps of 1 / STEP over all rows, the steepness of the scores
@@ -46,7 +46,7 @@ PREFIXES = (4, 5, 6, 7)
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 8, 8
 #: Labelled rows of a shard, about, and batches that each model is to see in a shard: with fewer in a pass there are more rounds.
-SHARD_ROWS, BATCHES, LEAST_ROUNDS = 8192, 400, 3
+SHARD_ROWS, BATCHES, LEAST_ROUNDS = 16384, 400, 3
 #: Binary places of summed changes, steps of a logit by which rows are counted, and the range of those.
 POINT, STEP, RANGE = 20, 1024, 64
 #: Bits of one bitmap of bitmap_construct_agg.
@@ -361,8 +361,9 @@ def taught(docs: DataFrame, labels: DataFrame, id: str, text: str, lang: str | N
     bitmaps = known.select(at("_id").alias("at")).groupBy(F.floor(F.col("at") / BITMAP).alias("_map")).agg(F.bitmap_construct_agg(F.col("at") % BITMAP).alias("_bits"))
     byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(_at % {BITMAP} div 8 as int) + 1, 1)")), 16, 10).cast("int")
     rows = rows.withColumn("_at", at("_own")).withColumn("_map", F.floor(F.col("_at") / BITMAP)).join(F.broadcast(bitmaps), "_map").where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_at % 8 as int))")) != 0)
-    # Both sides are dealt to the shards by the id, so a text moves once.
-    rows = rows.select("_own", "text", "lang").repartition(shards, "_own").join(known.repartition(shards, "_id"), F.col("_own") == F.col("_id"))
+    # Both sides are dealt by the id, and the parts then make up the shards, so a text moves once. With fewer parts than its own setting Spark would deal again.
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select("_own", "text", "lang").repartition(parts, "_own").join(known.repartition(parts, "_id"), F.col("_own") == F.col("_id")).coalesce(shards)
     rows = rows.select(F.pmod(F.xxhash64("text"), F.lit(CROSS)).cast("int").alias("fold"), "toxic", "lang", "text", F.xxhash64(F.lit(seed), F.col("_own")).alias("_at"), F.xxhash64("text").alias("_t"))
     return rows.sortWithinPartitions("_at", "_t", "text", "toxic", "lang").select("fold", "toxic", "lang", "text"), shards
 
