@@ -9,9 +9,10 @@ gradients, in batches of documents.
 All labelled rows outside the held-out fold are learned from, in shards of about
 SHARD_ROWS that Spark deals by a hash of the id. In a round each task streams its shard
 once, starting from the weights and Adagrad sums of the round before, and sends what it
-changed; a weight becomes the mean over the tasks that touched it. The sums are of whole
-numbers (2**-POINT is one), so their order does not matter. The weights, of fixed size,
-and a bitmap of 2 bytes for each labelled id pass through the driver.
+changed, in packed blocks of BLOCK buckets; a weight becomes the mean over the tasks that
+touched it. The sums are of whole numbers (2**-POINT is one), so their order does not
+matter. The weights, of fixed size, and a bitmap of 2 bytes for each labelled id pass
+through the driver.
 Every document is scored from its whole text, by the mean logit of CROSS models, each
 trained on the rows of the other folds. A row's own fold gives it a score that did not
 see it; by these, counted in steps of 1 / STEP over all rows, the steepness of the scores
@@ -29,6 +30,8 @@ result's name may not be there yet, other clashing names keep their values.
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -46,9 +49,11 @@ PREFIXES = (4, 5, 6, 7)
 WIDTHS = (1, 2, 3)
 DIM, FILTERS = 8, 8
 #: Labelled rows of a shard, about, and batches that each model is to see in a shard: with fewer in a pass there are more rounds.
-SHARD_ROWS, BATCHES, LEAST_ROUNDS = 16384, 400, 3
-#: Binary places of summed changes, steps of a logit by which rows are counted, and the range of those.
-POINT, STEP, RANGE = 20, 1024, 64
+SHARD_ROWS, BATCHES, LEAST_ROUNDS = 32768, 400, 3
+#: Binary places of summed changes of the table and of the rest, steps of a logit by which rows are counted, and the range of those.
+POINT, FINE_POINT, STEP, RANGE = 12, 20, 1024, 64
+#: Buckets whose numbers tasks send in one row.
+BLOCK = 1 << 14
 #: Bits of one bitmap of bitmap_construct_agg.
 BITMAP = 32768
 #: Words of a text that are convolved at once.
@@ -376,8 +381,58 @@ def _examples(batches):
             yield part, toxic, features(data), name
 
 
-def _table(**columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict(columns)
+def squeezed(whole: np.ndarray) -> bytes:
+    """Whole numbers, the sign last, as planes of bytes: small numbers leave all but the lowest planes empty."""
+    numbers = np.ascontiguousarray(((whole << 1) ^ (whole >> 63)).T, "<i8").view(np.uint8).reshape(-1, 8)
+    z = zlib.compressobj(1, zlib.DEFLATED, 15, 9, zlib.Z_RLE)
+    return z.compress(numbers.T.tobytes()) + z.flush()
+
+
+def restored(data: bytes, rows: int) -> np.ndarray:
+    """(rows, numbers of each), what `squeezed` was given."""
+    numbers = np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T).view("<u8")
+    return ((numbers >> np.uint64(1)).astype(np.int64) ^ -(numbers & np.uint64(1)).astype(np.int64)).reshape(-1, rows).T
+
+
+_BLOCKS = "model int, block int, touched binary, numbers binary, tasks binary"
+
+
+def _blocks(model: int, at: np.ndarray, whole: np.ndarray, tasks: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of _BLOCKS: whole numbers of the places `at`, which rise, and the tasks that each comes from, else one."""
+    edges = np.searchsorted(at, np.arange(0, (int(at[-1]) if len(at) else -1) + BLOCK + 1, BLOCK))
+    for block, (lo, hi) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        if lo < hi:
+            touched = np.zeros(BLOCK, bool)
+            touched[at[lo:hi] - block * BLOCK] = True
+            columns = [[np.packbits(touched).tobytes()], [squeezed(whole[lo:hi])], [None if tasks is None else squeezed(tasks[lo:hi, None])]]
+            yield pa.RecordBatch.from_arrays([pa.array([model], pa.int32()), pa.array([block], pa.int32()), *(pa.array(c, pa.binary()) for c in columns)], ["model", "block", "touched", "numbers", "tasks"])
+
+
+def _read(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(model, places, their numbers, tasks) of each row of _BLOCKS."""
+    for batch in batches:
+        for model, block, touched, numbers, tasks in zip(*(batch.column(i).to_pylist() for i in range(5))):
+            at = np.flatnonzero(np.unpackbits(np.frombuffer(touched, np.uint8)))
+            yield model, block * BLOCK + at, restored(numbers, len(at)), np.ones(len(at), np.int64) if tasks is None else restored(tasks, len(at))[:, 0]
+
+
+def _summed(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One block of a model over all tasks, one row at a time."""
+    model, block = (k.as_py() for k in key)
+    sums, tasks = None, np.zeros(BLOCK, np.int64)
+    for _, places, numbers, n in _read(batches):
+        if sums is None:
+            sums = np.zeros((BLOCK, numbers.shape[1]), np.int64)
+        at = places - block * BLOCK
+        sums[at] += numbers
+        tasks[at] += n
+    at = np.flatnonzero(tasks)
+    yield from _blocks(model, block * BLOCK + at, sums[at], tasks[at])
+
+
+def gathered(sent: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(model, places, sums, tasks) of each block of each model; of fixed size."""
+    return list(_read(sent.groupBy("model", "block").applyInArrow(_summed, _BLOCKS).toArrow().to_batches()))
 
 
 def _seen(batches):
@@ -388,11 +443,14 @@ def _seen(batches):
         found = np.flatnonzero(mark)
         seen[part, found] += 1
         mark[found] = False
-    part, bucket = np.nonzero(seen)
-    yield _table(fold=part.astype(np.int32), bucket=bucket.astype(np.int32), n=seen[part, bucket])
+    for part in range(CROSS):
+        at = np.flatnonzero(seen[part])
+        yield from _blocks(part, at, seen[part, at, None])
 
 
-_CHANGES = [f"c{i}" for i in range(WIDE)]
+def unit(buckets: np.ndarray) -> np.ndarray:
+    """What a one stands for in whole numbers of changes, a row for each bucket."""
+    return np.where(buckets < BUCKETS, 2.0**-POINT, 2.0**-FINE_POINT)[:, None]
 
 
 def _learned(shared):
@@ -424,11 +482,8 @@ def _learned(shared):
             old, one = Training.unpacked(packed[k]), now[k]
             at, rest = np.flatnonzero(touched[k]), one.rest() - old.rest()
             table = np.hstack([one.model.table[at] - old.model.table[at], (one.grown[0][at] - old.grown[0][at])[:, None]])
-            whole = np.rint(np.vstack([table, rest]) * float(1 << POINT)).astype(np.int64)
-            buckets = np.concatenate([at, BUCKETS + np.arange(len(rest))]).astype(np.int32)
-            for lo in range(0, len(buckets), 10_000):
-                some = slice(lo, lo + 10_000)
-                yield _table(model=np.full(len(buckets[some]), k, np.int32), bucket=buckets[some], **dict(zip(_CHANGES, whole[some].T.copy())))
+            buckets = np.concatenate([at, BUCKETS + np.arange(len(rest))])
+            yield from _blocks(k, buckets, np.rint(np.vstack([table, rest]) / unit(buckets)).astype(np.int64))
 
     return run
 
@@ -471,18 +526,15 @@ def _fitted(rows: DataFrame, shards: int, seed: int) -> tuple[Judges, dict, floa
     # A model learns from the other folds if both classes are there; if none can, one learns from all rows (and is of no fold).
     others = {k: total - counts[k] for k in range(CROSS) if (total - counts[k]).all() and counts[k].any()} or {CROSS: total}
     seen = np.zeros((CROSS, BUCKETS), np.int64)
-    found = rows.mapInArrow(_seen, "fold int, bucket int, n bigint").groupBy("fold", "bucket").agg(F.sum("n").cast("int").alias("n")).toArrow()  # CROSS * BUCKETS rows at most
-    seen[found["fold"].to_numpy(), found["bucket"].to_numpy()] = found["n"].to_numpy()
+    for part, at, n, _ in gathered(rows.mapInArrow(_seen, _BLOCKS)):
+        seen[part, at] = n[:, 0]
     models = {k: Training(seen.sum(axis=0) - (seen[k] if k < CROSS else 0) >= MIN_DOCS, seed + k) for k in others}
     weights = {k: class_weights(int(n.sum()), int(n[1])) for k, n in others.items()}
     a_pass = max(1, min(int(n.sum()) for n in others.values()) // (shards * BATCH))
     for _ in range(min(EPOCHS, max(LEAST_ROUNDS, -(-BATCHES // a_pass)))):
         shared = context.broadcast(({k: m.packed() for k, m in models.items()}, weights))
-        changes = rows.mapInArrow(_learned(shared), "model int, bucket int, " + ", ".join(f"{c} bigint" for c in _CHANGES))
-        mean = changes.groupBy("model", "bucket").agg(*((F.sum(c) / F.count(F.lit(1)) / float(1 << POINT)).cast("float").alias(c) for c in _CHANGES)).toArrow()  # a row for each bucket of each model at most
-        bucket, values, which = mean["bucket"].to_numpy(), np.stack([mean[c].to_numpy() for c in _CHANGES], axis=1), mean["model"].to_numpy()
-        for k, m in models.items():
-            m.add(bucket[which == k], values[which == k])
+        for k, at, sums, tasks in gathered(rows.mapInArrow(_learned(shared), _BLOCKS)):
+            models[k].add(at, sums / tasks[:, None] * unit(at))
         shared.destroy()
     done = {k: m.done() for k, m in models.items()}
     together, thresholds = Judges(list(done.values())), {}

@@ -2,6 +2,7 @@
 
 import zlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from scrivane.llm import toxicity
@@ -49,3 +50,38 @@ def test_a_long_text_is_pooled_in_pieces(monkeypatch):
     monkeypatch.setattr(toxicity, "PIECE", 10)
     pieces = model.best(x)
     assert np.allclose(whole[0], pieces[0]) and (whole[1] == pieces[1]).all()
+
+
+def test_changes_are_sent_in_few_bytes_and_summed_whole(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    at = np.flatnonzero(rng.random(toxicity.BUCKETS) < 0.3)
+    changes = rng.laplace(0, 0.01, (len(at), toxicity.WIDE))
+    changes[:, -1] = rng.exponential(0.001, len(at))
+    whole = np.rint(changes / toxicity.unit(at)).astype(np.int64)
+    rows = [b for k in range(4) for b in toxicity._blocks(1, at[k:], whole[k:])]
+    assert sum(c.nbytes for b in rows for c in b.columns) < 12 * 4 * len(at)  # a row of numbers for each bucket took 42 in the shuffle, and 80 before it
+    whole[0, 0], whole[-1] = -(1 << 62), 1 << 40
+    rows = [b for k in range(4) for b in toxicity._blocks(1, at[k:], whole[k:])]
+    sent = spark.createDataFrame(pa.Table.from_batches(rows)).repartition(3)
+    got = sorted(toxicity.gathered(sent), key=lambda r: r[1][0])
+    assert {k for k, *_ in got} == {1} and (np.concatenate([p for _, p, *_ in got]) == at).all()
+    tasks = np.concatenate([n for *_, n in got])
+    assert (tasks == np.minimum(np.arange(len(at)) + 1, 4)).all() and (np.concatenate([s for *_, s, _ in got]) == whole * tasks[:, None]).all()
+    assert not list(toxicity._blocks(1, at[:0], whole[:0]))
+
+
+def test_a_pass_sends_few_bytes_a_bucket():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    texts = [" ".join("".join(map(chr, rng.integers(97, 123, 9))) for _ in range(60)) for _ in range(640)]
+    batch = pa.RecordBatch.from_pydict({"fold": [1] * 640, "toxic": [i % 2 for i in range(640)], "lang": ["en"] * 640, "text": texts})
+    one = toxicity.Training(np.ones(toxicity.BUCKETS, bool), 3)
+    shared = type("Shared", (), {"value": ({0: one.packed()}, {0: np.ones(2)})})()
+    sent = list(toxicity._learned(shared)([batch]))
+    touched, rows = set(), list(toxicity._examples([batch]))
+    for lo in range(0, 640, toxicity.BATCH):
+        touched.update(one.step([r[2] for r in rows[lo : lo + toxicity.BATCH]], np.array([r[1] for r in rows[lo : lo + toxicity.BATCH]]), np.ones(toxicity.BATCH)).tolist())
+    assert len(touched) > 20_000 and sum(c.nbytes for b in sent for c in b.columns) < 16 * len(touched)  # 80 before
