@@ -42,6 +42,12 @@ def blocks(html: pa.Array) -> pa.Array:
     return _each(html, lambda h: M.blocks(M.parse(h)), pa.list_(BLOCK))
 
 
+@arrow_function(f"array<array<array<{_CELL_DDL}>>>")
+def tables(html: pa.Array) -> pa.Array:
+    """The rows of a page's tables alone, those of its blocks."""
+    return _each(html, M.tables, pa.list_(pa.list_(pa.list_(CELL))))
+
+
 @arrow_function("array<struct<text: string, url: string>>")
 def links(html: pa.Array) -> pa.Array:
     return _each(html, lambda h: M.links(M.parse(h)), pa.list_(pa.struct([("text", pa.string()), ("url", pa.string())])))
