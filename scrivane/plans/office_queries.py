@@ -76,7 +76,9 @@ FILES = {"docx": word_file, "pptx": slide_file, "xlsx": sheet_file}
 def _built(kind: str):
     @arrow_function("binary")
     def build(fields: pa.Array) -> pa.Array:
-        return pa.array([FILES[kind](*(f or "" for f in row)) for row in fields.to_pylist()], pa.binary())
+        values = [v or "" for v in fields.flatten().to_pylist()]
+        n = len(values) // max(len(fields), 1)  # of each row
+        return pa.array([FILES[kind](*values[at : at + n]) for at in range(0, len(values), n or 1)], pa.binary())
 
     return build
 
@@ -86,7 +88,7 @@ word_files, slide_files, sheet_files = map(_built, FILES)
 
 def _read(df: DataFrame, key: str, kind: str, build, *fields) -> DataFrame:
     content = build(F.array(*[F.coalesce(f.cast("string"), F.lit("")) for f in fields]))
-    return df.select(key, office.converted(F.lit(kind), content).alias("r")).select(key, F.sha2("r.markdown", 256).alias("sha"), F.coalesce("r.error", F.lit("")).alias("error"))
+    return df.select(key, office.converted_from(kind)(content).alias("r")).select(key, F.sha2("r.markdown", 256).alias("sha"), F.coalesce("r.error", F.lit("")).alias("error"))
 
 
 @query("""WITH t AS (SELECT doc_id, lang, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS words, chr(10) || chr(10) AS gap FROM documents)
